@@ -6,9 +6,12 @@ this subpackage imports it.
 
 
 def queries() -> dict:
-    from . import quality
+    from . import bpe, quality
 
-    return {"op6_quality_rules": quality.op6_quality_rules}
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op6_quality_rules": quality.op6_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
