@@ -6,11 +6,12 @@ this subpackage imports it.
 
 
 def queries() -> dict:
-    from . import bpe, quality
+    from . import bpe, mpeg, quality
 
     return {
         "op1_bpe": bpe.op1_bpe,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op8_mpeg_audio": mpeg.op8_mpeg_audio,
     }
 
 
