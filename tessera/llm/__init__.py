@@ -6,16 +6,17 @@ this subpackage imports it.
 
 
 def queries() -> dict:
-    from . import bpe, mpeg, quality
+    from . import bpe, mpeg, quality, repeats
 
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op5_substring_dedup": repeats.op5_substring_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_mpeg_audio": mpeg.op8_mpeg_audio,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality
+    from . import quality, repeats
 
-    return {"op6_quality_rules": quality.OP6_SQL}
+    return {"op5_substring_dedup": repeats.OP5_SQL, "op6_quality_rules": quality.OP6_SQL}
