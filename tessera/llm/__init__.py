@@ -6,10 +6,11 @@ this subpackage imports it.
 
 
 def queries() -> dict:
-    from . import bpe, mpeg, quality, repeats
+    from . import bpe, mpeg, quality, repeats, rindex
 
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_suffix_array_dedup": rindex.op3_suffix_array_dedup,
         "op5_substring_dedup": repeats.op5_substring_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_mpeg_audio": mpeg.op8_mpeg_audio,
