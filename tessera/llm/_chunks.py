@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least and greatest bytes of text in a chunk; between them, a 2000th of all.
-LEAST, MOST = 4 << 20, 64 << 20
+LEAST, MOST = 3 << 20, 64 << 20
 
 
 def chunked(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -28,7 +28,7 @@ def chunked(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataF
 
 def buckets(docs: DataFrame) -> int:
     """How many buckets hashes are dealt to."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def sides(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -59,6 +59,7 @@ class RunLengthIndex:
         stop = np.append(self.run_start[1:], n)
         self.first_sample, self.last_sample = self.sa[self.run_start], self.sa[stop - 1]
         self.run_stop = stop
+        self.run_of = np.repeat(np.arange(len(stop), dtype=np.int32), stop - self.run_start)  # a directory; rows could be looked up by bisection
         by = np.lexsort((self.run_start, self.run_symbol))
         sizes = (stop - self.run_start)[by]
         before = np.cumsum(sizes) - sizes
@@ -73,13 +74,13 @@ class RunLengthIndex:
     def _sort(self, bits: int) -> None:
         """The suffix array by prefix doubling; ties at a separator fall by position.  Keeps the ranks of each depth."""
         n, symbol, rest = len(self.symbol), self.symbol, self.rest
-        depth = max(1, 62 // max(1, bits))
-        key = np.zeros(n, np.int64)
-        for t in range(depth):
-            part = np.zeros(n, np.int64)
-            part[: n - t] = np.where(rest[: n - t] > t, symbol[t:], 0) if t < n else 0
-            key = key << bits | part
-        sa = np.argsort(key, kind="stable")
+        depth, key = 1, symbol
+        while 2 * depth * bits <= 62:
+            more = np.zeros(n, np.int64)
+            more[: n - depth] = np.where(rest[: n - depth] > depth, key[depth:], 0) if depth < n else 0
+            key = key << bits * depth | more
+            depth *= 2
+        sa = np.argsort(key)
         key = key[sa]
         new = np.append(True, key[1:] != key[:-1])
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -99,7 +100,7 @@ class RunLengthIndex:
             second = np.zeros(len(at), np.int64)
             second[more] = rank[at[more] + depth] + 1
             key = head[slots] << 32 | second
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             sa[slots], key = at[by], key[by]
             new[slots] = np.append(True, key[1:] != key[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -108,6 +109,10 @@ class RunLengthIndex:
             depth *= 2
             self.depths.append(depth)
             self.ranks.append(rank.astype(np.int32))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        slots = np.flatnonzero(tied)  # equal up to their separators
+        sa[slots] = sa[slots][np.argsort(head[slots] << 32 | sa[slots])]
         self.sa = sa
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -131,7 +136,7 @@ class RunLengthIndex:
 
     def step(self, row: np.ndarray, at: np.ndarray, length: np.ndarray, symbol: np.ndarray):
         """Extends matches one symbol to the left: rows, text positions and lengths; symbols below 1 match nothing."""
-        run = np.searchsorted(self.run_start, row, "right") - 1
+        run = self.run_of[row]
         ok = self.run_symbol[run] == symbol
         jump = np.flatnonzero(~ok & (symbol > 0))
         if len(jump):
