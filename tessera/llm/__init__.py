@@ -6,7 +6,7 @@ this subpackage imports it.
 
 
 def queries() -> dict:
-    from . import bpe, mpeg, quality, repeats, rindex, simhash
+    from . import bpe, mpeg, quality, repeats, rindex, simhash, toxicity
 
     return {
         "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_substring_dedup": repeats.op5_substring_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_mpeg_audio": mpeg.op8_mpeg_audio,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_simhash": simhash.op10_simhash,
     }
 
