@@ -6,10 +6,11 @@ this subpackage imports it.
 
 
 def queries() -> dict:
-    from . import bpe, mpeg, quality, repeats, rindex, simhash, toxicity
+    from . import bilinear, bpe, mpeg, quality, repeats, rindex, simhash, toxicity
 
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_lm_score": bilinear.op2_lm_score,
         "op3_suffix_array_dedup": rindex.op3_suffix_array_dedup,
         "op5_substring_dedup": repeats.op5_substring_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
