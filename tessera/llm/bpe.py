@@ -304,9 +304,37 @@ def digests(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def op1_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Encodes and decodes every whole text of documents; ``vocabulary`` is the path of a vocabulary file on the driver."""
+def tokenize(docs: DataFrame, vocabulary: bytes, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Carried columns, ``n_tokens``, ``ids`` and whether decoding them gives the text again (``exact``)."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    source = docs.select(F.col(text).alias("__in"), *carry)
+    schema = StructType([*source.schema.fields[1:], *_parse_datatype_string("n_tokens long, ids array<int>, exact boolean").fields])
+
+    def run(batches):
+        c = codec(shared.value)
+        for batch in batches:
+            for i, j in _texts(batch.column(0)):
+                part = batch.slice(i, j - i)
+                texts = [x or "" for x in part.column(0).to_pylist()]
+                ids = c.encode(texts)
+                same = [c.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                off = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, off[-1])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(off).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(same)], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def public_vocabulary(path: str | None = None) -> bytes:
+    """The vocabulary file at a path on the driver, by default the public byte-level one."""
     import public_tokenizers
 
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
-        return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), f.read())
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        return f.read()
+
+
+def op1_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Encodes and decodes every whole text of documents; ``vocabulary`` is the path of a vocabulary file on the driver."""
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_vocabulary(vocabulary))

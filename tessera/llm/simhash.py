@@ -213,6 +213,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     return rows.join(every, "fp").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of the smallest key of each component; of rows with one key, one."""
+    found = kept(near_duplicates(docs, radius, text, key))
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key"))
+    n, different = stay.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("__key").cast("string"), F.lit("")))).head()
+    out = docs.join(stay.distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    return out if n == different else out.dropDuplicates([key])
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
