@@ -246,7 +246,7 @@ def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of telling features (ascending) and the chance of a toxic text with each, from all labelled rows."""
-    n = buckets(labelled)
+    n = max(1, buckets(labelled) // 8)  # every task may have some for every bucket
     log = model.log
 
     def count(batches):
@@ -324,7 +324,7 @@ def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.
     """Adds the score of every row; other columns stay."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = docs.select(F.col(text).alias("__text"), *[c for c in docs.columns if c != into])
+    kept = docs.select(F.col(text).alias("__text"), *[c for c in docs.columns if c != into])  # the text stays, too
     schema = StructType([*kept.schema.fields[1:], StructField(into, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.log, *lexicon))  # at most LEXICON entries
     least = min(0.4, max(1e-3, base / 4))
@@ -361,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, key: str = "doc_id",
     model = fit_characters(own, text)
     if not n or not rate:
         return model, (np.zeros(0, np.uint64), np.zeros(0)), base
-    return model, fit_lexicon(own.join(train, key).select(text, label), model, base, text, label), base
+    return model, fit_lexicon(own.join(train.hint("merge"), key).select(text, label), model, base, text, label), base
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
