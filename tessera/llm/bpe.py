@@ -264,21 +264,23 @@ def decode(docs: DataFrame, vocabulary: bytes, ids: str = "ids", into: str = "te
 
 def _mapped(docs: DataFrame, vocabulary: bytes, column: str, into: str, kind: str, arrow: pa.DataType, change) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [c for c in docs.columns if c != into]
-    source = docs.select(F.col(column).alias("__in"), *rest)
-    names = [*rest, into]
+    source = docs.drop(into) if into != column else docs
+    source_names = source.columns
+    place, names = source_names.index(column), [*[c for c in docs.columns if c != into], into]
 
     def run(batches):
         c = codec(shared.value)
         for batch in batches:
-            cuts = _texts(batch.column(0)) if pa.types.is_string(batch.column(0).type) or pa.types.is_large_string(batch.column(0).type) else [(0, batch.num_rows)]
+            whole = batch.column(place)
+            cuts = _texts(whole) if pa.types.is_string(whole.type) or pa.types.is_large_string(whole.type) else [(0, batch.num_rows)]
             for i, j in cuts:
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(change(c, part.column(0).to_pylist()), arrow)], names=names)
+                rest = [x for x, n in zip(part.columns, source_names, strict=True) if n != into]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(change(c, whole.slice(i, j - i).to_pylist()), arrow)], names=names)
 
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return source.mapInArrow(run, StructType([*source.schema.fields[1:], *_parse_datatype_string(f"`{into}` {kind}").fields]))
+    return source.mapInArrow(run, StructType([*[f for f in source.schema.fields if f.name != into], *_parse_datatype_string(f"`{into}` {kind}").fields]))
 
 
 def digests(docs: DataFrame, vocabulary: bytes) -> DataFrame:
