@@ -67,8 +67,8 @@ def kullback_leibler(p: DataFrame, q: DataFrame, base: float = 2.0) -> DataFrame
 def infer_taxonomy(hits: DataFrame) -> DataFrame:
     """Votes of hits (``grp``, ``taxon``, ``identity``): winners (an array, ties included), score, hits and weights of each group."""
     high = hits.agg(F.max("identity").alias("top"))
-    scaled = hits.crossJoin(F.broadcast(high)).withColumn("w", F.when(F.col("top") > 1, F.col("identity") / 100).otherwise(F.col("identity")))
-    votes = scaled.groupBy("grp", "taxon").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("hits"))
+    votes = hits.groupBy("grp", "taxon").agg(F.sum("identity").alias("w"), F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(high))
+    votes = votes.withColumn("w", F.when(F.col("top") > 1, F.col("w") / 100).otherwise(F.col("w"))).drop("top")
     share = F.col("w") / F.sum("w").over(Window.partitionBy("grp"))
     ranked = votes.withColumns({"score": share, "r": F.rank().over(Window.partitionBy("grp").orderBy(F.desc("w")))})
     return ranked.groupBy("grp").agg(

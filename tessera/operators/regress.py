@@ -133,9 +133,9 @@ def mixed(x: DataFrame, metadata: DataFrame, variables: list[str], random: str,
         ll, beta, cov, group_var = solve((lo + hi) / 2)
         se = np.sqrt(np.maximum(np.diag(cov), 0))
         stat = np.divide(beta, se, out=np.zeros_like(beta), where=se > 0)
-        out = pd.DataFrame({"attr": g.attr.iloc[0], "term": names, "coef": beta, "std_err": se, "statistic": stat, "p_value": [norm_sf2(s) for s in stat], "ci_low": beta - 1.959963984540054 * se, "ci_high": beta + 1.959963984540054 * se, "nobs": n, "loglik": ll, "r2": None, "converged": True})
-        extra = pd.DataFrame({"attr": [g.attr.iloc[0]], "term": ["Group Var"], "coef": [group_var], "std_err": [np.nan], "statistic": [np.nan], "p_value": [None], "ci_low": [np.nan], "ci_high": [np.nan], "nobs": [n], "loglik": [ll], "r2": [None], "converged": [True]})
-        return pd.concat([out, extra], ignore_index=True)
+        none = [float("nan")]
+        more = lambda v: [*v, *none]  # noqa: E731  the group variance has no test
+        return pd.DataFrame({"attr": g.attr.iloc[0], "term": [*names, "Group Var"], "coef": [*beta, group_var], "std_err": more(se), "statistic": more(stat), "p_value": [*[norm_sf2(s) for s in stat], None], "ci_low": more(beta - 1.959963984540054 * se), "ci_high": more(beta + 1.959963984540054 * se), "nobs": n, "loglik": ll, "r2": None, "converged": True})
 
     return p_adjust(rows.groupBy("attr").applyInPandas(fit, f"attr {dict(x.dtypes)['attr']}, {RESULT}"), "p_value", fdr, "q_value", by="attr")
 

@@ -69,7 +69,7 @@ def p_adjust(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: st
 
         from pyspark.sql.types import DoubleType, StructField, StructType
 
-        return df.groupBy(by if by else F.lit(0)).applyInPandas(group, StructType([*kind, StructField(into, DoubleType())]))
+        return (df.groupBy(by) if by else df.groupBy()).applyInPandas(group, StructType([*kind, StructField(into, DoubleType())]))
     m = F.count(F.col(p)).over(part)
     rank = F.row_number().over(part.orderBy(p))
     down = part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
