@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts (characters) that share one pair index.
-BATCH = 24 << 20
+BATCH = 12 << 20
 #: Pretokens that a worker remembers between batches.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -204,7 +204,7 @@ class PairCodec:
             self.ids: list[tuple[int, ...]] = [(k,) for _, k in special]
             self.written: list[str] = [str(k) for _, k in special]
         else:
-            self.known = _Places((t, k) for t, k in zip(list(self.known)[:keep], range(keep), strict=True))
+            self.known = _Places((t, k) for k, t in enumerate(list(islice(self.known, keep))))
             del self.ids[keep:], self.written[keep:]
 
     def places(self, texts: list[str]) -> list[list[int]]:
@@ -302,6 +302,7 @@ def digests(docs: DataFrame, vocabulary: bytes) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        c.forget(KNOWN // 4)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -316,6 +317,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes, text: str = "text", carry: tupl
 
     def run(batches):
         c = codec(shared.value)
+        c.forget(KNOWN // 4)  # a worker may have served other tasks
         for batch in batches:
             for i, j in _texts(batch.column(0)):
                 part = batch.slice(i, j - i)
@@ -325,6 +327,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes, text: str = "text", carry: tupl
                 off = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, off[-1])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(off).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(same)], names=schema.names)
+        c.forget(0)
 
     return source.mapInArrow(run, schema)
 

@@ -286,9 +286,9 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
                     group = np.uint64(1) << (sketches(data[off[i] : off[j]], off[i : j + 1] - off[i]) & np.uint64(63))
                     group[~toxic[i:j]] = 0
                     held.append((h[at], np.add.reduceat(toxic[i:j][doc].astype(np.uint32), at), np.diff(np.append(at, len(h))).astype(np.uint32), np.bitwise_or.reduceat(group[doc], at)))
-            if sum(len(x[0]) for x in held) > 4_000_000:
+            if sum(len(x[0]) for x in held) > 2_000_000:
                 held[:] = [merged()]
-                if len(held[0][0]) > 2_000_000:
+                if len(held[0][0]) > 1_000_000:
                     yield rows()
                     held.clear()
         if held:
@@ -324,8 +324,9 @@ def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.
     """Adds the score of every row; other columns stay."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = docs.select(F.col(text).alias("__text"), *[c for c in docs.columns if c != into])  # the text stays, too
-    schema = StructType([*kept.schema.fields[1:], StructField(into, DoubleType())])
+    kept = docs.drop(into)
+    schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
+    place = kept.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast((model.log, *lexicon))  # at most LEXICON entries
     least = min(0.4, max(1e-3, base / 4))
 
@@ -334,7 +335,7 @@ def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.
         own = CharacterModel.__new__(CharacterModel)
         own.log, own.known = log, {}
         for batch in batches:
-            data, off = utf8(batch.column(0))
+            data, off = utf8(batch.column(place))
             for i, j in blocks(off):
                 doc, h = features(data[off[i] : off[j]], off[i : j + 1] - off[i], own)
                 misled = np.full(j - i, math.log1p(-least))
@@ -347,7 +348,7 @@ def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.
                     rows, p = pairs[0][order], chance[pairs[1]][order]
                     first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
                     np.add.at(misled, rows, np.log1p(-np.minimum(p, 0.999)) * np.where(first, 1.0, 0.1))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[1:], pa.array(1 - np.exp(misled))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(1 - np.exp(misled))], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
