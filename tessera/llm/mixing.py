@@ -13,7 +13,7 @@ with one more document that fills the gap best.
 Edge cases: null texts have size 0 and count as documents of their source; a
 null source is a source (the last).  An empty source array counts as a null
 source.  Equal rows are separate documents, taken equally often.  Sources of size 0 have target 0.
-Extra columns are kept.  The driver holds the patterns, of which more than
+Extra columns are kept, but for those named as the results.  The driver holds the patterns, of which more than
 ``PATTERNS`` are an error.
 """
 
@@ -107,6 +107,7 @@ def mix(docs: DataFrame, weights, sources: Column | None = None, text: str = "te
     ``source``).  ``weights`` maps the list of sources to their weights.
     ``source_size`` and ``target`` are sums over a row's sources.
     """
+    docs = docs.drop(*{"size", "source_size", "target", "copies", "taken"} - {text, order})
     sources = F.col("source") if sources is None else sources
     if not docs.select(sources.alias("s")).dtypes[0][1].startswith("array"):
         sources = F.array(sources)

@@ -15,7 +15,7 @@ with them and compacts them.
 Edge cases: null and empty texts have no words and stay as they are.  Rows of
 equal ``doc_id`` are never earlier than each other; a null ``doc_id`` is earlier
 than none and later than none, so such rows stay whole and remove nothing.
-Extra columns are kept.  Memory follows a chunk (4 to 64 MB of text, or its
+Extra columns are kept, but for those named as the results.  Memory follows a chunk (4 to 64 MB of text, or its
 longest document) and a bucket of packed hashes.
 """
 
@@ -141,6 +141,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: s
     ``edit`` may make other columns of each chunk: it gets the chunk, its words'
     rows and the mask of removed words, and returns a table of ``schema``.
     """
+    docs = docs.drop(*{"n_words", "n_removed", "kept"} - {text, order})
     parts = chunked(docs, text, order)
     n = log.buckets if log else buckets(docs)
     names = docs.columns

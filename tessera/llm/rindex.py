@@ -16,7 +16,7 @@ that share them, and the smallest document of the block decides.
 Edge cases: null and empty texts have no bytes and stay as they are; texts
 shorter than ``size`` stay whole.  Rows of equal ``doc_id`` are never earlier
 than each other; a null ``doc_id`` is neither earlier nor later than another.
-Extra columns are kept.  Inside a chunk equal stretches are told by 64-bit
+Extra columns are kept, but for those named as the results.  Inside a chunk equal stretches are told by 64-bit
 hashes.  Memory follows a chunk (4 to 64 MB of text, or its longest document)
 and the distinct stretches of a bucket.
 """
@@ -330,6 +330,7 @@ def find_long_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes; a byte sequence, since cuts can fall inside a character)."""
     if not 1 <= gram <= size or size - gram + 1 > 64 or 2 * size - gram > 255:
         raise ValueError("gram must be at most size and leave at most 64 places and 255 bytes")
+    docs = docs.drop(*{"n_bytes", "n_removed", "n_spans", "kept"} - {text, order})
     parts, n, names = chunked(docs, text, order), buckets(docs), docs.columns
 
     def offer(chunk: pa.Table) -> pa.Table:
