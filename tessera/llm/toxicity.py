@@ -310,7 +310,7 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
         with np.errstate(divide="ignore", invalid="ignore"):
             evidence = m * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
         # enough evidence that chance among so many features explains none, and hardly a clean text
-        some = (share > base) & (evidence > math.log(len(h) * n) + 5) & ((t + 0.5) / (m + 2) > 0.9)
+        some = (share > base) & (evidence > math.log(len(h) * n) + 3) & ((t + 0.5) / (m + 1) > 0.9)
         return pa.table({"h": pa.array(h[some].view(np.int64)), "p": pa.array(((t + 0.5) / (m + 1))[some]), "e": pa.array(evidence[some])})
 
     found = labelled.select(text, label).mapInArrow(count, _COUNTS).groupBy("bucket").applyInArrow(choose, "h long, p double, e double")
