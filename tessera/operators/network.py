@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
 from .matrix import redundant
 from .pairs import pairwise
 from .stats import summary
@@ -126,7 +127,7 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
     labels = both.select(F.col("node_a").alias("node")).distinct().withColumn("label", F.col("node").cast("string"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "node_b"), "node_b").groupBy(F.col("node_a").alias("node"), "label").agg(F.sum("weight").alias("w"))
-        new = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("o"), "label")).alias("s")).select("node", F.col("s.label").alias("label")).checkpoint()
+        new = kept(votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("o"), "label")).alias("s")).select("node", F.col("s.label").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = new
         if not changed:

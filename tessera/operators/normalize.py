@@ -152,8 +152,8 @@ def _tmm(x: DataFrame, lib: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05
     n = F.count(F.lit(1)).over(by_obs())
     ranks = pairs.withColumns({"n": n, "rm": F.rank().over(by_obs("m")), "ra": F.rank().over(by_obs("a"))})
     lo_m, lo_a = F.floor(F.col("n") * trim_m) + 1, F.floor(F.col("n") * trim_a) + 1
-    kept = ranks.where((F.col("rm") >= lo_m) & (F.col("rm") <= F.col("n") + 1 - lo_m) & (F.col("ra") >= lo_a) & (F.col("ra") <= F.col("n") + 1 - lo_a))
-    raw = kept.groupBy("obs").agg(F.exp2(F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("f")) if hasattr(F, "exp2") else kept.groupBy("obs").agg(F.pow(F.lit(2.0), F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("f"))
+    left = ranks.where((F.col("rm") >= lo_m) & (F.col("rm") <= F.col("n") + 1 - lo_m) & (F.col("ra") >= lo_a) & (F.col("ra") <= F.col("n") + 1 - lo_a))
+    raw = left.groupBy("obs").agg(F.pow(F.lit(2.0), F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("f"))
     raw = lib.join(raw, "obs", "left").withColumn("f", F.coalesce("f", F.lit(1.0)))
     centre = raw.agg(F.exp(F.avg(F.ln("f"))).alias("c"))
     return raw.crossJoin(F.broadcast(centre)).select("obs", "lib", (F.col("f") / F.col("c")).alias("factor"))

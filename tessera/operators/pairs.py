@@ -15,9 +15,6 @@ from ..functions.special import kolmogorov_sf, norm_sf2, t_sf2
 from .matrix import transpose
 from .normalize import clr
 
-X, Y = F.col, F.col
-
-
 def _distance(name: str) -> Column:
     x, y = F.col("x"), F.col("y")
     gap = F.abs(x - y)
@@ -38,7 +35,6 @@ def _distance(name: str) -> Column:
         "russellrao": _boolean("russellrao"),
         "sokalsneath": _boolean("sokalsneath"),
         "yule": _boolean("yule"),
-        "jensenshannon": None,
     }[name]
 
 

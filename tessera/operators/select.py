@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 CELLS = 20_000_000
 
 
@@ -254,7 +256,7 @@ def descend(edges: DataFrame, root, depth: int = 50) -> DataFrame:
         moved = at.join(step.withColumnRenamed("parent", "node"), ["obs", "node"], "left")
         if moved.where("child is not null").isEmpty():
             break
-        at = moved.select("obs", F.coalesce("child", "node").alias("node")).checkpoint()
+        at = kept(moved.select("obs", F.coalesce("child", "node").alias("node")))
     return at
 
 

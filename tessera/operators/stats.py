@@ -72,8 +72,8 @@ def p_adjust(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: st
         return (df.groupBy(by) if by else df.groupBy()).applyInPandas(group, StructType([*kind, StructField(into, DoubleType())]))
     m = F.count(F.col(p)).over(part)
     rank = F.row_number().over(part.orderBy(p))
-    down = part.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    up = part.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    down = part.orderBy(F.desc(p), F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+    up = part.orderBy(p, "__r").rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumns({"__m": m, "__r": rank})
     q, left = F.col(p), F.col("__m") - F.col("__r") + 1
     harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest("__m", F.lit(1).cast("long"))), F.lit(0.0), lambda s, k: s + 1 / k)

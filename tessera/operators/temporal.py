@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 EDGE = ("node_a", "node_b")
 
 
@@ -78,7 +80,7 @@ def earliest_arrival(edges: DataFrame, source, start=None) -> DataFrame:
     reached = spark.createDataFrame([(source, float("-inf") if start is None else float(start))], f"node {dict(edges.dtypes)['node_a']}, t0 double")
     while True:
         more = both.join(reached, F.col("x") == F.col("node")).where("t > t0").groupBy("y").agg(F.min(F.col("t").cast("double")).alias("t0")).select(F.col("y").alias("node"), "t0")
-        new = reached.unionByName(more).groupBy("node").agg(F.min("t0").alias("t0")).checkpoint()
+        new = kept(reached.unionByName(more).groupBy("node").agg(F.min("t0").alias("t0")))
         if new.exceptAll(reached).isEmpty():
             return new
         reached = new

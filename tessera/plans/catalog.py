@@ -51,6 +51,12 @@ def bought(spark: SparkSession, d: str, by: str = "p_brand") -> DataFrame:
     return rows.groupBy(F.col("o_custkey").alias("obs"), F.col(by).alias("attr")).agg(F.sum("l_quantity").alias("v"))
 
 
+def by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities by customers' nation and brand."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("obs"), F.col("c_nationkey").alias("nation"))
+    return bought(spark, d).join(c, "obs").groupBy(F.col("nation").alias("obs"), "attr").agg(F.sum("v").alias("v"))
+
+
 def did(spark: SparkSession, d: str) -> DataFrame:
     """Events by user and type."""
     return table(spark, d, "events").groupBy(F.col("user_id").alias("obs"), F.col("event_type").alias("attr")).agg(F.count(F.lit(1)).cast("double").alias("v"))
@@ -74,6 +80,7 @@ def _x(by: str) -> str:
 
 
 BRAND, TYPE, PART = _x("p_brand"), _x("p_type"), _x("l_partkey")
+NATION = f"{BRAND}, z as (select c_nationkey as obs, attr, sum(v) as v from x join customer on obs = c_custkey group by 1, 2)"
 DID = "x as (select user_id as obs, event_type as attr, cast(count(*) as double) as v from events group by 1, 2)"
 DENSE = "g as (select o.obs, a.attr, coalesce(x.v, 0) as v from (select distinct obs from x) o cross join (select distinct attr from x) a left join x on x.obs = o.obs and x.attr = a.attr)"
 r6 = lambda e: f"round({e}, 6) + 0.0"
@@ -115,12 +122,10 @@ def _a03b(s, d):
     return rounded(D.alpha_by_level(bought(s, d, "l_partkey").withColumn("attr", F.col("attr")), levels, ["p_type", "p_brand"]), "entropy").drop("gini")
 
 
-@query("a04_beta_diversity", f"with {TYPE}, o as (select obs from (select distinct obs from x) order by obs limit 60), k as (select x.* from x join o using (obs)), e as (select a.obs as node_a, b.obs as node_b, sum(abs(a.v - b.v)) as weight from k a join k b on a.attr = b.attr and a.obs < b.obs group by 1, 2), c as (select e.*, ca.c_mktsegment as a, cb.c_mktsegment as b from e join customer ca on node_a = ca.c_custkey join customer cb on node_b = cb.c_custkey) select 'Intra' as kind, a as class, count(*) as n, {r6('avg(weight)')} as mean from c where a = b group by a union all select 'Inter', k, count(*), {r6('avg(weight)')} from (select a as k, weight from c where a <> b union all select b, weight from c where a <> b) group by k")
+@query("a04_beta_diversity", f"with {NATION}, e as (select a.obs as node_a, b.obs as node_b, sum(abs(a.v - b.v)) as weight from z a join z b on a.attr = b.attr and a.obs < b.obs group by 1, 2), c as (select e.*, ca.n_regionkey as a, cb.n_regionkey as b from e join nation ca on node_a = ca.n_nationkey join nation cb on node_b = cb.n_nationkey) select 'Intra' as kind, a as class, count(*) as n, {r6('avg(weight)')} as mean from c where a = b group by a union all select 'Inter', k, count(*), {r6('avg(weight)')} from (select a as k, weight from c where a <> b union all select b, weight from c where a <> b) group by k")
 def _a04(s, d):
-    x = bought(s, d, "p_type")
-    first = x.select("obs").distinct().orderBy("obs").limit(60)
-    edges = P.pairwise(x.join(F.broadcast(first), "obs", "left_semi"), "cityblock", axis=0)
-    rows = D.beta_diversity(edges, classes(s, d))
+    y = table(s, d, "nation").select(F.col("n_nationkey").alias("obs"), F.col("n_regionkey").alias("class"))
+    rows = D.beta_diversity(P.pairwise(by_nation(s, d), "cityblock", axis=0), y)
     return rounded(rows.groupBy("kind", "class").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean")), "mean")
 
 
@@ -140,10 +145,10 @@ def _a10(s, d):
 def _sets(s, d):
     o, li, c = table(s, d, "orders"), table(s, d, "lineitem"), table(s, d, "customer")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.where("l_quantity >= 45").select(F.col("c_nationkey").alias("set_name"), F.col("l_partkey").alias("feature")).distinct()
+    return rows.select(F.col("c_nationkey").alias("set_name"), F.col("l_partkey").alias("feature")).distinct()
 
 
-SETS = "s as (select distinct c_nationkey as set_name, l_partkey as feature from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where l_quantity >= 45)"
+SETS = "s as (select distinct c_nationkey as set_name, l_partkey as feature from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)"
 QUERY = "q as (select p_partkey as feature from part where p_size <= 10)"
 query("a11_enrichment_overlap", f"with {SETS}, {QUERY} select set_name, count(*) as set_size, count(q.feature) as overlap, (select count(distinct feature) from s) as universe, (select count(*) from q) as query_size from s left join q on s.feature = q.feature group by set_name")(
     lambda s, d: D.enrichment(table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("feature")), _sets(s, d)).select("set_name", "set_size", "overlap", "universe", "query_size")
@@ -167,7 +172,9 @@ query("pf10_group_columns", "with r as (select n_name, n_regionkey, row_number()
 query("pf12_first_of_key", "select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_linenumber) as n from lineitem) where n = 1")(lambda s, d: M.drop_duplicates(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber"))
 query("pf14_matmul", f"with {BRAND}, m as (select p_brand as obs, p_type as attr, cast(count(*) as double) as v from part group by 1, 2) select x.obs, m.attr, sum(x.v * m.v) as v from x join m on x.attr = m.obs group by 1, 2")(lambda s, d: M.matmul(bought(s, d), table(s, d, "part").groupBy(F.col("p_brand").alias("obs"), F.col("p_type").alias("attr")).agg(F.count(F.lit(1)).cast("double").alias("v"))))
 query("pf16_otu_to_level", f"with {PART} select obs, p_type as attr, sum(v) as v from x join part on attr = p_partkey group by 1, 2")(lambda s, d: M.to_level(bought(s, d, "l_partkey"), table(s, d, "part").select(F.col("p_partkey").alias("attr"), "p_type"), "p_type"))
-query("so05_venn", f"with {SETS} select sig as signature, count(*) as n from (select feature, string_agg(cast(set_name as varchar), '&' order by cast(set_name as varchar)) as sig from s where set_name < 3 group by feature) group by sig")(lambda s, d: M.venn(_sets(s, d).where("set_name < 3").withColumn("set_name", F.col("set_name").cast("string"))))
+query("so05_venn", f"with {SETS}, t as (select distinct n_regionkey as set_name, feature from s join nation on set_name = n_nationkey) select sig as signature, count(*) as n from (select feature, string_agg(cast(set_name as varchar), '&' order by cast(set_name as varchar)) as sig from t group by feature) group by sig")(
+    lambda s, d: M.venn(_sets(s, d).join(table(s, d, "nation"), F.col("set_name") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("set_name"), "feature"))
+)
 
 # pairs
 for _name, _expr in (
@@ -190,12 +197,14 @@ for _name, _expr in (("rho", "1 - var_samp(a.c - b.c) / (var_samp(a.c) + var_sam
 
 
 def _groups(s, d):
-    c = table(s, d, "customer").select(F.col("c_custkey").alias("obs"))
-    return c.where("obs <= 20"), c.where("obs > 20 and obs <= 40")
+    """Nations of the first region as controls, all others as treatments."""
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("obs"), "n_regionkey")
+    return n.where("n_regionkey = 0"), n.where("n_regionkey <> 0")
 
 
-query("pw06_difference", f"with {BRAND} select t.obs as treatment, c.obs as control, t.attr, t.v - c.v as v from x t join x c on t.attr = c.attr where c.obs <= 20 and t.obs > 20 and t.obs <= 40")(lambda s, d: P.difference(bought(s, d), *_groups(s, d)))
-query("pw07_logfc", f"with {BRAND} select t.obs as treatment, c.obs as control, t.attr, {r6('log2(t.v) - log2(c.v)')} as v from x t join x c on t.attr = c.attr where c.obs <= 20 and t.obs > 20 and t.obs <= 40")(lambda s, d: rounded(P.log_fold_change(bought(s, d), *_groups(s, d)), "v"))
+PAIRED = "z t join z c on t.attr = c.attr where c.obs in (select n_nationkey from nation where n_regionkey = 0) and t.obs in (select n_nationkey from nation where n_regionkey <> 0)"
+query("pw06_difference", f"with {NATION} select t.obs as treatment, c.obs as control, t.attr, t.v - c.v as v from {PAIRED}")(lambda s, d: P.difference(by_nation(s, d), *_groups(s, d)))
+query("pw07_logfc", f"with {NATION} select t.obs as treatment, c.obs as control, t.attr, {r6('log2(t.v) - log2(c.v)')} as v from {PAIRED}")(lambda s, d: rounded(P.log_fold_change(by_nation(s, d), *_groups(s, d)), "v"))
 query("pw_kendall")(lambda s, d: P.pairwise(M.densify(did(s, d)), "kendall"))
 query("pw_mannwhitneyu")(lambda s, d: P.pairwise(M.densify(did(s, d)), "mannwhitneyu"))
 
@@ -221,7 +230,7 @@ for _name, _method, _expr in (
     ("by", "fdr_by", "min(p * m / r * (select sum(1.0 / k) from range(1, (select count(p) + 1 from p)) t(k))) over (partition by p is null order by p desc, r desc rows unbounded preceding)"),
 ):
     query(f"s02_{_name}", f"with {PV} select p_partkey, case when p is not null then {r6(f'least(1.0, {_expr})')} end as q_value from r")(lambda s, d, m=_method: rounded(T.p_adjust(_pvalues(s, d), "p_value", m).select("p_partkey", "q_value"), "q_value"))
-query("s02_hommel")(lambda s, d: T.p_adjust(_pvalues(s, d).limit(500), "p_value", "hommel"))
+query("s02_hommel")(lambda s, d: T.p_adjust(_pvalues(s, d), "p_value", "hommel"))
 query("s02_fdr_tsbky")(lambda s, d: T.p_adjust(_pvalues(s, d), "p_value", "fdr_tsbky"))
 query("s03_symbols", f"with {PV} select p_partkey, case when p <= 0.0001 then '****' when p <= 0.001 then '***' when p <= 0.01 then '**' when p <= 0.05 then '*' when p > 0.05 then 'ns' else '' end as symbol from p")(lambda s, d: _pvalues(s, d).select("p_partkey", T.symbols(F.col("p_value")).alias("symbol")))
 
@@ -273,17 +282,18 @@ query("g10_intertemporal", f"with {CONTACTS}, n as (select distinct t, node from
 
 # sequences, nesting, windows
 def _dna(s, d):
-    return table(s, d, "documents").where("doc_id < 50").select(F.col("doc_id").alias("seq_id"), F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+    """Texts as bases: letters in turn, all else N."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N").alias("seq"))
 
 
-DNA = "q as (select doc_id as seq_id, upper(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')) as seq from documents where doc_id < 50)"
+DNA = "q as (select doc_id as seq_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') as seq from documents)"
 query("k_kmers", f"with {DNA}, k as (select seq_id, substr(seq, i, 4) as kmer from (select seq_id, seq, unnest(range(1, length(seq) - 2)) as i from q)), c as (select seq_id, kmer, count(*) as n from k where regexp_full_match(kmer, '[ACGT]+') group by 1, 2) select seq_id, kmer, {r6('n / sum(n) over (partition by seq_id)')} as v from c")(lambda s, d: rounded(S.count_kmers(_dna(s, d)), "v"))
 query("k_revcomp", "select p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) as rc from part")(lambda s, d: table(s, d, "part").select("p_partkey", S.reverse_complement(F.upper("p_name")).alias("rc")))
 query("json_props", "select event_type, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as k from events group by 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
 query("w02_top_n", f"with {BRAND}, t as (select attr, sum(v) as v from x group by attr) select attr, v from t order by v desc, attr limit (select cast(round_even(count(*) * 0.3, 0) as bigint) from t)")(
     lambda s, d: bought(s, d).groupBy("attr").agg(F.sum("v").alias("v")).withColumns({"r": F.row_number().over(Window.orderBy(F.desc("v"), "attr")), "n": F.count(F.lit(1)).over(Window.partitionBy())}).where("r <= bround(n * 0.3)").select("attr", "v")
 )
-query("w04_running_max", "with r as (select o_orderkey as n, o_totalprice as accuracy, max(o_totalprice) over (order by o_orderkey rows between unbounded preceding and 1 preceding) as b from orders where o_custkey = 7) select n, accuracy from r where b is null or accuracy > b")(lambda s, d: C.progressive(table(s, d, "orders").where("o_custkey = 7").select(F.col("o_orderkey").alias("n"), F.col("o_totalprice").alias("accuracy"))))
+query("w04_running_max", "with r as (select o_orderkey as n, o_totalprice as accuracy, max(o_totalprice) over (order by o_orderkey rows between unbounded preceding and 1 preceding) as b from orders) select n, accuracy from r where b is null or accuracy > b")(lambda s, d: C.progressive(table(s, d, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_totalprice").alias("accuracy"))))
 query("w05_cumulative", f"select p_brand, {r6('sum(n) over (order by n desc, p_brand rows unbounded preceding) / sum(n) over ()')} as share from (select p_brand, count(*) as n from part group by 1)")(
     lambda s, d: rounded(table(s, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).select("p_brand", (F.sum("n").over(Window.orderBy(F.desc("n"), "p_brand").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())).alias("share")), "share")
 )
@@ -301,9 +311,9 @@ query("st_depth_richness", f"select time_bucket(interval '1 hour', ts) as start,
 
 
 # models, trees and ordination: rows only, tested against invariants
-def _embedded(s, d, n: int = 16):
+def _embedded(s, d):
     e = table(s, d, "embeddings")
-    return e.select(F.col("vec_id").alias("obs"), F.posexplode(F.slice("embedding", 1, n)).alias("attr", "v")).withColumn("v", F.col("v").cast("double"))
+    return e.select(F.col("vec_id").alias("obs"), F.posexplode("embedding").alias("attr", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 @query("o01_pca")
@@ -344,8 +354,8 @@ def _r02(s, d):
 
 @query("c08_feature_weights")
 def _c08(s, d):
-    y = table(s, d, "embeddings").where("label < 3").select(F.col("vec_id").alias("obs"), F.col("label").cast("string").alias("class"))
-    k = C.kernel(_embedded(s, d, 8), y, "logistic", n_iter=2, params=[{"c": 0.5, "penalty": "l2"}, {"c": 0.5, "penalty": "l1"}])
+    y = table(s, d, "embeddings").select(F.col("vec_id").alias("obs"), F.col("label").cast("string").alias("class"))
+    k = C.kernel(_embedded(s, d), y, "logistic", n_iter=2, params=[{"c": 0.5, "penalty": "l2"}, {"c": 0.5, "penalty": "l1"}])
     return C.weights(k)
 
 

@@ -68,7 +68,7 @@ def read_gff(spark: SparkSession, path: str, kind: str = "gff3", seq_type: str |
     """Annotations with their fields as a map: ``k=v;`` (gff3) or ``k "v";`` (gtf)."""
     rows = spark.read.csv(path, sep="\t", schema=GFF, comment="#", quote="")
     fields = F.rtrim(F.col("data_fields"))
-    parts = F.filter(F.transform(F.split(fields, ";"), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(fields, ";"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     mark = "=" if kind == "gff3" else " "
     entry = lambda p: F.struct(F.substring_index(p, mark, 1).alias("k"), F.replace(F.substr(p, F.length(F.substring_index(p, mark, 1)) + 2), F.lit('"'), F.lit("")).alias("v"))
     rows = rows.withColumn("fields", F.map_from_entries(F.transform(parts, entry)))
