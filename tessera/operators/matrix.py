@@ -124,3 +124,14 @@ def redundant(edges: DataFrame, diagonal: float | None = None) -> DataFrame:
 def venn(sets: DataFrame, feature: str = "feature", name: str = "set_name") -> DataFrame:
     """Counts of features by the exact sets that they are in."""
     return sets.groupBy(feature).agg(F.concat_ws("&", F.array_sort(F.collect_set(name))).alias("signature")).groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def is_symmetric(x: DataFrame, tol: float = 1e-10) -> bool:
+    """Whether the cells equal those of the transposed matrix."""
+    both = x.join(transpose(x).withColumnRenamed("v", "w"), ["obs", "attr"], "full")
+    return both.where(F.coalesce(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))), F.lit(0.0)) > tol).isEmpty()
+
+
+def prepend_level(df: DataFrame, name: str, value) -> DataFrame:
+    """A constant outer key."""
+    return df.select(F.lit(value).alias(name), "*")

@@ -237,6 +237,64 @@ def progressive(scores: DataFrame) -> DataFrame:
     return scores.withColumn("before", before).where("before is null or accuracy > before").drop("before")
 
 
+def run_selection(x: DataFrame, y: DataFrame, kinds=("logistic", "tree"), percentiles=(0.0, 0.3, 0.5, 0.75, 0.9), thresholds=(None, 0.0), n_iter: int = 10, folds: int = 10, patience: int = 100, seed: int = 0, params: dict | None = None) -> DataFrame:
+    """The whole search: per model kind, ever smaller shares of the leading features are weighed and swept; one row a sweep.
+
+    Each percentile keeps ``round((1 - p) * m)`` (half to even) leading features
+    of the last weights.  Thresholds that weigh features alike are swept once.
+    """
+    spark, out = x.sparkSession, []
+    for kind in kinds:
+        options = (params or {}).get(kind) or grid(kind)
+        names = [r.attr for r in x.select("attr").distinct().orderBy("attr").collect()]
+        m, last = len(names), None
+        for p in percentiles:
+            if last is not None:
+                names = last[: max(2, round((1 - p) * m))]
+            keep = spark.createDataFrame([(n,) for n in names], f"attr {dict(x.dtypes)['attr']}")
+            part = x.join(F.broadcast(keep), "attr", "left_semi")
+            k = kept(kernel(part, y, kind, n_iter, seed, options))
+            best = best_params(k).head()
+            done: list[list] = []
+            for t in thresholds:
+                rows = weights(k, t).where("weight > 0").orderBy(F.desc("weight"), "attr").collect()
+                by_text = {str(n): n for n in names}
+                order = [by_text[r.attr] for r in rows]
+                if len(order) < 2 or order in done:
+                    continue
+                done.append(order)
+                scores = until_stale(cross_validate(part, y, order, kind, options[best.param], folds, seed), patience)
+                r = best_model(scores).head()
+                out.append((kind, float(p), t, float(best.accuracy), float(r.accuracy), float(r.sem), int(r.n), [str(f) for f in r.features]))
+            if done:
+                last = done[0] + [n for n in names if n not in done[0]]
+    return spark.createDataFrame(out, "kind string, percentile double, threshold double, baseline double, accuracy double, sem double, n long, features array<string>")
+
+
+def best_synopsis(synopsis: DataFrame, prefer: str = "logistic") -> DataFrame:
+    """The best row over kinds: accuracy, then error, then size, then the preferred kind."""
+    return synopsis.orderBy(F.desc("accuracy"), "sem", "n", F.col("kind") != prefer).limit(1)
+
+
+def fit_submodels(x: DataFrame, targets: DataFrame, attributes: DataFrame, kind: str = "logistic", options: dict | None = None) -> DataFrame:
+    """Edge probabilities of a hierarchy: every submodel is fitted on its own observations (``obs``, ``submodel``, ``child``) and attributes, and applied to all."""
+    models = {}
+    for r in targets.select("submodel").distinct().collect():
+        cells = x.join(attributes.where(F.col("submodel") == r.submodel).select("attr"), "attr", "left_semi")
+        m, classes, attrs = to_wide(cells, targets.where(F.col("submodel") == r.submodel).select("obs", F.col("child").alias("class")))
+        models[r.submodel] = (make(kind, options or {}).fit(m, classes), attrs)
+    key = dict(x.dtypes)["obs"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        values, rows = dict(zip(g.attr, g.v, strict=True)), []
+        for name, (model, attrs) in models.items():
+            p = model.proba(np.array([[values.get(a, 0.0) for a in attrs]]))[0]
+            rows += [(g.obs.iloc[0], name, str(c), float(v)) for c, v in zip(model.classes, p, strict=True)]
+        return pd.DataFrame(rows, columns=["obs", "parent", "child", "p"])
+
+    return x.groupBy("obs").applyInPandas(run, f"obs {key}, parent string, child string, p double")
+
+
 def path_probabilities(edges: DataFrame, paths: DataFrame, how: str = "tss") -> DataFrame:
     """Products of edge probabilities (``obs``, ``parent``, ``child``, ``p``) along each target's path (``target``, ``parent``, ``child``), normalised by observation."""
     rows = edges.join(paths, ["parent", "child"]).groupBy("obs", "target").agg(F.product("p").alias("p"))

@@ -172,3 +172,17 @@ def read_xml_attributes(spark: SparkSession, path: str, row: str = "BioSample")
     schema = "_accession string, Attributes struct<Attribute:array<struct<_VALUE:string,_attribute_name:string>>>"
     rows = spark.read.format("xml").options(rowTag=row).schema(schema).load(path)
     return rows.select(F.col("_accession").alias("id"), F.explode("Attributes.Attribute").alias("a")).select("id", F.col("a._attribute_name").alias("name"), F.col("a._VALUE").alias("value"))
+
+
+def read_hits_table(spark: SparkSession, path: str) -> DataFrame:
+    """Profile hits in blank-separated columns with ``#`` comments: target, query, e-value, score and description."""
+    p = F.split(F.trim("value"), r"\s+", 19)
+    rows = spark.read.text(path).where("value not like '#%' and length(trim(value)) > 0").select(p.alias("p"))
+    at = lambda k: F.col("p")[k]
+    return rows.select(at(0).alias("target"), at(1).alias("target_accession"), at(2).alias("query"), at(3).alias("query_accession"), at(4).cast("double").alias("evalue"), at(5).cast("double").alias("score"), at(18).alias("description"))
+
+
+def read_key_value_log(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``key |<tab>value`` of an alignment log."""
+    rows = read_textfile(spark, path).where("instr(value, '|') > 0")
+    return rows.select("file", F.trim(F.substring_index("value", "|", 1)).alias("key"), F.trim(F.regexp_replace("value", r"^[^|]*\|", "")).alias("value"))
