@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -57,7 +57,7 @@ def blocks(off: np.ndarray, limit: int = BLOCK):
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``n``."""
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = -(-n // 65536) * 65536
         for k, b in enumerate((_BASE, _BACK)):
             full = np.full(size, b, np.uint64)
             full[0] = 1

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     named = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    every = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    every = kept(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))  # so that a hot fingerprint's rows can be split in the join
     return rows.join(every, "fp").select(key, "fp", "component_id")
 
 

@@ -18,7 +18,7 @@ training rows.  Labels, language, source and ids are never inputs of a score.
 Edge cases: null and empty texts get the score of a text without evidence.  Of
 several labels of one document the highest counts; null labels do not count.
 Without training labels every score is the same, below one half.  Repeated rows
-get equal scores; extra columns are ignored.  Memory follows 2 MB of text or the
+get equal scores; extra columns are ignored.  Memory follows 1 MB of text or the
 longest text; the lexicon is bounded (``LEXICON`` entries, by evidence).
 """
 
