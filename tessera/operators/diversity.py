@@ -112,3 +112,8 @@ def ellipses(points: DataFrame, by: str, x: str = "x", y: str = "y", n_std: floa
     theta = F.degrees(F.atan2(half + gap - F.col("a"), F.col("b")))
     side = lambda v: 2 * n_std * F.sqrt(F.greatest(v, F.lit(0.0)))
     return s.select(by, "cx", "cy", side(half + gap).alias("width"), side(half - gap).alias("height"), theta.alias("theta"))
+
+
+def compositional_table(x: DataFrame) -> DataFrame:
+    """log10 depth, richness and entropy of observations that are not all zero."""
+    return depth_richness(x).where("depth > 0").select("obs", F.log10("depth").alias("log_depth")).join(alpha_diversity(x).select("obs", "richness", "entropy"), "obs")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,7 @@ def metrics(k: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def scale_free(k: DataFrame, bins: int = 10, pseudocount: float = 1e-9, by: list[str] | None = None) -> DataFrame:
-    """Log-log fit of the degree distribution over equal-width, right-closed bins: slope, R squared and signed fit."""
+    """Log-log fits of the degree distribution over equal-width, right-closed bins: slope, R squared, signed fit and information criteria, and the fit with a truncation term."""
     by = by or []
     w = Window.partitionBy(*(by or [F.lit(0)]))
     lo, hi, n = F.min("k").over(w), F.max("k").over(w), F.count("k").over(w)
@@ -52,7 +54,26 @@ def scale_free(k: DataFrame, bins: int = 10, pseudocount: float = 1e-9, by: list
     full = spread.join(got, [*by, "bin"], "left")
     middle = F.col("lo") + (F.col("bin") - 0.5) * width
     full = full.withColumns({"x": F.log10(F.when(F.coalesce(F.col("mk"), F.lit(0.0)) == 0, middle).otherwise(F.col("mk"))), "y": F.log10(F.coalesce(F.col("c") / F.col("n"), F.lit(0.0)) + pseudocount)})
-    return full.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")).withColumn("fit", -F.signum("slope") * F.col("r2"))
+    fit = full.groupBy(*by).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count(F.lit(1)).alias("n"), F.regr_syy("y", "x").alias("syy"))
+    rest = F.col("syy") * (1 - F.col("r2"))
+    fit = fit.withColumns({"fit": -F.signum("slope") * F.col("r2"), "adj_r2": 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2), "loglik": -F.col("n") / 2 * (F.ln(2 * math.pi * rest / F.col("n")) + 1)})
+    fit = fit.withColumns({"aic": 4 - 2 * F.col("loglik"), "bic": 2 * F.ln("n") - 2 * F.col("loglik")}).drop("n", "syy")
+    return fit.join(_truncated(full, by), by) if by else fit.crossJoin(F.broadcast(_truncated(full, by)))
+
+
+def _truncated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """R squared, plain and adjusted, of y on x and 10 ** x."""
+    kinds = dict(rows.dtypes)
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g.x.to_numpy(), g.y.to_numpy()
+        m = np.column_stack((np.ones(len(x)), x, 10**x))
+        r = y - m @ np.linalg.lstsq(m, y, rcond=None)[0]
+        total = ((y - y.mean()) ** 2).sum()
+        r2 = 1 - (r**2).sum() / total if total else np.nan
+        return pd.DataFrame({**{c: [g[c].iloc[0]] for c in by}, "r2_truncated": [r2], "adj_r2_truncated": [1 - (1 - r2) * (len(x) - 1) / (len(x) - 3)]})
+
+    return rows.groupBy(*by).applyInPandas(fit, ", ".join([*[f"{c} {kinds[c]}" for c in by], "r2_truncated double", "adj_r2_truncated double"]))
 
 
 def soft_threshold(similarity: DataFrame, powers=(*range(1, 11), *range(12, 30, 2)), bins: int = 10) -> DataFrame:
@@ -142,6 +163,20 @@ def axis_connections(edges: DataFrame, axes: DataFrame) -> DataFrame:
     return both.join(axes.select(F.col("node").alias("node_b"), "axis"), "node_b").groupBy(F.col("node_a").alias("node"), "axis").agg(F.sum("weight").alias("weight"))
 
 
+def compare_axes(a: DataFrame, b: DataFrame, axes: DataFrame) -> DataFrame:
+    """Rank-sum p of each node's weights to each axis in two networks."""
+    from .pairs import _mannwhitney
+
+    def weights(e: DataFrame, name: str) -> DataFrame:
+        return redundant(e).join(axes.select(F.col("node").alias("node_b"), "axis"), "node_b").groupBy(F.col("node_a").alias("node"), "axis").agg(F.array_sort(F.collect_list("weight")).alias(name))
+
+    @F.pandas_udf("double")
+    def test(p: pd.Series, q: pd.Series) -> pd.Series:
+        return pd.Series([_mannwhitney(np.asarray(u, float), np.asarray(v, float)) for u, v in zip(p, q, strict=True)], dtype="float64")
+
+    return weights(a, "wa").join(weights(b, "wb"), ["node", "axis"]).select("node", "axis", test("wa", "wb").alias("p_value"))
+
+
 def edge_struct(a, b, weight, directed=None):
     """An edge as a struct: ends, absolute weight, sign, and direction (NULL for a self-loop); undirected ends are ordered."""
     swap = (a > b) & F.coalesce(~F.lit(directed) if directed is not None else F.lit(True), F.lit(True))

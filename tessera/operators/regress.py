@@ -152,3 +152,8 @@ def predict(synopsis: DataFrame, metadata: DataFrame, variables: list[str]) -> D
     terms = [F.struct(F.lit("Intercept").alias("term"), F.lit(1.0).alias("z"))] + [F.struct(F.lit(v).alias("term"), F.col(v).cast("double").alias("z")) for v in variables]
     long = metadata.select("obs", F.explode(F.array(*terms)).alias("t")).select("obs", "t.term", "t.z")
     return long.join(synopsis.select("attr", "term", "coef"), "term").groupBy("obs", "attr").agg(F.sum(F.col("z") * F.col("coef")).alias("v"))
+
+
+def residuals(x: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Observed, predicted and left over values of every cell."""
+    return x.join(predicted.withColumnRenamed("v", "predicted"), ["obs", "attr"]).withColumn("residual", F.col("v") - F.col("predicted"))

@@ -197,3 +197,70 @@ def by_size(clusters: DataFrame) -> DataFrame:
     """Clusters renumbered from the largest."""
     n = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return clusters.join(n.withColumn("number", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")) - 1), "cluster").select("node", F.col("number").alias("cluster"))
+
+
+def edges_of(z: np.ndarray, labels: list) -> pd.DataFrame:
+    """Parent table of a linkage, inner nodes named y1, y2, ... in merge order; a branch is half the difference of heights."""
+    n, name = len(labels), [str(x) for x in labels] + [f"y{k + 1}" for k in range(len(z))]
+    height = [0.0] * n + [float(r[2]) for r in z]
+    rows = [(name[int(c)], name[n + k], (height[n + k] - height[int(c)]) / 2, int(c) < n) for k, r in enumerate(z) for c in r[:2]]
+    return pd.DataFrame([*rows, (name[-1], None, None, n == 1)], columns=["node", "parent", "length", "is_leaf"])
+
+
+def polytomies(tree: DataFrame) -> DataFrame:
+    """Nodes with more than two children."""
+    return tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children")).where("children > 2")
+
+
+def prune(tree: pd.DataFrame, leaves: set) -> pd.DataFrame:
+    """The tree of some leaves: other leaves go, and inner nodes with one child are joined to it, lengths added."""
+    parent, length = dict(zip(tree.node, tree.parent, strict=True)), dict(zip(tree.node, tree.length, strict=True))
+    keep: set = set()
+    for leaf in leaves & set(tree.node[tree.is_leaf]):
+        while leaf is not None and leaf == leaf and leaf not in keep:
+            keep.add(leaf)
+            leaf = parent[leaf]
+    children: dict = {}
+    for n in keep:
+        children.setdefault(parent[n], []).append(n)
+    rows = []
+
+    def walk(n, above, extra):
+        while len(children.get(n, [])) == 1:
+            n = children[n][0]
+            extra += length[n] if length[n] == length[n] and length[n] is not None else 0.0
+        rows.append((n, above, None if above is None else extra, n not in children))
+        for c in children.get(n, []):
+            walk(c, n, length[c] if length[c] == length[c] and length[c] is not None else 0.0)
+
+    for n in keep:
+        if parent[n] is None or parent[n] != parent[n]:
+            walk(n, None, 0.0)
+    return pd.DataFrame(rows, columns=["node", "parent", "length", "is_leaf"])
+
+
+def bifurcating(tree: pd.DataFrame) -> pd.DataFrame:
+    """Nodes with more than two children as chains of nodes with two, new branches of length 0."""
+    rows, kids = [], {}
+    for r in tree.itertuples(index=False):
+        kids.setdefault(r.parent, []).append(r)
+    for parent, group in kids.items():
+        at = parent
+        for k, r in enumerate(group):
+            last = len(group) - k <= 2 or parent is None
+            rows.append((r.node, at, r.length, r.is_leaf))
+            if not last:
+                new = f"{parent}.{k + 1}"
+                rows.append((new, at, 0.0, False))
+                at = new
+    return pd.DataFrame(rows, columns=["node", "parent", "length", "is_leaf"])
+
+
+def topology(x: DataFrame, y: DataFrame, method: str = "ward") -> pd.DataFrame:
+    """The hierarchy of classes: linkage of the distances of their eigenprofiles, as a parent table."""
+    from .ordination import eigenprofiles
+    from .pairs import pairwise
+
+    profiles = eigenprofiles(x, y).select(F.col("attr").alias("obs"), F.col("class").alias("attr"), "v")
+    labels, d = square(pairwise(profiles, "euclidean"))
+    return edges_of(linkage(d, method), labels)

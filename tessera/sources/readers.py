@@ -186,3 +186,17 @@ def read_key_value_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``key |<tab>value`` of an alignment log."""
     rows = read_textfile(spark, path).where("instr(value, '|') > 0")
     return rows.select("file", F.trim(F.substring_index("value", "|", 1)).alias("key"), F.trim(F.regexp_replace("value", r"^[^|]*\|", "")).alias("value"))
+
+
+def read_marker_genes(spark: SparkSession, path: str) -> DataFrame:
+    """Marker lists: gene, accession and source of their profile."""
+    return spark.read.csv(path, sep="\t", header=True).toDF("gene", "accession", "source")
+
+
+def database(spark: SparkSession, folder: str, name: str | None = None):
+    """A Parquet table of a folder, or the names of all."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    names = sorted(f.getPath().getName().removesuffix(".parquet") for f in files if f.getPath().getName().endswith(".parquet"))
+    return names if name is None else spark.read.parquet(f"{folder}/{name}.parquet")

@@ -59,3 +59,62 @@ def test_submodels(spark):
     edges = select.fit_submodels(x, targets, spark.createDataFrame([("root", "a")], "submodel string, attr string"))
     got = {r.obs: r.node for r in select.descend(edges, "root").collect()}
     assert all(got[i] == ("odd" if i % 2 else "even") for i in range(20))
+
+
+def test_tree_tools(spark):
+    import pandas as pd
+
+    from tessera.operators import tree
+
+    t = tree.parse_newick("((a:1,b:2,c:1):1,d:3);")
+    assert tree.polytomies(spark.createDataFrame(t)).head().children == 3
+    two = tree.bifurcating(t)
+    assert two[two.parent.notna()].groupby("parent").size().max() == 2 and set(two.node[two.is_leaf]) == set("abcd")
+    p = tree.prune(t, {"a", "d"})
+    got = {r.node: (r.parent, r.length) for r in p.itertuples()}
+    assert set(got) == {"y1", "a", "d"} and got["a"][1] == 2 and got["d"][1] == 3
+    z = tree.linkage(np.array([[0, 1, 4], [1, 0, 4], [4, 4, 0]], float), "average")
+    e = tree.edges_of(z, list("abc"))
+    assert isinstance(e, pd.DataFrame) and e.set_index("node").length["c"] == 2 and e.parent.isna().sum() == 1
+
+
+def test_topology_and_fits(spark):
+    from tessera.operators import network, regress, tree
+
+    rng = np.random.RandomState(0)
+    base = {"x": rng.normal(size=6), "y": rng.normal(size=6)}
+    base["z"] = base["x"] + 0.1 * rng.normal(size=6)
+    x = spark.createDataFrame([(f"{c}{i}", f"f{j}", float(base[c][j] * (1 + i / 10))) for c in base for i in range(4) for j in range(6)], "obs string, attr string, v double")
+    y = spark.createDataFrame([(f"{c}{i}", c) for c in base for i in range(4)], "obs string, class string")
+    t = tree.topology(x, y)
+    assert t[t.node == "x"].parent.iloc[0] == t[t.node == "z"].parent.iloc[0]
+    k = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.pareto(2, 300) + 1)], "node int, k double")
+    r = network.scale_free(k).head()
+    assert r.slope < 0 and 0 <= r.r2 <= r.r2_truncated + 1e-9 <= 1 + 1e-9 and r.bic > -1e9
+    a = spark.createDataFrame([("a", f"b{i}", float(i)) for i in range(10)], "node_a string, node_b string, weight double")
+    axes = spark.createDataFrame([(f"b{i}", "B") for i in range(10)], "node string, axis string")
+    assert network.compare_axes(a, a.withColumn("weight", F.col("weight") + 50), axes).where("node = 'a'").head().p_value < 0.01
+    cells = spark.createDataFrame([(i, "m", 2.0 * i + 1) for i in range(9)], "obs int, attr string, v double")
+    meta = spark.createDataFrame([(i, float(i)) for i in range(9)], "obs int, u double")
+    left = regress.residuals(cells, regress.predict(regress.glm(cells, meta, ["u"]), meta, ["u"]))
+    assert left.where("abs(residual) > 1e-9").isEmpty()
+
+
+def test_collections(spark):
+    from tessera.functions import collections as C
+
+    df = spark.sql("select map('a', 1, 'b', 2) m, array('a', 'c') ks, array('a') s")
+    r = df.select(C.map_reverse(F.col("m")).alias("rev"), C.map_keep(F.col("m"), F.col("ks")).alias("keep"), C.map_fill(F.col("m"), F.col("ks"), 0).alias("fill"), C.intersection(F.col("ks"), F.col("s")).alias("i"), C.is_subset(F.col("s"), F.col("ks")).alias("sub"), C.union(F.col("ks"), F.col("s")).alias("u")).head()
+    assert r.rev == {1: "a", 2: "b"} and r.keep == {"a": 1} and r.fill == {"a": 1, "b": 2, "c": 0} and r.i == ["a"] and r["sub"] and r.u == ["a", "c"]
+    assert C.map_expand(df.select("m"), "m").count() == 2
+    assert C.both_known(spark.createDataFrame([(1.0, None), (float("nan"), 1.0), (1.0, 2.0)], "a double, b double"), "a", "b").count() == 1
+
+
+def test_database_folder(spark, tmp_path):
+    from tessera.operators import diversity
+    from tessera.sources import readers
+
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert readers.database(spark, str(tmp_path)) == ["t"] and readers.database(spark, str(tmp_path), "t").count() == 3
+    x = spark.createDataFrame([("o", "a", 10.0), ("z", "a", 0.0)], "obs string, attr string, v double")
+    assert [tuple(r) for r in diversity.compositional_table(x).collect()] == [("o", 1.0, 1, 0.0)]
