@@ -255,6 +255,14 @@ query("g02_soft_threshold", f"with {SIM}, b as (select node_a as node, weight fr
 query("g03_tom", f"with {SIM}, {DEGREE}, b as (select node_a, node_b, weight from e union all select node_b, node_a, weight from e), l as (select p.node_a, q.node_b, sum(p.weight * q.weight) as l from b p join b q on p.node_b = q.node_a where p.node_a < q.node_b group by 1, 2) select e.node_a, e.node_b, {r6('(coalesce(l, 0) + weight) / (least(ka.k, kb.k) + 1 - weight)')} as weight from e left join l on e.node_a = l.node_a and e.node_b = l.node_b join k ka on e.node_a = ka.node join k kb on e.node_b = kb.node")(lambda s, d: rounded(G.topological_overlap(_similarity(s, d)), "weight"))
 
 
+@query("g03_tom_blocks", f"with v as (select vec_id as n, cast(embedding as double[64]) as e from embeddings), e as (select a.n as node_a, b.n as node_b, power((1 + array_cosine_similarity(a.e, b.e)) / 2, 6) as weight from v a join v b on a.n < b.n), b as (select node_a, node_b, weight from e union all select node_b, node_a, weight from e), k as (select node_a as node, sum(weight) as k from b group by 1), l as (select p.node_a, q.node_b, sum(p.weight * q.weight) as l from b p join b q on p.node_b = q.node_a where p.node_a < q.node_b group by 1, 2) select e.node_a, e.node_b, {r6('(coalesce(l, 0) + weight) / (least(ka.k, kb.k) + 1 - weight)')} as weight from e left join l on e.node_a = l.node_a and e.node_b = l.node_b join k ka on e.node_a = ka.node join k kb on e.node_b = kb.node")
+def _g03_blocks(s, d):
+    from ..operators import blocks as B
+
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vec"))
+    return rounded(B.topological_overlap(B.similarity_tiles(B.row_blocks(vectors), 6.0)), "weight")
+
+
 def _partitions(s, d):
     return table(s, d, "nation").select(F.explode(F.array(*[F.lit(i) for i in range(6)])).alias("iter"), F.col("n_name").alias("node"), F.expr("n_nationkey").alias("k")).select("iter", "node", ((F.col("k") * (F.col("iter") + 3)) % (F.col("iter") + 2)).alias("cluster"))
 

@@ -118,3 +118,17 @@ def test_database_folder(spark, tmp_path):
     assert readers.database(spark, str(tmp_path)) == ["t"] and readers.database(spark, str(tmp_path), "t").count() == 3
     x = spark.createDataFrame([("o", "a", 10.0), ("z", "a", 0.0)], "obs string, attr string, v double")
     assert [tuple(r) for r in diversity.compositional_table(x).collect()] == [("o", 1.0, 1, 0.0)]
+
+
+def test_blocks_equal_long_form(spark):
+    from tessera.operators import blocks, network
+
+    rng = np.random.RandomState(0)
+    m = rng.normal(size=(40, 5))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "node int, vec array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    a = ((1 + u @ u.T) / 2) ** 2
+    edges = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(40) for j in range(i + 1, 40)], "node_a int, node_b int, weight double")
+    want = {(r.node_a, r.node_b): r.weight for r in network.topological_overlap(edges).collect()}
+    got = {(r.node_a, r.node_b): r.weight for r in blocks.topological_overlap(blocks.similarity_tiles(blocks.row_blocks(vectors, 16), 2.0)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
