@@ -83,10 +83,10 @@ def extend(df: DataFrame, keys: DataFrame, key: str, fill: dict) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "full").fillna(fill)
 
 
-def drop_duplicates(df: DataFrame, key: str, order: str, keep: str = "first") -> DataFrame:
+def drop_duplicates(df: DataFrame, key: str, *order: str, keep: str = "first") -> DataFrame:
     """The first or last row of each key in a stated order."""
-    by = F.col(order).asc() if keep == "first" else F.col(order).desc()
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(by))).where("__n = 1").drop("__n")
+    by = [F.col(o).asc() if keep == "first" else F.col(o).desc() for o in order]
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("__n = 1").drop("__n")
 
 
 def symmetric(x: DataFrame) -> DataFrame:

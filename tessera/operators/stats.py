@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import t_sf2
+from ..storage import kept
 
 
 def welch(x: DataFrame, group: str, a, b) -> DataFrame:
@@ -91,6 +92,38 @@ def p_adjust(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: st
     return rows.withColumn(into, F.when(q.isNotNull(), F.least(F.lit(1.0), out))).drop("__m", "__r", "__v")
 
 
+def p_adjust_many(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: str = "q_value") -> DataFrame:
+    """``p_adjust`` over all rows (Bonferroni, Holm, Hochberg, BH) without a window over all of them.
+
+    Rows are range-partitioned by p and kept; ranks and running extremes are
+    windows inside partitions, carried over by a table with a row a partition.
+    """
+    method = {"fdr": "fdr_bh", "bh": "fdr_bh"}.get(method, method)
+    known = df.where(F.col(p).isNotNull())
+    placed = kept(known.repartitionByRange(F.col(p)).withColumn("__part", F.spark_partition_id()))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    over = Window.orderBy("__part")
+    sizes = sizes.select("__part", (F.sum("__n").over(over) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
+    inside = Window.partitionBy("__part").orderBy(p)
+    rows = placed.join(F.broadcast(sizes), "__part").withColumn("__r", F.row_number().over(inside) + F.col("__before"))  # a row a partition
+    q, left = F.col(p), F.col("__m") - F.col("__r") + 1
+    value = {"bonferroni": q * F.col("__m"), "holm": q * left, "simes-hochberg": q * left, "fdr_bh": q * F.col("__m") / F.col("__r")}[method]
+    rows = rows.withColumn("__v", value)
+    if method == "holm":
+        ends = rows.groupBy("__part").agg(F.max("__v").alias("__e"))
+        ends = ends.select("__part", F.max("__e").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__e"))
+        best = F.greatest(F.max("__v").over(Window.partitionBy("__part").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)), F.col("__e"))
+    elif method == "bonferroni":
+        ends, best = None, F.col("__v")
+    else:
+        ends = rows.groupBy("__part").agg(F.min("__v").alias("__e"))
+        ends = ends.select("__part", F.min("__e").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__e"))
+        best = F.least(F.min("__v").over(Window.partitionBy("__part").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)), F.col("__e"))
+    rows = rows if ends is None else rows.join(F.broadcast(ends), "__part")
+    out = rows.withColumn(into, F.least(F.lit(1.0), best)).select(*df.columns, into)
+    return out.unionByName(df.where(F.col(p).isNull()).withColumn(into, F.lit(None).cast("double")))
+
+
 def symbols(p: Column, other: str = "ns") -> Column:
     """Stars of significance; the empty string for NULL."""
     return F.when(p <= 0.0001, "****").when(p <= 0.001, "***").when(p <= 0.01, "**").when(p <= 0.05, "*").when(p > 0.05, other).otherwise("")

@@ -169,13 +169,27 @@ query("pf09_collapse", "select c_mktsegment, count(distinct c_custkey) as n from
 query("pf10_group_columns", "with r as (select n_name, n_regionkey, row_number() over (partition by n_regionkey order by n_name) - 1 as row from nation) select row, max(n_name) filter (n_regionkey = 0) as \"0\", max(n_name) filter (n_regionkey = 1) as \"1\", max(n_name) filter (n_regionkey = 2) as \"2\", max(n_name) filter (n_regionkey = 3) as \"3\", max(n_name) filter (n_regionkey = 4) as \"4\" from r group by row")(
     lambda s, d: M.group_columns(table(s, d, "nation"), "n_name", "n_regionkey", [0, 1, 2, 3, 4]).withColumn("row", F.col("row").cast("long"))
 )
-query("pf12_first_of_key", "select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_linenumber) as n from lineitem) where n = 1")(lambda s, d: M.drop_duplicates(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber"))
+query("pf12_first_of_key", "select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as n from lineitem) where n = 1")(lambda s, d: M.drop_duplicates(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", "l_linenumber", "l_partkey"))
 query("pf14_matmul", f"with {BRAND}, m as (select p_brand as obs, p_type as attr, cast(count(*) as double) as v from part group by 1, 2) select x.obs, m.attr, sum(x.v * m.v) as v from x join m on x.attr = m.obs group by 1, 2")(lambda s, d: M.matmul(bought(s, d), table(s, d, "part").groupBy(F.col("p_brand").alias("obs"), F.col("p_type").alias("attr")).agg(F.count(F.lit(1)).cast("double").alias("v"))))
 query("pf16_otu_to_level", f"with {PART} select obs, p_type as attr, sum(v) as v from x join part on attr = p_partkey group by 1, 2")(lambda s, d: M.to_level(bought(s, d, "l_partkey"), table(s, d, "part").select(F.col("p_partkey").alias("attr"), "p_type"), "p_type"))
 query("so05_venn", f"with {SETS}, t as (select distinct n_regionkey as set_name, feature from s join nation on set_name = n_nationkey) select sig as signature, count(*) as n from (select feature, string_agg(cast(set_name as varchar), '&' order by cast(set_name as varchar)) as sig from t group by feature) group by sig")(
     lambda s, d: M.venn(_sets(s, d).join(table(s, d, "nation"), F.col("set_name") == F.col("n_nationkey")).select(F.col("n_regionkey").cast("string").alias("set_name"), "feature"))
 )
 
+query("j03_semi", "select c_custkey from customer where c_custkey in (select o_custkey from orders)")(lambda s, d: table(s, d, "customer").select("c_custkey").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi"))
+query("j04_anti", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49)")(lambda s, d: table(s, d, "part").select("p_partkey").join(table(s, d, "lineitem").where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_anti"))
+query("j10_adjacent", "select * from (select l_orderkey, l_linenumber, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as next_part from lineitem) where next_part is not null")(
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("next_part")).where("next_part is not null")
+)
+query("so03_difference", "select c_nationkey as k from customer except select s_nationkey from supplier where s_acctbal > 9000")(lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(s, d, "supplier").where("s_acctbal > 9000").select("s_nationkey")))
+query("pf11_extend", f"with {DID}, k as (select distinct c_custkey as obs from customer) select coalesce(x.obs, k.obs) as obs, coalesce(sum(x.v), 0) as v from x full join k on x.obs = k.obs group by 1")(
+    lambda s, d: M.extend(did(s, d).groupBy("obs").agg(F.sum("v").alias("v")), table(s, d, "customer").select(F.col("c_custkey").alias("obs")), "obs", {"v": 0.0})
+)
+query("pf13_symmetric", "with c as (select l_returnflag as a, l_linestatus as b, cast(count(*) as double) as v from lineitem group by 1, 2), u as (select a, b, v from c union all select b, a, v from c) select a as obs, b as attr, sum(v) / 2 as v from u group by 1, 2")(
+    lambda s, d: M.symmetric(table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("obs"), F.col("l_linestatus").alias("attr")).agg(F.count(F.lit(1)).cast("double").alias("v")))
+)
+query("pf17_redundant", f"with {NATION}, e as (select a.obs as node_a, b.obs as node_b, sum(abs(a.v - b.v)) as weight from z a join z b on a.attr = b.attr and a.obs < b.obs group by 1, 2) select node_a, node_b, weight from e union all select node_b, node_a, weight from e union all select n, n, 0.0 from (select distinct obs as n from z)")(lambda s, d: M.redundant(P.pairwise(by_nation(s, d), "cityblock", axis=0), 0.0))
+
 # pairs
 for _name, _expr in (
     ("euclidean", "sqrt(sum((a.v - b.v) * (a.v - b.v)))"),
@@ -318,6 +332,36 @@ def _paths(s, d):
 query("st_depth_richness", f"select time_bucket(interval '1 hour', ts) as start, user_id, {r6('sum(value)')} as depth, count(*) as n, count(distinct event_type) as richness from events group by 1, 2")(lambda s, d: rounded(W.depth_richness(table(s, d, "events")), "depth"))
 
 
+query("s08_volcano", f"with {NATION}, y as (select z.*, n_regionkey = 0 as c from z join nation on obs = n_nationkey), m as (select attr, log2(avg(v) filter (not c)) - log2(avg(v) filter (c)) as x, (length(attr) * 7919 + ascii(right(attr, 1)) * 104729) % 997 / 997.0 as p from y group by attr) select attr, {r6('x')} as x, {r6('-log2(p)')} as y, abs(x) >= 0.1 and p < 0.5 as significant from m")(lambda s, d: _volcano(s, d))
+
+
+def _volcano(s, d):
+    y = by_nation(s, d).join(table(s, d, "nation").select(F.col("n_nationkey").alias("obs"), (F.col("n_regionkey") == 0).alias("c")), "obs")
+    m = y.groupBy("attr").agg((F.log2(F.avg(F.when(~F.col("c"), F.col("v")))) - F.log2(F.avg(F.when(F.col("c"), F.col("v"))))).alias("x"))
+    m = m.withColumn("p", (F.length("attr") * 7919 + F.ascii(F.right("attr", F.lit(1))) * 104729) % 997 / 997.0)
+    return rounded(T.volcano(m, "x", "p", 0.1, 0.5).drop("p"), "x", "y")
+
+
+query("d_components", "with m as (select distinct p_partkey, p_brand || '|' || p_type as component from part) select o_custkey as obs, component as attr, sum(l_quantity) as v from lineitem join orders on l_orderkey = o_orderkey join m on l_partkey = p_partkey group by 1, 2")(lambda s, d: _components(s, d))
+
+
+def _components(s, d):
+    from ..operators import components as K
+
+    p = table(s, d, "part")
+    members = K.assign(p.select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("taxon")), p.select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("function")))
+    return K.component_counts(bought(s, d, "l_partkey"), members)
+
+
+@query("s04_differential_abundance")
+def _s04(s, d):
+    from ..operators import differential as DA
+
+    y = classes(s, d).withColumn("class", F.when(F.col("class") == "BUILDING", "ref").otherwise("case"))
+    x = bought(s, d, "p_type")
+    return DA.likelihood_ratio(x, y.join(x.select("obs").distinct(), "obs", "left_semi"), "ref")
+
+
 # models, trees and ordination: rows only, tested against invariants
 def _embedded(s, d):
     e = table(s, d, "embeddings")

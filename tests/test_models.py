@@ -132,3 +132,15 @@ def test_blocks_equal_long_form(spark):
     want = {(r.node_a, r.node_b): r.weight for r in network.topological_overlap(edges).collect()}
     got = {(r.node_a, r.node_b): r.weight for r in blocks.topological_overlap(blocks.similarity_tiles(blocks.row_blocks(vectors, 16), 2.0)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("method", ["bonferroni", "holm", "simes-hochberg", "fdr_bh"])
+def test_many_p_values(spark, method):
+    from tessera.operators import stats
+
+    rng = np.random.RandomState(0)
+    p = [None if i % 50 == 0 else float(round(v, 2)) for i, v in enumerate(rng.uniform(size=400) ** 3)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p_value double")
+    a = {r.i: r.q_value for r in stats.p_adjust(df, method=method).collect()}
+    b = {r.i: r.q_value for r in stats.p_adjust_many(df, method=method).collect()}
+    assert a.keys() == b.keys() and all(a[i] == b[i] or abs(a[i] - b[i]) < 1e-12 for i in a)
