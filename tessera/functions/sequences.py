@@ -18,9 +18,20 @@ def canonical(c: Column) -> Column:
 
 
 def fragments(c: Column, size: int, step: int = 1) -> Column:
-    """All substrings of a size, at a step."""
-    last = F.length(c) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step)), lambda i: F.substr(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of a size, at a step.
+
+    Characters are split once and joined by array slices: a substring of a
+    string is found by walking from its start, which long sequences can't afford.
+    """
+    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(letters, lambda x: x) if size == 1 and step == 1 else _joined(letters, size, step)
+
+
+def _joined(letters: Column, size: int, step: int) -> Column:
+    # the letters from each place on, zipped: a k-mer is one concatenation, with no search
+    zipped = F.arrays_zip(*[F.slice(letters, F.lit(k + 1), F.greatest(F.size(letters) - k, F.lit(0))).alias(f"c{k}") for k in range(size)])
+    whole = F.filter(F.transform(zipped, lambda z: F.concat(*[z[f"c{k}"] for k in range(size)])), lambda x: x.isNotNull())
+    return whole if step == 1 else F.filter(F.transform(whole, lambda x, i: F.when(i % step == 0, x)), lambda x: x.isNotNull())
 
 
 def count_kmers(seqs: DataFrame, k: int = 4, collapse: bool = False, pseudocount: float = 0.0, frequency: bool = True, fill: bool = False) -> DataFrame:
@@ -28,7 +39,8 @@ def count_kmers(seqs: DataFrame, k: int = 4, collapse: bool = False, pseudocount
 
     ``fill`` adds k-mers that only other sequences have, with the pseudocount.
     """
-    rows = seqs.select("seq_id", F.explode(fragments(F.upper("seq"), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
+    # dealing sequences first is the only shuffle: counts and shares of a sequence then stay where it is
+    rows = seqs.select("seq_id", "seq").repartition("seq_id").select("seq_id", F.explode(fragments(F.upper("seq"), k)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
     rows = rows.withColumn("kmer", canonical(F.col("kmer"))) if collapse else rows
     out = rows.groupBy("seq_id", "kmer").agg((F.count(F.lit(1)) + F.lit(float(pseudocount))).alias("v"))
     if fill:
