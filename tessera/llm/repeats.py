@@ -166,7 +166,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: s
 
     def settle(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         if not len(chunk):
-            return (edit_schema(out_schema)).empty_table()
+            return arrow_schema(out_schema).empty_table()
         w = _Windows(chunk, text, order, size)
         h, g, r, place = w.distinct()
         lost = np.zeros(len(h), bool)
@@ -197,7 +197,8 @@ def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: s
     return parts.groupBy("__chunk").cogroup(dominated.withColumnRenamed("chunk", "__chunk").groupBy("__chunk")).applyInArrow(settle, out_schema)
 
 
-def edit_schema(schema: StructType) -> pa.Schema:
+def arrow_schema(schema: StructType) -> pa.Schema:
+    """What Arrow calls a table of this schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(schema)

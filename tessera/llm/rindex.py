@@ -32,7 +32,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from ._blocks import covered, mix, pack_sorted, powers, prefix, span_hash, unpack_sorted, utf8
 from ._chunks import buckets, chunked, column, sides
-from .repeats import _in, _short, edit_schema
+from .repeats import _in, _short, arrow_schema
 
 SIZE, GRAM = 50, 20
 
@@ -365,7 +365,7 @@ def find_long_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text:
 
     def settle(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         if not len(chunk):
-            return edit_schema(out_schema).empty_table()
+            return arrow_schema(out_schema).empty_table()
         s = _Stretches(chunk, text, order, size, gram)
         name = span_hash(s.sums, s.start, s.stop + size - 1)
         by = np.lexsort((s.rank, name))
