@@ -26,6 +26,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The largest prime below 2**32, and what ``check_hash`` takes modulo it.
+PRIME = 4294967291
+_ROOT = 2654435769
+_REST = np.random.default_rng(20260126).integers(1, PRIME, 256, dtype=np.uint64)
+_rests = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +84,31 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _residues(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of ``check_hash`` and of its inverse modulo ``PRIME``, at least ``n``."""
+    if len(_rests[0]) < n:
+        for k, b in enumerate((_ROOT, pow(_ROOT, -1, PRIME))):
+            full = np.ones(1, np.uint64)
+            while len(full) < n:
+                full = np.concatenate((full, full * np.uint64(pow(b, len(full), PRIME)) % np.uint64(PRIME)))
+            _rests[k] = full
+    return _rests[0], _rests[1]
+
+
+def check_hash(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words (ascending, each inside a row) modulo a prime, spread over 64 bits: what collides in ``span_hash`` does not here."""
+    out = np.zeros(len(starts), np.uint64)
+    p = np.uint64(PRIME)
+    for i, j in blocks(off):
+        a, b = np.searchsorted(starts, (off[i], off[j]))
+        up, down = _residues(int(off[j] - off[i]) + 1)
+        sums = np.zeros(off[j] - off[i] + 1, np.uint64)
+        np.cumsum(_REST[data[off[i] : off[j]]] * up[: len(sums) - 1] % p, out=sums[1:])
+        s, e = starts[a:b] - off[i], ends[a:b] - off[i]
+        out[a:b] = mix((sums[e] - sums[s]) % p * down[s] % p | (e - s).astype(np.uint64) << np.uint64(32))
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -102,15 +132,15 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(finish) + 1, np.searchsorted(off, starts, "right") - 1
 
 
-def windows(h: np.ndarray, doc: np.ndarray, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def windows(h: np.ndarray, doc: np.ndarray, size: int, factor: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``size`` consecutive words of one row, and where they start."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(doc[:n] == doc[size - 1 :])
-    out = np.full(n, seed, np.uint64)
+    out = np.ones(n, np.uint64)
     for k in range(size):
-        out *= np.uint64(0xD6E8FEB86659FD93)
+        out *= np.uint64(factor)
         out += h[k : k + n]
     return mix(out[at]), at
 

@@ -3,7 +3,7 @@
 A window is ``size`` consecutive words of one document.  Every word that lies in
 a window which also occurs in an earlier document goes; windows are judged on
 the input.  Fingerprints have 96 bits: 64 that order the runs and 32 of another
-hash that verify every match.
+hash, of the words modulo a prime, that verify every match.
 
 Chunks of documents are the level-0 runs: sorted, immutable arrays of their
 distinct window hashes.  A first merge-join of the runs of each hash range, on
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._blocks import covered, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
+from ._blocks import check_hash, covered, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
 from ._chunks import buckets, chunked, column, sides
 
 SIZE = 13
@@ -42,7 +42,7 @@ _EARLIEST = np.iinfo(np.int64).min
 class _Windows:
     """The windows of a chunk, by distinct 96-bit fingerprint."""
 
-    def __init__(self, chunk: pa.Table, text: str, order: str, size: int):
+    def __init__(self, chunk: pa.Table, text: str, order: str, size: int, checks: bool = True):
         data, off = utf8(chunk.column(text))
         self.order = chunk.column(order).combine_chunks()
         known = ~np.asarray(self.order.is_null().to_numpy(zero_copy_only=False), bool)
@@ -50,11 +50,13 @@ class _Windows:
         starts, ends, self.doc = words(data, off)
         h = span_hash(prefix(data), starts, ends)
         self.h, self.at = windows(h, self.doc, size)
-        self.g = (windows(h, self.doc, size, 0x51ED270B)[0] >> np.uint64(32)).astype(np.uint32)
+        self.g = np.zeros(0, np.uint32)
+        if checks:  # of other word hashes, joined by another factor
+            self.g = (windows(check_hash(data, off, starts, ends), self.doc, size, 0xA0761D6478BD642F)[0] >> np.uint64(32)).astype(np.uint32)
         self.n = len(chunk)
         full = known[self.doc[self.at]]
         if not full.all():
-            self.h, self.g, self.at = self.h[full], self.g[full], self.at[full]
+            self.h, self.g, self.at = self.h[full], self.g[full] if checks else self.g, self.at[full]
         self.rank = rank[self.doc[self.at]]
 
     def distinct(self):
@@ -147,7 +149,7 @@ def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: s
     names = docs.columns
 
     def offer(chunk: pa.Table) -> pa.Table:
-        h = np.unique(_Windows(chunk, text, order, size).h)
+        h = np.unique(_Windows(chunk, text, order, size, False).h)
         found, at = sides(h, n)
         return _rows(_RUNS, [(int(b), chunk.column("__chunk")[0].as_py(), pack_sorted(np.unique(_short(h[i:j]))), b"", b"") for b, i, j in zip(found, at[:-1], at[1:], strict=True)])
 

@@ -7,12 +7,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera import llm
-from tessera.llm import _chunks, _links, bilinear, bpe, chat, mixing, mpeg, quality, repeats, rindex, simhash, toxicity
+from tessera.llm import _blocks, _chunks, _links, bilinear, bpe, chat, mixing, mpeg, quality, repeats, rindex, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -186,6 +187,23 @@ def test_word_repeats_equal_brute_force(docs, rows, empty):
     assert repeats.find_repeats(empty).count() == 0
 
 
+def test_windows_that_collide_are_told_apart(spark, tmp_path):
+    a, swap = "a", str.maketrans("ab", "ba")
+    for _ in range(12):  # two words that any polynomial hash modulo 2**64 takes for equal
+        a += a.translate(swap)
+    texts = [" ".join([*(f"w{k}" for k in range(12)), w]) for w in (a, a.translate(swap), a)]
+    data, off = _blocks.utf8(pa.array(texts))
+    starts, ends, doc = _blocks.words(data, off)
+    assert len(set(_blocks.windows(_blocks.span_hash(_blocks.prefix(data), starts, ends), doc, 13)[0].tolist())) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.find_repeats(docs).collect()} == {0: 0, 1: 0, 2: 13}
+    log = repeats.RunLog(spark, str(tmp_path / "log"), buckets=4)
+    log.add(docs.where("doc_id = 0"))
+    log.add(docs.where("doc_id = 5"))
+    log.compact()
+    assert {r.doc_id: r.n_removed for r in log.add(docs.where("doc_id > 0")).collect()} == {1: 0, 2: 13}
+
+
 def test_run_log_adds_and_compacts(spark, tmp_path):
     say = lambda s: " ".join(f"{s}{i}" for i in range(20))
     frame = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
