@@ -239,7 +239,7 @@ def _text_frame(name: bytes, body: bytes) -> bytes:
 
 
 def build(payload: bytes) -> bytes:
-    """A stream of the fewest frames that carries a payload."""
+    """A stream of the fewest frames that carries a payload; an ID3v1 tag ends it where its own bytes would read as one."""
     big, head = _FRAMES[-1]
     room = big - _HEAD
     full, rest = divmod(len(payload), room)
@@ -258,13 +258,17 @@ def build(payload: bytes) -> bytes:
     for k in range(100):
         toc.append(min(255, 256 * ends[k * len(parts) // 100] // total))
     table = b"Xing" + (7).to_bytes(4, "big") + len(parts).to_bytes(4, "big") + total.to_bytes(4, "big") + bytes(toc)
-    return b"".join([tag, (head + table).ljust(size, b"\0"), *parts])
+    out = b"".join([tag, (head + table).ljust(size, b"\0"), *parts])
+    return out + b"TAG".ljust(127, b"\0") + b"\xff" if out[-128:-125] == b"TAG" else out
 
 
 def payload(data: bytes, audio: Audio) -> bytes:
-    """What ``build`` stored."""
+    """What ``build`` stored; an error if some of it is missing."""
     body = b"".join([data[at + 6 + h.side : at + h.size] for at, h in zip(audio.offsets, audio.headers, strict=True)])
-    return body[: int(audio.tags["payload_bytes"])]
+    n = int(audio.tags["payload_bytes"])
+    if len(body) < n:
+        raise ValueError(f"the stream has {len(body)} of {n} payload bytes")
+    return body[:n]
 
 
 def features(a: Audio) -> dict:

@@ -284,6 +284,22 @@ def test_mpeg_round_trip(docs, empty):
     assert mpeg.probe(mpeg.store(empty)).count() == 0
 
 
+def test_mpeg_keeps_text_where_a_tag_may_stand(spark):
+    texts = ["x" * k + "TAG" + "y" * (n - k - 3) for n in (65, 100, 128, 1400, 1417, 1600, 3000) for k in range(n - 2)]
+    cut = 0
+    for t in texts:
+        p = mpeg.padded(t.encode())
+        m = mpeg.build(p)
+        a = mpeg.parse(m)
+        assert mpeg.payload(m, a) == p and a.vbr["frames"] == len(a.offsets) and a.junk == 0
+        cut += len(m) > m.rfind(b"\xff\xfa") + a.headers[-1].size
+    assert cut >= 3
+    with pytest.raises(ValueError):
+        mpeg.payload(m[:-5], mpeg.parse(m[:-5]))
+    r = mpeg.probe(mpeg.store(spark.createDataFrame([("x" * 29 + "TAG" + "y" * 90,)], "text string"))).head()
+    assert r.n_frames == r.vbr_frames == 1 and r.junk_bytes == 0
+
+
 def test_toxicity_restores_and_learns(spark, empty):
     rng = random.Random(5)
     vocab = ["the", "and", "with", "there", "other", "this", "over", "then", "that", "into"]
