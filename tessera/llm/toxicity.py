@@ -8,9 +8,11 @@ the restored text.  Words of plain letters without a threefold one have a single
 path and stay.
 
 Restored words and their beginnings are then scored: each gives the chance that
-a training document with it is toxic, for those where that chance is above nine in
-ten, and a document's score is the chance that not all of them mislead.  Near
-copies of one training text (same least hash of five words) count once.
+a training document with it is toxic, for all where that chance is above the base
+rate beyond doubt.  A feature counts as the chance that ``GRADE`` documents with it
+are all toxic (0.89 alone makes one half, weaker ones add less), and a document's
+score is the chance that not all of its features mislead.  Near copies of one training text (same least hash of five words) count
+once, toxic or clean, as far as 64 bits tell groups apart (to about 180).
 
 Labels come from training rows alone; the character model reads the texts of
 training rows.  Labels, language, source and ids are never inputs of a score.
@@ -19,7 +21,7 @@ Edge cases: null and empty texts get the score of a text without evidence.  Of
 several labels of one document the highest counts; null labels do not count.
 Without training labels every score is the same, below one half.  Repeated rows
 get equal scores; extra columns are ignored.  Memory follows 1 MB of text or the
-longest text; the lexicon is bounded (``LEXICON`` entries, by evidence).
+longest text, and the lexicon (16 bytes an entry).
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
 from ._chunks import buckets, sides
 
-#: Entries of the lexicon at most, with the most evidence first.
-LEXICON = 50_000
 #: Lengths of word beginnings that are scored besides whole words.
 STEMS = (4, 5, 6)
+#: How steeply a feature's evidence falls with its chance.
+GRADE = 6
 #: Restored words that a worker remembers.
 KNOWN = 200_000
 
@@ -230,7 +232,7 @@ def fit_characters(docs: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel(counts)
 
 
-_COUNTS = "bucket int, hashes binary, toxic binary, total binary, groups binary"
+_COUNTS = "bucket int, hashes binary, toxic binary, total binary, groups binary, others binary"
 
 
 def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -244,6 +246,12 @@ def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _texts(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """How many texts such rows are, copies of one counted once: as many groups as 64 bits can tell, or all rows."""
+    filled = np.bitwise_count(groups).astype(float)
+    return np.where(filled < 60, np.minimum(rows, -64 * np.log1p(-np.minimum(filled, 60) / 64)), rows)
+
+
 def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of telling features (ascending) and the chance of a toxic text with each, from all labelled rows."""
     n = max(1, buckets(labelled) // 8)  # every task may have some for every bucket
@@ -260,16 +268,16 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
             h = h[by]
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             if not len(at):
-                return h, np.zeros(0, np.uint32), np.zeros(0, np.uint32), h
-            t, m, g = (np.concatenate([x[k] for x in held])[by] for k in (1, 2, 3))
-            return h[at], np.add.reduceat(t, at).astype(np.uint32), np.add.reduceat(m, at).astype(np.uint32), np.bitwise_or.reduceat(g, at)
+                return h, np.zeros(0, np.uint32), np.zeros(0, np.uint32), h, h
+            t, m, g, o = (np.concatenate([x[k] for x in held])[by] for k in (1, 2, 3, 4))
+            return h[at], np.add.reduceat(t, at).astype(np.uint32), np.add.reduceat(m, at).astype(np.uint32), np.bitwise_or.reduceat(g, at), np.bitwise_or.reduceat(o, at)
 
         def rows():
             h, *sums = merged()
             found, at = sides(h, n)
             cut = list(zip(at[:-1], at[1:], strict=True))
             columns = [[pack_sorted(h[i:j]) for i, j in cut], *[[x[i:j].tobytes() for i, j in cut] for x in sums]]
-            return pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(x, pa.binary()) for x in columns]], names=["bucket", "hashes", "toxic", "total", "groups"])
+            return pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(x, pa.binary()) for x in columns]], names=["bucket", "hashes", "toxic", "total", "groups", "others"])
 
         for batch in batches:
             toxic = np.asarray(batch.column(1).fill_null(0), np.int64) > 0
@@ -284,8 +292,8 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
                 if len(h):
                     at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                     group = np.uint64(1) << (sketches(data[off[i] : off[j]], off[i : j + 1] - off[i]) & np.uint64(63))
-                    group[~toxic[i:j]] = 0
-                    held.append((h[at], np.add.reduceat(toxic[i:j][doc].astype(np.uint32), at), np.diff(np.append(at, len(h))).astype(np.uint32), np.bitwise_or.reduceat(group[doc], at)))
+                    bad = toxic[i:j]
+                    held.append((h[at], np.add.reduceat(toxic[i:j][doc].astype(np.uint32), at), np.diff(np.append(at, len(h))).astype(np.uint32), *(np.bitwise_or.reduceat(np.where(side, group, np.uint64(0))[doc], at) for side in (bad, ~bad))))
             if sum(len(x[0]) for x in held) > 2_000_000:
                 held[:] = [merged()]
                 if len(held[0][0]) > 1_000_000:
@@ -297,27 +305,23 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
     def choose(bucket: pa.Table) -> pa.Table:
         h = np.concatenate([unpack_sorted(x, np.uint64) for x in bucket.column("hashes").to_pylist()])
         t, m = (np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column(c).to_pylist()]) for c in ("toxic", "total"))
-        g = np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.column("groups").to_pylist()])
+        g, o = (np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.column(c).to_pylist()]) for c in ("groups", "others"))
         by = np.argsort(h, kind="stable")
         at = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
-        h, t, m, g = h[by][at], np.add.reduceat(t[by].astype(np.int64), at), np.add.reduceat(m[by].astype(np.int64), at), np.bitwise_or.reduceat(g[by], at)
-        # copies of one toxic text are one piece of evidence: as many groups as 64 bits can tell, or all texts
-        filled = np.bitwise_count(g).astype(float)
-        clean = m - t
-        t = np.where(filled < 60, np.minimum(t, -64 * np.log1p(-np.minimum(filled, 60) / 64)), t)
+        h, t, m, g, o = h[by][at], np.add.reduceat(t[by].astype(np.int64), at), np.add.reduceat(m[by].astype(np.int64), at), np.bitwise_or.reduceat(g[by], at), np.bitwise_or.reduceat(o[by], at)
+        t, clean = _texts(t, g), _texts(m - t, o)
         m = np.maximum(t + clean, 1e-9)
         share = t / m
         with np.errstate(divide="ignore", invalid="ignore"):
             evidence = m * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-        # enough evidence that chance among so many features explains none, and hardly a clean text
-        some = (share > base) & (evidence > math.log(len(h) * n) + 3) & ((t + 0.5) / (m + 1) > 0.9)
-        return pa.table({"h": pa.array(h[some].view(np.int64)), "p": pa.array(((t + 0.5) / (m + 1))[some]), "e": pa.array(evidence[some])})
+        # enough evidence that chance among so many features explains none
+        some = (share > base) & (evidence > math.log(len(h) * n) + 3)
+        return pa.table({"h": pa.array(h[some].view(np.int64)), "p": pa.array(((t + 0.5) / (m + 1))[some])})
 
-    found = labelled.select(text, label).mapInArrow(count, _COUNTS).groupBy("bucket").applyInArrow(choose, "h long, p double, e double")
-    rows = found.orderBy(F.desc("e"), "h").limit(LEXICON).collect()
-    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    found = labelled.select(text, label).mapInArrow(count, _COUNTS).groupBy("bucket").applyInArrow(choose, "h long, p double").toArrow()
+    h, p = found.column("h").to_numpy().view(np.uint64), found.column("p").to_numpy()
     by = np.argsort(h)
-    return h[by], np.array([r.p for r in rows], float)[by]
+    return h[by], p[by]
 
 
 def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.ndarray], base: float, text: str = "text", into: str = "score") -> DataFrame:
@@ -327,7 +331,7 @@ def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.
     kept = docs.drop(into)
     schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
     place = kept.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast((model.log, *lexicon))  # at most LEXICON entries
+    shared = docs.sparkSession.sparkContext.broadcast((model.log, *lexicon))
     least = min(0.4, max(1e-3, base / 4))
 
     def run(batches):
@@ -343,11 +347,11 @@ def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     hit = hashes[at] == h
                     pairs = np.unique(np.stack((doc[hit], at[hit])), axis=1)
-                    # a word and its beginnings are one piece of evidence: the best feature, and half of the rest
+                    # a word and its beginnings are one piece of evidence: the best feature, and a tenth of the rest
                     order = np.lexsort((-chance[pairs[1]], pairs[0]))
                     rows, p = pairs[0][order], chance[pairs[1]][order]
                     first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
-                    np.add.at(misled, rows, np.log1p(-np.minimum(p, 0.999)) * np.where(first, 1.0, 0.1))
+                    np.add.at(misled, rows, np.log1p(-np.minimum(p, 0.999) ** GRADE) * np.where(first, 1.0, 0.1))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(1 - np.exp(misled))], names=schema.names)
 
     return kept.mapInArrow(run, schema)

@@ -324,6 +324,22 @@ def test_toxicity_restores_and_learns(spark, empty):
     assert toxicity.score(empty, *toxicity.fit(empty, lab)).count() == 0
 
 
+def test_toxicity_counts_copies_once_and_grades_evidence(spark):
+    rng = random.Random(9)
+    vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "ton", "vel", "dis", "mon")]
+    say = lambda *more: " ".join([rng.choice(vocab) for _ in range(30)] + list(more))
+    copied = say("vexor")
+    rows = [(say("vexor"), 1) for _ in range(40)] + [(copied, 0)] * 1000  # one clean text, copied
+    rows += [(t, 1) for t in [say("quibber") for _ in range(40)] for _ in range(20)] + [(say("quibber"), 0) for _ in range(8)]  # 40 texts, and 8 clean ones
+    rows += [(say(), 0) for _ in range(800)]
+    docs = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    model = toxicity.fit_characters(docs)
+    lexicon = toxicity.fit_lexicon(docs, model, 0.2)
+    new = spark.createDataFrame([("vexor", say("vexor")), ("quibber", say("quibber")), ("none", say())], "k string, text string")
+    got = {r.k: r.score for r in toxicity.score(new, model, lexicon, 0.2).collect()}
+    assert got["vexor"] > 0.5 and got["none"] + 0.1 < got["quibber"] < got["vexor"] and got["none"] < 0.5
+
+
 def brute_fingerprint(t):
     ws = [w.decode() for w in (t or "").encode().lower().split()]
     shingles = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))] if ws else []
