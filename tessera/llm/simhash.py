@@ -1,15 +1,18 @@
 """SimHash near-duplicates with a sharded forest of vantage-point trees.
 
 Fingerprints have 64 bits.  To find all pairs within ``radius`` bits, the bits
-are cut into ``blocks`` equal blocks; two such fingerprints differ by at most
-``radius // blocks`` bits in one of them.  Each block has a vantage-point tree in
-the Hamming distance of that block: an inner node holds a vantage point and a
-threshold, a leaf is a shard.  A fingerprint goes to every shard that the
-triangle inequality leaves within that distance of it (its own, and those whose
-boundary overlaps).  The trees are fitted on a bounded sample; all fingerprints
-are sharded.  In a shard, the distances of all 64 bits to a vantage point order
-the fingerprints into rings, rings further apart than the radius are pruned by
-the triangle inequality, and the rest is compared exactly.
+are cut into ``n_blocks`` equal blocks; two such fingerprints differ by at most
+``radius // n_blocks`` bits (the tree's reach) in one of them.  Each block has a
+vantage-point tree in the Hamming distance of that block: an inner node holds a
+vantage point and a threshold, a leaf is a shard.  A fingerprint is at home in one
+shard of each tree and is a guest in every other shard that the triangle
+inequality leaves within reach: those whose boundary overlaps its ball.  Where
+fingerprints agree in the whole block, nodes split them by all 64 bits, with
+``radius`` as reach, so that such a group has several shards too.  The trees are
+fitted on a bounded sample; all fingerprints are sharded.  In a shard, distances
+of all 64 bits to a vantage point order the fingerprints into rings, rings further
+apart than the radius are pruned by the triangle inequality, and what is at home
+is compared exactly with the rest.
 
 Equal fingerprints are one node.  A shard gives a star a component, never its
 pairs; components are then joined over the cluster.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from ._blocks import LOWER, blocks, utf8, words
 from ._links import components, kept
 
-RADIUS, BLOCKS = 3, 4
+RADIUS, BLOCKS = 3, 2
 #: Fingerprints that trees are fitted on, at most, and those a shard should hold.
 SAMPLE, SHARD = 100_000, 2000
 
@@ -95,29 +98,32 @@ def fingerprints(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("
     return chosen.mapInArrow(run, schema)
 
 
-def fit_tree(values: np.ndarray, leaves: int, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
-    """A vantage-point tree over block values: nodes (point, threshold, inner, outer); a negative child -1-k is shard k.
+_ALL = np.uint64(2**64 - 1)
 
-    A value lies inside if its distance to the point is at most the threshold.
+
+def fit_tree(values: np.ndarray, mask: np.uint64, reach: int, radius: int, leaves: int, rng: np.random.Generator) -> list[tuple]:
+    """A vantage-point tree: nodes (mask, point, threshold, reach, inner, outer); a negative child -1-k is shard k.
+
+    A fingerprint lies inside if its distance to the point, in the bits of the
+    mask, is at most the threshold.  What the mask cannot split is split by all bits.
     """
-    nodes: list[tuple[int, int, int, int]] = []
+    nodes: list[tuple] = []
     shard = 0
 
     def grow(part: np.ndarray, want: int) -> int:
         nonlocal shard
-        if want > 1 and len(part) > 1:
+        for bits, far in ((mask, reach), (_ALL, radius)) if want > 1 and len(part) > 1 else ():
             for point in rng.choice(part, min(4, len(part)), replace=False):
-                d = np.bitwise_count(part ^ point).astype(np.int64)
+                d = np.bitwise_count((part ^ point) & bits).astype(np.int64)
                 mu = int(np.sort(d)[(len(d) - 1) // 2])
                 mu = mu if (d > mu).any() else mu - 1
                 inside = d <= mu
                 if inside.any() and not inside.all():
                     me = len(nodes)
-                    nodes.append((int(point), mu, 0, 0))
+                    nodes.append(())
                     share = min(want - 1, max(1, round(want * inside.mean())))
                     inner = grow(part[inside], share)
-                    outer = grow(part[~inside], want - share)
-                    nodes[me] = (int(point), mu, inner, outer)
+                    nodes[me] = (int(bits), int(point), mu, far, inner, grow(part[~inside], want - share))
                     return me
         shard += 1
         return -shard
@@ -126,43 +132,52 @@ def fit_tree(values: np.ndarray, leaves: int, rng: np.random.Generator) -> list[
     return nodes if root >= 0 else []
 
 
-def route(values: np.ndarray, nodes: list[tuple[int, int, int, int]], reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (place in values, shard) that lie within ``reach`` of a value."""
+def route(values: np.ndarray, nodes: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (place in values, shard, whether at home there) that the triangle inequality leaves within reach of a value."""
     if not nodes:
-        return np.arange(len(values)), np.zeros(len(values), np.int64)
-    places, shards, todo = [], [], [(0, np.arange(len(values)))]
+        return np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+    found, todo = [], [(0, np.arange(len(values)), np.ones(len(values), bool))]
     while todo:
-        k, who = todo.pop()
+        k, who, home = todo.pop()
         if k < 0:
-            places.append(who)
-            shards.append(np.full(len(who), -1 - k))
+            found.append((who, np.full(len(who), -1 - k), home))
             continue
-        point, mu, inner, outer = nodes[k]
-        d = np.bitwise_count(values[who] ^ np.uint64(point)).astype(np.int64)
-        for child, near in ((inner, d - reach <= mu), (outer, d + reach > mu)):
+        mask, point, mu, reach, inner, outer = nodes[k]
+        d = np.bitwise_count((values[who] ^ np.uint64(point)) & np.uint64(mask)).astype(np.int64)
+        for child, near, own in ((inner, d - reach <= mu, d <= mu), (outer, d + reach > mu, d > mu)):
             if near.any():
-                todo.append((child, who[near]))
-    return np.concatenate(places), np.concatenate(shards)
+                todo.append((child, who[near], (home & own)[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
+def _top(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[x]
+        if (up == x).all():
+            return x
+        x = up
 
-def stars(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every fingerprint to the least of its component among these, found by rings around a vantage point."""
-    d = np.bitwise_count(fp ^ fp[0]).astype(np.int64)
-    by = np.lexsort((fp, d))
-    fp, d = fp[by], d[by]
+
+def stars(own: np.ndarray, guests: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the least of its component for every fingerprint, over all pairs of which one is at home; found by rings around a vantage point."""
+    fp = np.concatenate((own, guests))
     n = len(fp)
-    end = np.searchsorted(d, d + radius, "right")  # beyond, the triangle inequality rules out a link
-    label = np.arange(n)
+    if not len(own):
+        return fp[:0], fp[:0]
+    d = np.bitwise_count(fp ^ own[0]).astype(np.int64)
+    by = np.argsort(d, kind="stable")
+    fp, d, home = fp[by], d[by], np.flatnonzero(by < len(own))
+    parent = np.arange(n)
     step = 64
-    for i in range(0, n, step):
-        j = min(i + step, n)
-        near = np.bitwise_count(fp[i:j, None] ^ fp[None, i : end[j - 1]]) <= radius
-        busy = np.flatnonzero(near.sum(axis=1) > 1)
-        for k in busy:
-            hit = label[i : end[j - 1]][near[k]]
-            low = hit.min()
-            if (hit != low).any():
-                label[np.isin(label, np.unique(hit))] = low
+    for i in range(0, len(home), step):
+        rows = home[i : i + step]
+        # beyond these rings, the triangle inequality rules out a link
+        lo, hi = np.searchsorted(d, d[rows[0]] - radius), np.searchsorted(d, d[rows[-1]] + radius, "right")
+        near = np.bitwise_count(fp[rows, None] ^ fp[None, lo:hi]) <= radius
+        for k in np.flatnonzero(near.sum(axis=1) > 1):
+            top = _top(parent, lo + np.flatnonzero(near[k]))
+            parent[top] = top.min()
+    label = _top(parent, np.arange(n))
     order = np.lexsort((fp, label))
     first = np.append(True, label[order][1:] != label[order][:-1])
     least = np.empty(n, np.uint64)
@@ -179,26 +194,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS, sample
         raise ValueError("blocks must divide 64")
     seen = nodes.select("fp").sample(fraction=min(1.0, sample / max(1, n)), seed=7).limit(sample) if n > sample else nodes.select("fp")
     values = np.sort(np.array([r.fp for r in seen.collect()], np.int64)).view(np.uint64)
-    low = np.uint64((1 << width) - 1) if width < 64 else ~np.uint64(0)
+    low = (1 << width) - 1
     rng = np.random.default_rng(11)
-    trees = [fit_tree(values >> np.uint64(width * t) & low, max(1, -(-n // shard)), rng) for t in range(n_blocks)]
+    trees = [fit_tree(values, np.uint64(low << width * t), reach, radius, max(1, -(-n // shard)), rng) for t in range(n_blocks)]
 
     def deal(batches):
         for batch in batches:
             fp = np.asarray(batch.column(0), np.int64).view(np.uint64)
             for t, tree in enumerate(trees):
-                place, leaf = route(fp >> np.uint64(width * t) & low, tree, reach)
-                by = np.argsort(leaf, kind="stable")
-                found, at = np.unique(leaf[by], return_index=True)
-                rows = [fp[place[by[i:j]]].tobytes() for i, j in zip(at, [*at[1:], len(by)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t, np.int32)), pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], names=["tree", "leaf", "fps"])
+                place, leaf, home = route(fp, tree)
+                by = np.lexsort((~home, leaf))
+                place, leaf, home = place[by], leaf[by], home[by]
+                found, at = np.unique(leaf, return_index=True)
+                cut = list(zip(at, at + np.add.reduceat(home, at), [*at[1:], len(by)], strict=True)) if len(by) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), t, np.int32)), pa.array(found.astype(np.int32)), *(pa.array([fp[place[i:j]].tobytes() for i, j in side], pa.binary()) for side in ([c[:2] for c in cut], [c[1:] for c in cut]))],
+                    names=["tree", "leaf", "fps", "guests"],
+                )
 
     def join(part: pa.Table) -> pa.Table:
-        fp = np.unique(np.frombuffer(b"".join(part.column("fps").to_pylist()), np.uint64))
-        a, b = stars(fp, radius)
+        a, b = stars(*(np.unique(np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64)) for c in ("fps", "guests")), radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return nodes.select("fp").mapInArrow(deal, "tree int, leaf int, fps binary").groupBy("tree", "leaf").applyInArrow(join, "a long, b long")
+    return nodes.select("fp").mapInArrow(deal, "tree int, leaf int, fps binary, guests binary").groupBy("tree", "leaf").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
@@ -213,13 +231,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     return rows.join(every, "fp").select(key, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of the smallest key of each component; of rows with one key, one."""
-    found = kept(near_duplicates(docs, radius, text, key))
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key"))
-    n, different = stay.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("__key").cast("string"), F.lit("")))).head()
-    out = docs.join(stay.distinct(), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return out if n == different else out.dropDuplicates([key])
+def first_of_each(docs: DataFrame, nodes: DataFrame, roots: DataFrame, text: str, key: str) -> DataFrame:
+    """One row of each component of ``nodes`` (``node`` and its ``least`` row): that of the smallest key, then of the smallest hash of its text.
+
+    A null key comes last.  Of rows equal in key and text, one stays, chosen by
+    the hash of all its columns (of which none may be a map).
+    """
+    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("r")).select(F.col("r.k").alias("__k"), F.col("r.h").alias("__h"))
+    mine = [F.col(key).alias("__k"), F.xxhash64(text).alias("__h")]
+    once = docs.groupBy(*mine).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))  # repeated rows become one before they are sent
+    return once.alias("o").join(stay.alias("s"), F.expr("o.__k <=> s.__k and o.__h = s.__h"), "left_semi").select("__row.*")
+
+
+def least_row(text: str, key: str):
+    """The rank of a row among those of its component: null keys last, then by key and text."""
+    return F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id", size: int = 3) -> DataFrame:
+    """One row of each component of fingerprints: see ``first_of_each``."""
+    rows = fingerprints(docs.withColumn("__least", least_row(text, key)), text, ("__least",), size)
+    nodes = kept(rows.groupBy("fp").agg(F.min("__least").alias("least")))
+    return first_of_each(docs, nodes.withColumnRenamed("fp", "node"), components(links(nodes, radius)), text, key)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
