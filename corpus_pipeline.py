@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near duplicates, repeated passages, mixing, tokens.
 
 Each stage takes what its predecessor kept.  Toxic documents go; of each group
-of near duplicates the smallest ``doc_id`` stays; words of passages that an
+of near duplicates (similarity 0.8 over five words, found by wide SimHash
+fingerprints) the smallest ``doc_id`` stays; words of passages that an
 earlier document has go (a document goes if that leaves it none of its words);
 sources are mixed to weights 1, 2, 3, repeating, with documents repeated up to
 three times or left out; what is left is encoded, with a check that decoding
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, repeats, simhash, toxicity
+from tessera.llm import bpe, mixing, repeats, toxicity, wide
 from tessera.llm._links import stored
 
 
@@ -28,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.one_of_each(docs).select(docs.columns)
+    """One document of each class of similarity 0.8 over sets of five words."""
+    return wide.one_of_similar(docs).select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

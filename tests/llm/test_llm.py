@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera import llm
-from tessera.llm import _blocks, _chunks, _links, bilinear, bpe, chat, mixing, mpeg, quality, repeats, rindex, simhash, toxicity
+from tessera.llm import _blocks, _chunks, _links, bilinear, bpe, chat, mixing, mpeg, quality, repeats, rindex, simhash, toxicity, wide
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -359,8 +359,8 @@ def test_simhash_equals_brute_force(spark, docs, rows, empty):
     for k, (i, f) in enumerate(fps):
         assert got[i, f] == min((fps[j][0] for j in range(len(fps)) if group[j] == group[k] and fps[j][0] is not None), default=None)
     assert simhash.near_duplicates(empty).count() == 0
-    stay = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert len(stay) == len(set(stay)) == len(set(got.values()))
+    stay = [(r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()]
+    assert len(stay) == len(set(stay)) == len({group[k] for k in range(len(fps))})
 
 
 @pytest.mark.parametrize("n_blocks", [1, 2, 4])
@@ -387,32 +387,127 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
+def shingles(t, size=5):
+    ws = (t or "").encode().lower().split()
+    return {tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))} if ws else set()
+
+
+def alike(a, b, least=0.8):
+    return len(a & b) >= least * len(a | b)
+
+
+def grouped(items, linked):
+    """The number of the first item of each item's class."""
+    group = list(range(len(items)))
+    while True:
+        old = list(group)
+        for a in range(len(items)):
+            for b in range(a):
+                if group[a] != group[b] and linked(items[a], items[b]):
+                    group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+        if group == old:
+            return group
+
+
+def test_one_of_each_keeps_different_texts(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine ten"
+    for pick in (simhash.one_of_each, wide.one_of_similar):
+        for rows, want in (
+            ([(1, a), (5, b), (5, a)], {(1, a), (5, b)}),
+            ([(5, a), (5, b)], {(5, a), (5, b)}),
+            ([(5, a), (5, a), (None, a), (None, b), (None, b), (None, None)], {(5, a), (None, b), (None, None)}),
+            ([(7, None), (6, ""), (8, " \n")], {(6, "")}),
+        ):
+            got = [(r.doc_id, r.text) for r in pick(spark.createDataFrame(rows, "doc_id long, text string").withColumn("least", F.lit(1))).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_similar_documents_equal_brute_force(spark, empty):
+    rng = random.Random(21)
+    say = lambda n: [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 4) for _ in range(n)]
+    texts = [" ".join(say(n)) for n in (1, 2, 4, 4, 5, 6, 8, 20)] + ["One  TWO\tthree", "one two three", "one two four"]
+    for n in (30, 120, 300, 300, 600, 600, 900):
+        base = say(n)
+        for changes in (0, 1, 1, n // 70, n // 60, n // 45, n // 30, n // 15):
+            near = list(base)
+            for k in rng.sample(range(n), changes):
+                near[k] = "new" + rng.choice("abcdef")
+            texts.append(" ".join(near))
+    sets = [shingles(t) for t in texts]
+    want = grouped(sets, alike)
+    nodes, roots = wide.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shard=16)
+    root = {r.node: r.root for r in roots.collect()}
+    got = {r.least.k: root.get(r.node, r.node) for r in nodes.collect()}
+    of = [got.get(k, got.get(want[k])) for k in range(len(texts))]  # equal words are one node
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])]
+    assert sum(of[a] == of[b] for a, b in pairs) >= 0.95 * len(pairs) and len(pairs) > 60
+    assert all(want[a] == want[b] for a in range(len(texts)) for b in range(a) if of[a] == of[b])
+    assert wide.one_of_similar(empty).count() == 0
+
+
+def test_wide_estimates_hold():
+    rng = np.random.default_rng(4)
+    for share in (0.5, 0.8, 0.95):
+        texts = []
+        for _ in range(60):
+            common = rng.integers(0, 10**6, 400)
+            more = round(400 * (1 - share) / share / 2)
+            texts += [" ".join(map(str, [*common, *rng.integers(0, 10**6, more)])) for _ in range(2)]
+        data, off = _blocks.utf8(pa.array(texts))
+        _, n, h, bits = wide.sketch_block(data, off, 1, 14)
+        cut = np.cumsum(n)
+        sets = [set(h[a:b].tolist()) for a, b in zip(cut - n, cut, strict=True)]
+        true = np.array([len(x & y) / len(x | y) for x, y in zip(sets[::2], sets[1::2], strict=True)])
+        low, high = wide.estimates(bits[::2], bits[1::2], n[::2].astype(float), n[1::2].astype(float))
+        assert ((low <= true) & (true <= high)).all()
+        hit = [any(wide.block_values(bits[[a]], 16, t) == wide.block_values(bits[[a + 1]], 16, t) for t in range(53)) for a in range(0, 120, 2)]
+        assert share < 0.8 or np.mean(hit) >= 0.9
+    assert wide.layout(1000) == (16, 53) and wide.layout(10**9)[0] == 24
+
+
+def test_forest_is_a_least_spanning_one():
+    rng = np.random.default_rng(8)
+    for g in (2, 9, 64, 65, 200):
+        rows = np.zeros(g, wide._ROW)
+        rows["id"], rows["n"] = np.arange(g), 100
+        rows["bits"] = np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 64, g).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, g).astype(np.uint64))
+        rows["bits"][g // 2 :] ^= np.uint64(2**64 - 1)
+        a, b = wide.forest(rows, 6, 0.8)
+        assert len(a) == g - 2 + (g == 2) * 0 and all((x < g // 2) == (y < g // 2) for x, y in zip(a, b, strict=True))
+
+
+def write_tables(spark, folder, rows, labels):
+    spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
 def test_pipeline_equals_its_parts(spark, rows, tmp_path):
     import corpus_pipeline as cp
 
-    good = [r for r in rows if r[0] is not None]
-    spark.createDataFrame(good, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bad = [(1000 + k, "such a vexorous word " + " ".join(f"t{k}x{j}" for j in range(20)), "en", "s1", 1) for k in range(40)]
+    good = [*rows, (90, "one two", "en", "s1", 1), (90, "other words of one id", "en", "s1", 1), *bad]
+    write_tables(spark, tmp_path, good, [(i, 1, 0) for i in range(30)] + [(None, 1, None)] + [(r[0], 0, 1) for r in bad])
     got = cp.run(spark, str(tmp_path)).collect()
-    fps, seen, kept = {}, [], []
-    for i, t in sorted({(r[0], r[1]) for r in good}, key=lambda x: x[0]):
-        fps[i] = brute_fingerprint(t)
-    group = dict(zip(fps, fps, strict=True))
-    for _ in range(5):
-        for a in fps:
-            for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 3:
-                    group[a] = group[b] = min(group[a], group[b])
-    texts = {r[0]: r[1] for r in good}
-    kept = [(i, texts[i]) for i in sorted(set(group.values()))]
-    want = {}
+    assert not any(r.doc_id is not None and r.doc_id >= 1000 for r in got)
+    items = sorted({(r[0], r[1]) for r in rows} | {(90, "one two"), (90, "other words of one id")}, key=lambda x: (x[0] is None, x[0] or 0))
+    group = grouped([shingles(t) for _, t in items], alike)
+    kept = [items[k] for k in sorted(set(group))]
+    c = bpe.PairCodec(bpe.public_vocabulary())
+    want = set()
     for i, u, gone in brute_windows(kept, words, 13):
         if not u or len(gone) < len(u):
-            want[i] = texts[i] or "" if not gone else b" ".join(w for k, w in enumerate(u) if k not in gone).decode()
-    c = bpe.PairCodec(bpe.public_vocabulary())
-    assert got and all(r.exact and r.ids == c.encode([want[r.doc_id]])[0] for r in got)
+            texts = [next(t for j, t in kept if j == i and words(t) == u) or "" if not gone else b" ".join(w for k, w in enumerate(u) if k not in gone).decode()]
+            want.add((i, tuple(c.encode(texts)[0])))
+    assert got and all(r.exact and (r.doc_id, tuple(r.ids)) in want for r in got)
     assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "repeats", "mixing", "bpe"]
-    assert max(sum(r.doc_id == i for r in got) for i in want) <= 3
+    assert max(sum(r.doc_id == i and tuple(r.ids) == x for r in got) for i, x in want) <= 3
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    write_tables(spark, tmp_path, [], [])
+    assert cp.run(spark, str(tmp_path)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
