@@ -16,18 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least and greatest bytes of text in a chunk; between them, a 2000th of all.
-LEAST, MOST = 3 << 20, 64 << 20
+LEAST, MOST = 3 << 20, 16 << 20
+#: Bytes of text whose hashes a bucket should hold at most.
+SHARE = 64 << 20
 
 
-def chunked(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """Adds ``__chunk``, which depends on a row's order column and text alone."""
+def chunked(docs: DataFrame, text: str = "text", order: str = "doc_id") -> tuple[DataFrame, int]:
+    """Adds ``__chunk``, which depends on a row's order column and text alone; and the number of buckets that hashes of these texts are dealt to."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).head()[0] or 0
     n = max(1, -(-size // min(MOST, max(LEAST, size // 2000))))
-    return docs.withColumn("__chunk", F.pmod(F.xxhash64(F.col(order), F.col(text), F.lit(7)), F.lit(n)).cast("int"))
+    parts = docs.withColumn("__chunk", F.pmod(F.xxhash64(F.col(order), F.col(text), F.lit(7)), F.lit(n)).cast("int"))
+    return parts, max(buckets(docs), -(-size // SHARE))
 
 
 def buckets(docs: DataFrame) -> int:
-    """How many buckets hashes are dealt to."""
+    """How many buckets hashes are dealt to at least."""
     return 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 

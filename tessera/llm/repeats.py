@@ -3,20 +3,23 @@
 A window is ``size`` consecutive words of one document.  Every word that lies in
 a window which also occurs in an earlier document goes; windows are judged on
 the input.  Fingerprints have 96 bits: 64 that order the runs and 32 of another
-hash, of the words modulo a prime, that verify every match.
-
-Chunks of documents are the level-0 runs: sorted, immutable arrays of their
-distinct window hashes.  A first merge-join of the runs of each hash range, on
-32 bits besides the range, leaves windows that other runs seem to have; a
-second one, on all 96 bits and the smallest document of each run, decides.
-``RunLog`` keeps the runs of past batches as Parquet files, joins each new batch
-with them and compacts them.
+hash, of the words modulo a prime, that verify every match (of 2e13 windows, as
+100 TB have, 0.003 false matches are expected).
+
+Chunks of documents send the sorted hashes of their windows to buckets, which
+are ranges of hashes.  A first merge-join, on 32 bits besides the range, leaves
+windows that other chunks seem to have.  Those come to the bucket with all their
+bits, in batches of documents by id: the bucket keeps a log of sorted immutable
+runs of historical windows (``Runs``), merge-joins each batch with it, verifies
+what matches, appends the batch as a new run and compacts runs of like size.
+``RunLog`` keeps such runs of past calls as Parquet files: they are the oldest
+history of the next call's buckets.
 
 Edge cases: null and empty texts have no words and stay as they are.  Rows of
 equal ``doc_id`` are never earlier than each other; a null ``doc_id`` is earlier
 than none and later than none, so such rows stay whole and remove nothing.
-Extra columns are kept, but for those named as the results.  Memory follows a chunk (4 to 64 MB of text, or its
-longest document) and a bucket of packed hashes.
+Extra columns are kept, but for those named as the results.  Memory follows a
+chunk (3 to 16 MB of text, or its longest document) and a bucket of packed hashes.
 """
 
 from __future__ import annotations
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._blocks import check_hash, covered, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
-from ._chunks import buckets, chunked, column, sides
+from ._chunks import chunked, column, sides
+from ._links import kept
 
 SIZE = 13
-_EARLIEST = np.iinfo(np.int64).min
+#: Batches of documents, by id, that a bucket takes one after another.
+BATCHES = 16
 
 
 class _Windows:
@@ -87,19 +92,25 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _seen_elsewhere(bucket: pa.Table) -> pa.Table:
-    """Of each chunk, the 32-bit hashes that another chunk or the log has too."""
-    chunks = column(bucket, "chunk")
-    runs = [np.unique(unpack_sorted(b, np.uint32)) if c >= 0 else np.unique(_short(unpack_sorted(b, np.uint64))) for c, b in zip(chunks, bucket.column("hashes").to_pylist(), strict=True)]
+    """Of each chunk, the 32-bit hashes that another chunk or the log has too; of the log (chunk -1), the windows that some chunk seems to have."""
+    chunks, b = column(bucket, "chunk"), int(bucket.column("bucket")[0].as_py())
+    packed = bucket.column("hashes").to_pylist()
+    runs = [unpack_sorted(x, np.uint32) if c >= 0 else np.unique(_short(unpack_sorted(x, np.uint64))) for c, x in zip(chunks, packed, strict=True)]
     every = np.sort(np.concatenate(runs))
     more = np.zeros(len(every), bool)
     more[1:] = every[1:] == every[:-1]
     more = np.unique(every[more])
     out = []
-    for c, run in zip(chunks, runs, strict=True):
-        if c >= 0 and len(more):
+    for k, (c, run) in enumerate(zip(chunks, runs, strict=True)):
+        if c >= 0:
             hit = run[_in(run, more)]
             if len(hit):
-                out.append((int(c), int(bucket.column("bucket")[0].as_py()), pack_sorted(hit), b""))
+                out.append((int(c), b, pack_sorted(hit), b""))
+        else:
+            h = unpack_sorted(packed[k], np.uint64)
+            hit = _in(_short(h), more)
+            if hit.any():
+                out.append((-1, b, pack_sorted(h[hit]), np.frombuffer(bucket.column("checks")[k].as_py(), np.uint32)[hit].tobytes()))
     return _rows(_ANSWERS, out)
 
 
@@ -114,27 +125,78 @@ def _in(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
 
 
-def _dominated(bucket: pa.Table) -> pa.Table:
-    """Of each chunk, the fingerprints whose smallest document elsewhere is earlier."""
-    chunks, hs, gs, rs = [], [], [], []
-    for c, h, g, r in zip(*(bucket.column(n).to_pylist() for n in ("chunk", "hashes", "checks", "ranks")), strict=True):
-        hs.append(unpack_sorted(h, np.uint64))
-        gs.append(np.frombuffer(g, np.uint32))
-        rs.append(np.frombuffer(r, np.int64) if c >= 0 else np.full(len(hs[-1]), _EARLIEST))
-        chunks.append(np.full(len(hs[-1]), c, np.int32))
-    h, g, r, chunk = map(np.concatenate, (hs, gs, rs, chunks))
-    by = np.lexsort((r, g, h))
-    h, g, r, chunk = h[by], g[by], r[by], chunk[by]
+def _ordered(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints ascending, each once."""
+    by = np.lexsort((g, h))
+    h, g = h[by], g[by]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    least = r[new][np.cumsum(new) - 1]
-    lost = (least < r) & (chunk >= 0)
-    h, g, chunk = h[lost], g[lost], chunk[lost]
-    out = []
-    for c in np.unique(chunk):
-        mine = chunk == c
-        out.append((int(c), int(bucket.column("bucket")[0].as_py()), pack_sorted(h[mine]), g[mine].tobytes()))
-    return _rows(_ANSWERS, out)
+    return h[new], g[new]
+
+
+class Runs:
+    """A log of sorted immutable runs of fingerprints of one hash range, the oldest and longest first."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def has(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Merge-joins ascending fingerprints with every run, and verifies the matches."""
+        out = np.zeros(len(h), bool)
+        for old_h, old_g in self.runs:
+            at = np.searchsorted(old_h, h)
+            open_ = np.flatnonzero(~out)
+            while len(open_):
+                open_ = open_[at[open_] < len(old_h)]
+                open_ = open_[old_h[at[open_]] == h[open_]]
+                out[open_] |= old_g[at[open_]] == g[open_]
+                open_ = open_[~out[open_]]
+                at[open_] += 1
+        return out
+
+    def add(self, h: np.ndarray, g: np.ndarray) -> None:
+        """Appends a run of ascending fingerprints; runs of like size are compacted."""
+        if len(h):
+            self.runs.append((h, g))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            (a, b), (c, d) = self.runs[-2:]
+            self.runs[-2:] = [_ordered(np.concatenate((a, c)), np.concatenate((b, d)))]
+
+
+def _settled(bounds: np.ndarray):
+    def run(bucket: pa.Table) -> pa.Table:
+        """Of each chunk, the fingerprints that an earlier document elsewhere has: batches go through the log of the bucket."""
+        log, parts = Runs(), []
+        for c, h, g, r in zip(*(bucket.column(n).to_pylist() for n in ("chunk", "hashes", "checks", "ranks")), strict=True):
+            h, g = unpack_sorted(h, np.uint64), np.frombuffer(g, np.uint32)
+            if c < 0:
+                log.add(h, g)
+            else:
+                parts.append((h, g, np.frombuffer(r, np.int64), np.full(len(h), c, np.int32)))
+        if not parts:
+            return _rows(_ANSWERS, [])
+        h, g, r, chunk = map(np.concatenate, zip(*parts, strict=True))
+        batch = np.searchsorted(bounds, r, "left")
+        by = np.lexsort((r, g, h, batch))
+        h, g, r, chunk, batch = h[by], g[by], r[by], chunk[by], batch[by]
+        lost = np.zeros(len(h), bool)
+        edge = np.searchsorted(batch, np.arange(len(bounds) + 2))
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            if i == j:
+                continue
+            new = np.ones(j - i, bool)
+            new[1:] = (h[i + 1 : j] != h[i : j - 1]) | (g[i + 1 : j] != g[i : j - 1])
+            once = i + np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            lost[i:j] = log.has(h[once], g[once])[group] | (r[once][group] < r[i:j])
+            log.add(h[once], g[once])
+        by = np.flatnonzero(lost)
+        by = by[np.lexsort((h[by], chunk[by]))]
+        found, at = np.unique(chunk[by], return_index=True)
+        b = int(bucket.column("bucket")[0].as_py())
+        return _rows(_ANSWERS, [(int(c), b, pack_sorted(h[k]), g[k].tobytes()) for c, k in zip(found, np.split(by, at[1:]), strict=True)] if len(by) else [])
+
+    return run
 
 
 def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: str = "doc_id", log: "RunLog | None" = None, edit=None, schema: StructType | None = None) -> DataFrame:
@@ -144,8 +206,9 @@ def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: s
     rows and the mask of removed words, and returns a table of ``schema``.
     """
     docs = docs.drop(*{"n_words", "n_removed", "kept"} - {text, order})
-    parts = chunked(docs, text, order)
-    n = log.buckets if log else buckets(docs)
+    parts, n = chunked(docs, text, order)
+    n = log.buckets if log else n
+    bounds = np.array(docs.approxQuantile(order, [k / BATCHES for k in range(1, BATCHES)], 0.25 / BATCHES), np.float64)
     names = docs.columns
 
     def offer(chunk: pa.Table) -> pa.Table:
@@ -184,18 +247,22 @@ def find_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", order: s
         gone = covered(w.at[lost[place] | (w.rank > r[place])], size, len(w.doc))
         return edit(chunk, w.doc, gone)
 
-    def kept(chunk: pa.Table, doc: np.ndarray, gone: np.ndarray) -> pa.Table:
+    def whole(chunk: pa.Table, doc: np.ndarray, gone: np.ndarray) -> pa.Table:
         total, lost, texts = tallies(chunk, text, doc, gone)
         cols = [chunk.column(c) for c in names]
         return pa.table([*cols, pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(texts, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
     out_schema = schema or StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    edit = edit or kept
+    edit = edit or whole
     runs = parts.groupBy("__chunk").applyInArrow(offer, _RUNS)
     past = log.runs(docs.sparkSession) if log else None
     seen = (runs.unionByName(past) if past is not None else runs).groupBy("bucket").applyInArrow(_seen_elsewhere, _ANSWERS)
+    if log:
+        seen = kept(seen)  # the bucket's history and the chunks both read it
     claims = parts.groupBy("__chunk").cogroup(seen.withColumnRenamed("chunk", "__chunk").groupBy("__chunk")).applyInArrow(claim, _RUNS)
-    dominated = (claims.unionByName(past) if past is not None else claims).groupBy("bucket").applyInArrow(_dominated, _ANSWERS)
+    if past is not None:
+        claims = claims.unionByName(seen.where("chunk < 0").withColumn("ranks", F.lit(b"")))
+    dominated = claims.groupBy("bucket").applyInArrow(_settled(bounds), _ANSWERS)
     return parts.groupBy("__chunk").cogroup(dominated.withColumnRenamed("chunk", "__chunk").groupBy("__chunk")).applyInArrow(settle, out_schema)
 
 
@@ -225,26 +292,32 @@ class RunLog:
 
     ``add`` removes from a batch what it or the past has seen before and then
     appends the batch's windows as a new immutable run; ``compact`` merges all
-    runs into one.  History counts as earlier than every new document.  A run is
-    visible once its name is in the log's list, so a job that dies half-way
-    leaves the log as it was.
+    runs into one.  History counts as earlier than every new document.  The list
+    of runs is a new file each time, renamed into place when it is whole, so a job
+    that dies half-way leaves the log as it was.  ``buckets`` holds for the log's
+    life; choose it by the history expected (64 MB of text each).
     """
 
     def __init__(self, spark, path: str, buckets: int = 64, size: int = SIZE):
         self.spark, self.path, self.buckets, self.size = spark, path.rstrip("/"), buckets, size
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs.json")
-        self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _version(self) -> int:
+        found = self._fs.globStatus(self._path(f"{self.path}/list-*.json"))
+        return max((int(f.getPath().getName()[5:-5]) for f in found or ()), default=0)
 
     def names(self) -> list[str]:
-        if not self._fs.exists(self._at):
-            return []
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/runs.json").collect()))
+        last = self._version()
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/list-{last:08d}.json").collect())) if last else []
 
     def _list(self, names: list[str]) -> None:
-        out = self._fs.create(self._at, True)
+        draft, final = self._path(f"{self.path}/draft.json"), self._path(f"{self.path}/list-{self._version() + 1:08d}.json")
+        out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(names).encode()))
         out.close()
+        if not self._fs.rename(draft, final):
+            raise OSError(f"cannot write {final}")
 
     def runs(self, spark) -> DataFrame | None:
         names = self.names()
@@ -254,7 +327,7 @@ class RunLog:
 
     def add(self, docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
         """The batch as ``find_repeats`` gives it, read from storage; its windows join the log."""
-        n, size, name = self.buckets, self.size, f"run-{len(self.names())}-{hashlib.sha256(json.dumps(self.names()).encode()).hexdigest()[:8]}"
+        n, size, name = self.buckets, self.size, f"run-{self._version()}"
         find_repeats(docs, size, text, order, self).write.mode("overwrite").parquet(f"{self.path}/batch-{name}")
 
         def run(chunk: pa.Table) -> pa.Table:
@@ -262,7 +335,7 @@ class RunLog:
             found, at = sides(h, n)
             return _rows(_RUNS, [(int(b), 0, pack_sorted(h[i:j]), g[i:j].tobytes(), b"") for b, i, j in zip(found, at[:-1], at[1:], strict=True)])
 
-        _merged(chunked(docs, text, order).groupBy("__chunk").applyInArrow(run, _RUNS)).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        _merged(chunked(docs, text, order)[0].groupBy("__chunk").applyInArrow(run, _RUNS)).write.mode("overwrite").parquet(f"{self.path}/{name}")
         self._list([*self.names(), name])
         return self.spark.read.parquet(f"{self.path}/batch-{name}")
 
@@ -270,7 +343,7 @@ class RunLog:
         """Merges all runs into one sorted run without repeats."""
         old = self.names()
         if len(old) > 1:
-            name = f"compact-{hashlib.sha256(json.dumps(old).encode()).hexdigest()[:8]}"
+            name = f"compact-{self._version()}"
             _merged(self.runs(self.spark)).write.mode("overwrite").parquet(f"{self.path}/{name}")
             self._list([name])
 
@@ -279,11 +352,8 @@ def _merged(runs: DataFrame) -> DataFrame:
     def merge(bucket: pa.Table) -> pa.Table:
         h = np.concatenate([unpack_sorted(x, np.uint64) for x in bucket.column("hashes").to_pylist()])
         g = np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column("checks").to_pylist()])
-        by = np.lexsort((g, h))
-        h, g = h[by], g[by]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        return _rows(_RUNS, [(bucket.column("bucket")[0].as_py(), -1, pack_sorted(h[new]), g[new].tobytes(), b"")])
+        h, g = _ordered(h, g)
+        return _rows(_RUNS, [(bucket.column("bucket")[0].as_py(), -1, pack_sorted(h), g.tobytes(), b"")])
 
     return runs.groupBy("bucket").applyInArrow(merge, _RUNS)
 

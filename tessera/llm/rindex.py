@@ -7,17 +7,18 @@ of documents tell buckets of anchors which they have; stretches of text around
 anchors that more than one document has go to the anchor's bucket, equal ones of
 a chunk once, with their smallest document.
 
-A bucket builds a run-length compressed Burrows-Wheeler index of its distinct
-stretches: runs of the transform, with text positions sampled at run ends.  It
-streams the matching statistics of each stretch through the index, right to
-left.  Where at least ``size`` bytes match, the row lies in a block of suffixes
-that share them, and the smallest document of the block decides.
+A bucket halves its distinct stretches by their smallest document.  It builds a
+run-length compressed Burrows-Wheeler index of the earlier half (runs of the
+transform, with text positions sampled at run ends) and streams the matching
+statistics of the later half through it, right to left: where at least ``size``
+bytes match, an earlier document has them.  Inside a half, rows of its transform
+that share ``size`` symbols are a block, and the block's smallest document decides.
 
 Edge cases: null and empty texts have no bytes and stay as they are; texts
 shorter than ``size`` stay whole.  Rows of equal ``doc_id`` are never earlier
 than each other; a null ``doc_id`` is neither earlier nor later than another.
 Extra columns are kept, but for those named as the results.  Inside a chunk equal stretches are told by 64-bit
-hashes.  Memory follows a chunk (4 to 64 MB of text, or its longest document)
+hashes.  Memory follows a chunk (3 to 16 MB of text, or its longest document)
 and the distinct stretches of a bucket.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ._blocks import covered, mix, pack_sorted, powers, prefix, span_hash, unpack_sorted, utf8
-from ._chunks import buckets, chunked, column, sides
+from ._chunks import chunked, column, sides
 from .repeats import _in, _short, arrow_schema
 
 SIZE, GRAM = 50, 20
@@ -59,7 +60,6 @@ class RunLengthIndex:
         stop = np.append(self.run_start[1:], n)
         self.first_sample, self.last_sample = self.sa[self.run_start], self.sa[stop - 1]
         self.run_stop = stop
-        self.run_of = np.repeat(np.arange(len(stop), dtype=np.int32), stop - self.run_start)  # a directory; rows could be looked up by bisection
         by = np.lexsort((self.run_start, self.run_symbol))
         sizes = (stop - self.run_start)[by]
         before = np.cumsum(sizes) - sizes
@@ -136,7 +136,7 @@ class RunLengthIndex:
 
     def step(self, row: np.ndarray, at: np.ndarray, length: np.ndarray, symbol: np.ndarray):
         """Extends matches one symbol to the left: rows, text positions and lengths; symbols below 1 match nothing."""
-        run = self.run_of[row]
+        run = np.searchsorted(self.run_start, row, "right") - 1
         ok = self.run_symbol[run] == symbol
         jump = np.flatnonzero(~ok & (symbol > 0))
         if len(jump):
@@ -205,8 +205,7 @@ class _Stretches:
             return
         _, down = powers(n + 1)
         h = (self.sums[gram:] - self.sums[:-gram]) * down[: n - gram + 1]
-        bits = n.bit_length()
-        low = np.uint64((1 << bits) - 1)
+        low = np.uint64((1 << 32) - 1)  # as wide in every chunk, so that equal windows get equal anchors
         key = h & ~low
         key |= np.arange(len(key), dtype=np.uint64)
         have = 1
@@ -301,13 +300,28 @@ def _matched(size: int):
         del square
         least = np.full(len(where), np.iinfo(np.int64).max)
         np.minimum.at(least, place, rank)
-        part = np.concatenate(([0], np.cumsum(length[where])))
-        text = data[_spans(length[where], off[:-1][where])]
-        index = RunLengthIndex(text, part)
-        block = index.blocks(size)
-        earliest = np.minimum.reduceat(least[index.text_of[index.sa]], np.flatnonzero(np.append(True, block[1:] != block[:-1])))
-        long, row = index.matching_statistics(text, part)
-        found = np.where(long >= size, earliest[block[row]], np.iinfo(np.int64).max)
+        size_of = length[where]
+        part = np.concatenate(([0], np.cumsum(size_of)))
+        text = data[_spans(size_of, off[:-1][where])]
+        found = np.full(len(text), np.iinfo(np.int64).max)
+        late = least >= np.sort(least)[len(least) // 2] if len(least) else np.zeros(0, bool)
+        earlier = None
+        for half in (np.flatnonzero(~late), np.flatnonzero(late)):
+            if not len(half):
+                continue
+            at = _spans(size_of[half], part[:-1][half])
+            cut = np.concatenate(([0], np.cumsum(size_of[half])))
+            if earlier is not None:
+                matched, _ = earlier.matching_statistics(text[at], cut)
+                found[at[matched >= size]] = np.iinfo(np.int64).min
+            index = RunLengthIndex(text[at], cut)
+            block = index.blocks(size)
+            smallest = np.minimum.reduceat(least[half][index.text_of[index.sa]], np.flatnonzero(np.append(True, block[1:] != block[:-1])))
+            own = np.empty(len(index.sa), np.int64)
+            own[index.sa] = smallest[block]
+            inside = index.symbol > 0
+            found[at] = np.minimum(found[at], np.where(index.rest[inside] >= size, own[inside], np.iinfo(np.int64).max))
+            earlier = index
         n_windows = length - size + 1
         at = _spans(n_windows, part[:-1][place])
         lost = found[at] < np.repeat(rank, n_windows)
@@ -315,12 +329,11 @@ def _matched(size: int):
         begin = np.cumsum(n_windows) - n_windows
         mask = np.add.reduceat(np.where(lost, bit, np.uint64(0)), begin) if len(begin) else np.zeros(0, np.uint64)
         out = []
-        some = mask > 0
-        chunks = column(bucket, "chunk")
-        for k in np.unique(owner[some]):
-            mine = np.flatnonzero(some & (owner == k))
-            mine = mine[np.argsort(name[mine])]
-            out.append((int(chunks[k]), int(bucket.column("bucket")[0].as_py()), b"", pack_sorted(name[mine]), mask[mine].tobytes()))
+        some = np.flatnonzero(mask > 0)
+        some = some[np.lexsort((name[some], owner[some]))]
+        chunks, b = column(bucket, "chunk"), int(bucket.column("bucket")[0].as_py())
+        for mine in np.split(some, np.flatnonzero(owner[some][1:] != owner[some][:-1]) + 1) if len(some) else ():
+            out.append((int(chunks[owner[mine[0]]]), b, b"", pack_sorted(name[mine]), mask[mine].tobytes()))
         return _rows(_SEEN, out)
 
     return run
@@ -331,7 +344,7 @@ def find_long_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text:
     if not 1 <= gram <= size or size - gram + 1 > 64 or 2 * size - gram > 255:
         raise ValueError("gram must be at most size and leave at most 64 places and 255 bytes")
     docs = docs.drop(*{"n_bytes", "n_removed", "n_spans", "kept"} - {text, order})
-    parts, n, names = chunked(docs, text, order), buckets(docs), docs.columns
+    (parts, n), names = chunked(docs, text, order), docs.columns
 
     def offer(chunk: pa.Table) -> pa.Table:
         h = np.unique(_Stretches(chunk, text, order, size, gram).anchor)
