@@ -24,8 +24,8 @@ from tessera.llm._links import stored
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score, learned from labels of the training folds, does not reject."""
-    model, lexicon, base = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, lexicon, base, into="__score").where("__score < 0.5").select(docs.columns)
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), into="__score")
+    return scored.where("__score < 0.5").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

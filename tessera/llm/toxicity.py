@@ -7,21 +7,25 @@ it, under a trigram character model of the corpus and the channel's costs, is
 the restored text.  Words of plain letters without a threefold one have a single
 path and stay.
 
-Restored words and their beginnings are then scored: each gives the chance that
-a training document with it is toxic, for all where that chance is above the base
-rate beyond doubt.  A feature counts as the chance that ``GRADE`` documents with it
-are all toxic (0.89 alone makes one half, weaker ones add less), and a document's
-score is the chance that not all of its features mislead.  Near copies of one training text (same least hash of five words) count
-once, toxic or clean, as far as 64 bits tell groups apart (to about 180).
+Restored words and their beginnings are the features, with doubled letters as one.
+Their counts over the training labels give a lexicon: the log odds of a toxic text
+with a feature against those of any text, for features whose evidence chance among
+all features explains none of.  Of near copies of one training text (same least
+hash of five words and same label) the smallest key counts.  Where two or three
+short plain words next to each other join to a word of the lexicon, a lattice
+decides whether they were one word.  A document's evidence is its strongest
+feature and ``REST`` of the others; lexicons of two halves of the training rows
+each score the other half, and a logistic curve through those turns evidence into
+the score, so no constant is chosen on held-out rows.
 
 Labels come from training rows alone; the character model reads the texts of
 training rows.  Labels, language, source and ids are never inputs of a score.
 
 Edge cases: null and empty texts get the score of a text without evidence.  Of
 several labels of one document the highest counts; null labels do not count.
-Without training labels every score is the same, below one half.  Repeated rows
-get equal scores; extra columns are ignored.  Memory follows 1 MB of text or the
-longest text, and the lexicon (16 bytes an entry).
+Without training labels of both kinds every score is the same, below one half.
+Repeated rows get equal scores; extra columns are ignored.  Memory follows 1 MB of
+text or the longest text, and the lexicons (24 bytes an entry).
 """
 
 from __future__ import annotations
@@ -35,11 +39,16 @@ from pyspark.sql import functions as F
 
 from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
 from ._chunks import buckets, sides
+from ._links import kept, stored
 
 #: Lengths of word beginnings that are scored besides whole words.
 STEMS = (4, 5, 6)
-#: How steeply a feature's evidence falls with its chance.
-GRADE = 6
+#: What the features of a text besides its strongest count.
+REST = 0.1
+#: Letters of the pieces of torn words, and of a whole, at most.
+PIECE, WHOLE = 5, 14
+#: Bins of evidence, and its greatest value, that the logistic curve is fitted on.
+BINS, MOST = 400, 40.0
 #: Restored words that a worker remembers.
 KNOWN = 200_000
 
@@ -142,8 +151,18 @@ def count_trigrams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.bincount(k[:-2] * _N * _N + k[1:-1] * _N + k[2:], minlength=_N**3) if len(k) > 2 else np.zeros(_N**3, np.int64)
 
 
+def squeezed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """The bytes without letters that repeat the one before, and where words then begin and end."""
+    stay = np.ones(len(data), bool)
+    stay[1:] = (data[1:] != data[:-1]) | (data[1:] < 97) | (data[1:] > 122)
+    stay[starts] = True
+    at = np.concatenate(([0], np.cumsum(stay)))
+    return data[stay], at[starts], at[ends]
+
+
 def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray):
-    """Distinct features (whole words and beginnings) of the words of a block: row and hash."""
+    """Features (whole words and beginnings, doubled letters as one) of the words of a block: row and hash."""
+    data, starts, ends = squeezed(data, starts, ends)
     sums = prefix(data)
     whole = span_hash(sums, starts, ends)
     _, first, place = np.unique(whole, return_index=True, return_inverse=True)
@@ -173,8 +192,37 @@ def _cores(data: np.ndarray, off: np.ndarray):
     return a[some], b[some], doc[some]
 
 
-def features(data: np.ndarray, off: np.ndarray, model: CharacterModel) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature hash of each restored word of a block (with repeats)."""
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, plain: np.ndarray, model: CharacterModel, lexicon: np.ndarray):
+    """Rows and hashes of words of the lexicon that two or three short plain words are the pieces of, as a lattice decides."""
+    tight = np.zeros(len(data) + 1, np.int64)
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    inside = np.cumsum(inside)[:-1] > 0
+    tight[1:] = np.cumsum(inside)
+    text, a, b = data[inside], tight[starts], tight[ends]
+    text, a, b = squeezed(text, a, b)
+    sums = prefix(text)
+    short = plain & (ends - starts <= PIECE)
+    rows, hashes = [], []
+    for k in (2, 3):
+        n = len(starts) - k + 1
+        if n <= 0:
+            continue
+        some = (doc[:n] == doc[k - 1 :]) & np.logical_and.reduce([short[j : j + n] for j in range(k)]) & (b[k - 1 :] - a[:n] >= STEMS[0]) & (b[k - 1 :] - a[:n] <= WHOLE)
+        i = np.flatnonzero(some)
+        h = span_hash(sums, a[i], b[i + k - 1])
+        hit = np.flatnonzero(lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h)
+        for at, x in zip(i[hit].tolist(), h[hit], strict=True):
+            pieces = " ".join(data[starts[j] : ends[j]].tobytes().decode("utf-8", "replace") for j in range(at, at + k))
+            if " " not in model.restore(pieces):
+                rows.append(doc[at])
+                hashes.append(x)
+    return np.array(rows, np.int64), np.array(hashes, np.uint64)
+
+
+def features(data: np.ndarray, off: np.ndarray, model: CharacterModel, lexicon: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature hash of each restored word of a block (with repeats); with a lexicon, also of its words that plain pieces join to."""
     data = lowered(data)
     starts, ends, doc = _cores(data, off)
     if not len(starts):
@@ -198,6 +246,9 @@ def features(data: np.ndarray, off: np.ndarray, model: CharacterModel) -> tuple[
         lattice.setdefault(int(doc[i]), []).append(model.restore(letters))
     plain = ~odd & ~torn
     docs, hashes = _hashed(data, starts[plain], ends[plain], doc[plain])
+    if lexicon is not None and len(lexicon):
+        d, h = _joined(data, starts, ends, doc, plain, model, lexicon)
+        docs, hashes = np.concatenate((docs, d)), np.concatenate((hashes, h))
     if lattice:
         rows = np.array(list(lattice))
         texts = [" ".join(x).encode() for x in lattice.values()]
@@ -232,7 +283,7 @@ def fit_characters(docs: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel(counts)
 
 
-_COUNTS = "bucket int, hashes binary, toxic binary, total binary, groups binary, others binary"
+_COUNTS = "bucket int, hashes binary, toxic binary, total binary, toxic_a binary, total_a binary"
 
 
 def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -246,14 +297,24 @@ def sketches(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """How many texts such rows are, copies of one counted once: as many groups as 64 bits can tell, or all rows."""
-    filled = np.bitwise_count(groups).astype(float)
-    return np.where(filled < 60, np.minimum(rows, -64 * np.log1p(-np.minimum(filled, 60) / 64)), rows)
+def different(docs: DataFrame, train: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """Of the labelled rows, one key of each group of near copies with one label."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([docs.schema[key], StructField("sketch", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            for i, j in blocks(off):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sketches(data[off[i] : off[j]], off[i : j + 1] - off[i]).view(np.int64))], names=schema.names)
+
+    rows = docs.select(key, text).mapInArrow(run, schema).join(train, key)
+    return kept(rows.groupBy("sketch", label).agg(F.min(key).alias(key)).select(key, label).distinct())
 
 
-def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of telling features (ascending) and the chance of a toxic text with each, from all labelled rows."""
+def fit_lexicons(labelled: DataFrame, model: CharacterModel, base: float, text: str = "text", label: str = "toxic", half: str | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of telling features (ascending) and their log odds against the base: of all labelled rows, and of each half (column ``half``, 0 or 1)."""
     n = max(1, buckets(labelled) // 8)  # every task may have some for every bucket
     log = model.log
 
@@ -268,19 +329,19 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
             h = h[by]
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             if not len(at):
-                return h, np.zeros(0, np.uint32), np.zeros(0, np.uint32), h, h
-            t, m, g, o = (np.concatenate([x[k] for x in held])[by] for k in (1, 2, 3, 4))
-            return h[at], np.add.reduceat(t, at).astype(np.uint32), np.add.reduceat(m, at).astype(np.uint32), np.bitwise_or.reduceat(g, at), np.bitwise_or.reduceat(o, at)
+                return h, *[np.zeros(0, np.uint32)] * 4
+            return h[at], *(np.add.reduceat(np.concatenate([x[k] for x in held])[by], at).astype(np.uint32) for k in range(1, 5))
 
         def rows():
             h, *sums = merged()
             found, at = sides(h, n)
             cut = list(zip(at[:-1], at[1:], strict=True))
             columns = [[pack_sorted(h[i:j]) for i, j in cut], *[[x[i:j].tobytes() for i, j in cut] for x in sums]]
-            return pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(x, pa.binary()) for x in columns]], names=["bucket", "hashes", "toxic", "total", "groups", "others"])
+            return pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(x, pa.binary()) for x in columns]], names=[x.split(" ")[0] for x in _COUNTS.split(", ")])
 
         for batch in batches:
             toxic = np.asarray(batch.column(1).fill_null(0), np.int64) > 0
+            first = np.asarray(batch.column(2), np.int64) == 0
             data, off = utf8(batch.column(0))
             for i, j in blocks(off):
                 doc, h = features(data[off[i] : off[j]], off[i : j + 1] - off[i], own)
@@ -291,9 +352,8 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
                 doc, h = doc[one], h[one]
                 if len(h):
                     at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                    group = np.uint64(1) << (sketches(data[off[i] : off[j]], off[i : j + 1] - off[i]) & np.uint64(63))
-                    bad = toxic[i:j]
-                    held.append((h[at], np.add.reduceat(toxic[i:j][doc].astype(np.uint32), at), np.diff(np.append(at, len(h))).astype(np.uint32), *(np.bitwise_or.reduceat(np.where(side, group, np.uint64(0))[doc], at) for side in (bad, ~bad))))
+                    bad, side = toxic[i:j][doc], first[i:j][doc]
+                    held.append((h[at], *(np.add.reduceat(x.astype(np.uint32), at) for x in (bad, np.ones(len(h)), bad & side, side))))
             if sum(len(x[0]) for x in held) > 2_000_000:
                 held[:] = [merged()]
                 if len(held[0][0]) > 1_000_000:
@@ -304,74 +364,118 @@ def fit_lexicon(labelled: DataFrame, model: CharacterModel, base: float, text: s
 
     def choose(bucket: pa.Table) -> pa.Table:
         h = np.concatenate([unpack_sorted(x, np.uint64) for x in bucket.column("hashes").to_pylist()])
-        t, m = (np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column(c).to_pylist()]) for c in ("toxic", "total"))
-        g, o = (np.concatenate([np.frombuffer(x, np.uint64) for x in bucket.column(c).to_pylist()]) for c in ("groups", "others"))
+        sums = [np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column(c).to_pylist()]).astype(np.int64) for c in ("toxic", "total", "toxic_a", "total_a")]
         by = np.argsort(h, kind="stable")
         at = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
-        h, t, m, g, o = h[by][at], np.add.reduceat(t[by].astype(np.int64), at), np.add.reduceat(m[by].astype(np.int64), at), np.bitwise_or.reduceat(g[by], at), np.bitwise_or.reduceat(o[by], at)
-        t, clean = _texts(t, g), _texts(m - t, o)
-        m = np.maximum(t + clean, 1e-9)
-        share = t / m
-        with np.errstate(divide="ignore", invalid="ignore"):
-            evidence = m * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
-        # enough evidence that chance among so many features explains none
-        some = (share > base) & (evidence > math.log(len(h) * n) + 3)
-        return pa.table({"h": pa.array(h[some].view(np.int64)), "p": pa.array(((t + 0.5) / (m + 1))[some])})
-
-    found = labelled.select(text, label).mapInArrow(count, _COUNTS).groupBy("bucket").applyInArrow(choose, "h long, p double").toArrow()
-    h, p = found.column("h").to_numpy().view(np.uint64), found.column("p").to_numpy()
-    by = np.argsort(h)
-    return h[by], p[by]
-
-
-def score(docs: DataFrame, model: CharacterModel, lexicon: tuple[np.ndarray, np.ndarray], base: float, text: str = "text", into: str = "score") -> DataFrame:
-    """Adds the score of every row; other columns stay."""
+        h, (t, m, ta, ma) = h[by][at], (np.add.reduceat(x[by], at) for x in sums)
+        out = [pa.table({"part": pa.array([-1], pa.int32()), "h": pa.array([len(h)], pa.int64()), "odds": pa.array([0.0]), "evidence": pa.array([0.0])})]
+        for part, (bad, every) in enumerate(((t, m), (ta, ma), (t - ta, m - ma))):
+            share = bad / np.maximum(every, 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                evidence = every * (np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base))))
+            some = (share > base) & (evidence > math.log(len(h)) + 3)  # at least; all features of the cluster raise the bound
+            odds = np.log((bad[some] + 0.5) / (every[some] - bad[some] + 0.5)) - math.log(base / (1 - base))
+            out.append(pa.table({"part": pa.array(np.full(some.sum(), part, np.int32)), "h": pa.array(h[some].view(np.int64)), "odds": pa.array(odds), "evidence": pa.array(evidence[some])}))
+        return pa.concat_tables(out)
+
+    rows = labelled.select(text, label, F.lit(0).alias("half") if half is None else F.col(half).cast("int").alias("half"))
+    found = rows.mapInArrow(count, _COUNTS).groupBy("bucket").applyInArrow(choose, "part int, h long, odds double, evidence double").toArrow()
+    part, h, odds, evidence = (found.column(c).to_numpy() for c in ("part", "h", "odds", "evidence"))
+    enough = evidence > math.log(max(1, int(h[part < 0].sum()))) + 3
+    out = []
+    for k in range(3):
+        some = np.flatnonzero(enough & (part == k) & (odds > 0))
+        hashes = h[some].view(np.uint64)
+        by = np.argsort(hashes)
+        out.append((hashes[by], odds[some][by]))
+    return out
+
+
+def _sums(doc: np.ndarray, h: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """The evidence of each of ``n`` rows: the strongest feature, and ``REST`` of the others."""
+    hashes, odds = lexicon
+    out = np.zeros(n)
+    if len(h) and len(hashes):
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[at] == h
+        row, at = np.unique(np.stack((doc[hit], at[hit])), axis=1)
+        np.add.at(out, row, REST * odds[at])
+        best = np.zeros(n)
+        np.maximum.at(best, row, odds[at])
+        out += (1 - REST) * best
+    return out
+
+
+def evidence(docs: DataFrame, model: CharacterModel, lexicons: list[tuple[np.ndarray, np.ndarray]], text: str = "text", half: str | None = None) -> DataFrame:
+    """Adds ``__x``, the evidence of every row by all training rows, and ``__y``, that by the half that its own (column ``half``, dropped) is not."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = docs.drop(into)
-    schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
-    place = kept.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast((model.log, *lexicon))
-    least = min(0.4, max(1e-3, base / 4))
+    names = [c for c in docs.columns if c != half]
+    source = docs.select(*names, F.lit(0).alias("__half") if half is None else F.col(half).cast("int").alias("__half"))
+    schema = StructType([*source.schema.fields[:-1], StructField("__x", DoubleType()), StructField("__y", DoubleType())])
+    place = names.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast((model.log, lexicons))
 
     def run(batches):
-        log, hashes, chance = shared.value
+        log, parts = shared.value
         own = CharacterModel.__new__(CharacterModel)
         own.log, own.known = log, {}
+        known = np.unique(np.concatenate([x for x, _ in parts]))
         for batch in batches:
+            side = np.asarray(batch.column(len(names)), np.int64)
             data, off = utf8(batch.column(place))
             for i, j in blocks(off):
-                doc, h = features(data[off[i] : off[j]], off[i : j + 1] - off[i], own)
-                misled = np.full(j - i, math.log1p(-least))
-                if len(h) and len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    hit = hashes[at] == h
-                    pairs = np.unique(np.stack((doc[hit], at[hit])), axis=1)
-                    # a word and its beginnings are one piece of evidence: the best feature, and a tenth of the rest
-                    order = np.lexsort((-chance[pairs[1]], pairs[0]))
-                    rows, p = pairs[0][order], chance[pairs[1]][order]
-                    first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
-                    np.add.at(misled, rows, np.log1p(-np.minimum(p, 0.999) ** GRADE) * np.where(first, 1.0, 0.1))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(1 - np.exp(misled))], names=schema.names)
-
-    return kept.mapInArrow(run, schema)
-
-
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic"):
-    """Character model, lexicon and base rate from the training rows."""
+                doc, h = features(data[off[i] : off[j]], off[i : j + 1] - off[i], own, known)
+                x, by_first, by_second = (_sums(doc, h, part, j - i) for part in parts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(x), pa.array(np.where(side[i:j] == 0, by_second, by_first))], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def curve(x: np.ndarray, bad: np.ndarray, total: np.ndarray) -> tuple[float, float]:
+    """Level and slope of the logistic curve through counts of toxic and all texts by evidence (Newton steps, a weak prior, slope at least 0)."""
+    a, b = -2.0, 1.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        w = total * p * (1 - p)
+        g = np.array([(bad - total * p).sum() - 1e-2 * a, ((bad - total * p) * x).sum() - 1e-2 * b])
+        h = np.array([[w.sum() + 1e-2, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1e-2]])
+        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        a, b = a + step[0], b + step[1]
+        if abs(step).max() < 1e-9:
+            break
+    return min(a, -0.1), max(b, 0.0)
+
+
+def calibrate(found: DataFrame, train: DataFrame, key: str, label: str = "toxic") -> tuple[float, float]:
+    """The curve from evidence by the other half to labels, over all training rows (binned on the cluster)."""
+    bins = F.round(F.least(F.col("__y"), F.lit(MOST)) * (BINS / MOST)).cast("int")
+    counts = found.select(key, bins.alias("bin")).join(train.hint("merge"), key).groupBy("bin").agg(F.sum((F.col(label) > 0).cast("int")).alias("bad"), F.count(F.lit(1)).alias("n")).collect()
+    return curve(*(np.array([r[k] for r in counts], float) * s for k, s in ((0, MOST / BINS), (1, 1), (2, 1)))) if counts else (-2.0, 0.0)
+
+
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic", into: str = "score", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Carried columns (default: all) and the score of every row, from labels of rows whose key's CRC-32 is not divisible by ``folds``."""
+    carry = tuple(c for c in (docs.columns if carry is None else carry) if c != into)
     train = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key, folds)).groupBy(key).agg(F.max(label).alias(label))
-    rate, n = train.agg(F.avg(F.when(F.col(label) > 0, 1.0).otherwise(0.0)), F.count(F.lit(1))).head()
-    base = min(0.49, max(1e-6, rate)) if n else 0.1
+    train = train.withColumn(label, (F.col(label) > 0).cast("int"))
+    rate, n = train.agg(F.avg(label), F.count(F.lit(1))).head()
     own = docs.where(~held_out(key, folds)).select(key, text)
+    if not n or rate in (0, 1):
+        return docs.select(*carry, F.lit(0.1).alias(into))
     model = fit_characters(own, text)
-    if not n or not rate:
-        return model, (np.zeros(0, np.uint64), np.zeros(0)), base
-    return model, fit_lexicon(own.join(train.hint("merge"), key).select(text, label), model, base, text, label), base
+    half = (F.floor(F.crc32(F.col(key).cast("string")) / folds) % 2).cast("int")
+    texts = different(own, train, key, text, label)
+    lexicons = fit_lexicons(own.join(texts.hint("merge"), key).select(text, label, half.alias("__half")), model, min(0.49, max(1e-6, rate)), text, label, "__half")
+    wanted = [key, *(c for c in carry if c != key)]
+    found = evidence(docs.select(*wanted, F.col(text).alias("__text"), F.coalesce(half, F.lit(0)).alias("__side")), model, lexicons, "__text", "__side").drop("__text")
+    found = stored(found)
+    a, b = calibrate(found, texts, key, label)
+    return found.select(*carry, (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("__x"))))).alias(into))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Score of every document, from labels outside its fold."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model, lexicon, base = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score(docs, model, lexicon, base)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("doc_id",))
     return scored.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -310,18 +310,18 @@ def test_toxicity_restores_and_learns(spark, empty):
         bad = i % 4 == 0
         rows.append((i, say(*([rng.choice(tox)] if bad else []))))
         labels.append((i, int(bad)))
-    hidden = ["1d10t", "i.d.i.o.t", "i d i o t", "IDIOOOOT!", "$tupid", "m0r0n"]
-    rows += [(1000 + k, say() + f" {h} " + say()) for k, h in enumerate(hidden)] + [(2000, None), (2001, ""), (2002, "1 2 3 a a a a"), (None, say())]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    lab = spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, toxic int")
-    model, lexicon, base = toxicity.fit(docs, lab)
-    got = {r.doc_id: r.score for r in toxicity.score(docs, model, lexicon, base).collect()}
-    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(400))
-    assert [got[1000 + k] >= 0.5 for k in range(len(hidden))] == [True] * len(hidden)
-    assert all(0 <= got[i] < 0.5 for i in (2000, 2001, 2002, None))
-    model, lexicon, base = toxicity.fit(docs, lab.where("false"))
-    assert toxicity.score(docs, model, lexicon, base).where("score >= 0.5").count() == 0
-    assert toxicity.score(empty, *toxicity.fit(empty, lab)).count() == 0
+    hidden = ["1d10t", "i.d.i.o.t", "i d i o t", "IDIOOOOT!", "$tupid", "m0r0n", "stu pid", "id iot", "s tupid", "stuupid", "iddiot", "mo ro n"]
+    rows += [(1000 + k, say() + f" {h} " + say()) for k, h in enumerate(hidden)] + [(2000, None), (2001, ""), (2002, "1 2 3 a a a a"), (None, say()), (3, "a second text of one id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    lab = spark.createDataFrame([*labels, (3, None), (None, 1), (4, 0)], "doc_id long, toxic int")
+    got = {(r.doc_id, r.text): r.score for r in toxicity.score(docs, lab).collect()}
+    assert len(got) == len(rows)
+    assert all((got[i, t] >= 0.5) == (i % 4 == 0) for i, t in rows[:400])
+    assert [got[r] >= 0.5 for r in rows[400 : 400 + len(hidden)]] == [True] * len(hidden)
+    assert all(0 <= x < 0.5 for (i, t), x in got.items() if i is None or i >= 2000 or t == "a second text of one id")
+    for none in (lab.where("false"), lab.where("toxic = 0")):
+        assert toxicity.score(docs, none).where("score >= 0.5").count() == 0
+    assert toxicity.score(empty, lab).count() == 0
 
 
 def test_toxicity_counts_copies_once_and_grades_evidence(spark):
@@ -329,15 +329,32 @@ def test_toxicity_counts_copies_once_and_grades_evidence(spark):
     vocab = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "su") for b in ("ra", "ton", "vel", "dis", "mon")]
     say = lambda *more: " ".join([rng.choice(vocab) for _ in range(30)] + list(more))
     copied = say("vexor")
-    rows = [(say("vexor"), 1) for _ in range(40)] + [(copied, 0)] * 1000  # one clean text, copied
-    rows += [(t, 1) for t in [say("quibber") for _ in range(40)] for _ in range(20)] + [(say("quibber"), 0) for _ in range(8)]  # 40 texts, and 8 clean ones
+    rows = [(say("vexor"), 1) for _ in range(60)] + [(copied, 0)] * 1000  # one clean text, copied
+    rows += [(t, 1) for t in [say("quibber") for _ in range(60)] for _ in range(20)] + [(say("quibber"), 0) for _ in range(40)]  # 60 texts, and 40 clean ones
     rows += [(say(), 0) for _ in range(800)]
-    docs = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
-    model = toxicity.fit_characters(docs)
-    lexicon = toxicity.fit_lexicon(docs, model, 0.2)
-    new = spark.createDataFrame([("vexor", say("vexor")), ("quibber", say("quibber")), ("none", say())], "k string, text string")
-    got = {r.k: r.score for r in toxicity.score(new, model, lexicon, 0.2).collect()}
-    assert got["vexor"] > 0.5 and got["none"] + 0.1 < got["quibber"] < got["vexor"] and got["none"] < 0.5
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(rows)], "doc_id long, text string, toxic int").repartition(3)
+    new = spark.createDataFrame([(10**6, say("vexor")), (10**6 + 1, say("quibber")), (10**6 + 2, say())], "doc_id long, text string")
+    got = {r.doc_id - 10**6: r.score for r in toxicity.score(docs.drop("toxic").union(new), docs.select("doc_id", "toxic")).where("doc_id >= 1000000").collect()}
+    assert got[0] > 0.5 and got[2] + 0.1 < got[1] < got[0] and got[2] < 0.5
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    d = f"{SF.replace('0.001', '0.01')}"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    out = []
+    for n in (4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out.append({r.doc_id: round(r.score, 9) for r in toxicity.score(docs.repartition(n // 2), labels).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert out[0] == out[1]
+
+
+def test_curve_through_counts():
+    x = np.array([0.0, 1, 2, 4])
+    a, b = toxicity.curve(x, np.array([10.0, 30, 60, 95]), np.full(4, 100.0))
+    p = 1 / (1 + np.exp(-(a + b * x)))
+    assert np.abs(p - [0.1, 0.3, 0.6, 0.95]).max() < 0.06 and toxicity.curve(x, np.array([40.0, 20, 10, 1]), np.full(4, 100.0))[1] == 0
 
 
 def brute_fingerprint(t):
@@ -527,4 +544,4 @@ def test_toxicity_on_held_out_labels(spark):
     d = SF.replace("0.001", "0.1")
     got = toxicity.op9_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in got}
-    assert n[1, 1] > 0.8 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.02 * n[0, 0]
+    assert n[1, 1] > 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.01 * n[0, 0]
