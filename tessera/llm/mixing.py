@@ -7,14 +7,16 @@ repetition is spread as evenly as the quotas allow.  Since each layer costs the
 same everywhere, filling the network layer by layer along augmenting paths (which
 may reroute what flows already) is a cheapest flow.  What a pattern gives is then
 taken from its documents: all of them as often as it is a whole number of times,
-and the rest from the first in a seeded order, found by running sums over hash bins,
-with one more document that fills the gap best.
+and the rest from the first in a seeded order, found by descending through ranges of
+hashes (a 256th of the one before each time, whatever the number of documents), with
+one more document that fills the gap best.  A source none of whose patterns has
+another source needs no network: it gets its quota.
 
 Edge cases: null texts have size 0 and count as documents of their source; a
 null source is a source (the last).  An empty source array counts as a null
 source.  Equal rows are separate documents, taken equally often.  Sources of size 0 have target 0.
-Extra columns are kept, but for those named as the results.  The driver holds the patterns, of which more than
-``PATTERNS`` are an error.
+Extra columns are kept, but for those named as the results.  The driver holds one sum
+a pattern, and sends them back by broadcast only while they are at most ``SENT``.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from ._links import kept
 
-#: Distinct membership patterns at most.
-PATTERNS = 20_000
+#: Rows of patterns that are broadcast at most; more are joined.
+SENT = 20_000
+#: Hashes that a range may have before it is cut again.
+RANGE = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,12 +61,17 @@ def targets(sizes: dict, weights: dict, total: float, most: float) -> dict:
 def route(patterns: dict[tuple, float], quota: dict, most: int) -> dict[tuple, dict]:
     """Words that each pattern gives to each of its sources: a cheapest flow that fills the quotas as far as it can."""
     flow: dict[tuple, dict] = {p: {s: 0.0 for s in p} for p in patterns}
-    need = dict(quota)
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    for p, n in patterns.items():
+        if not shared.intersection(p):
+            flow[p][p[0]] = min(quota[p[0]], most * n)
+    patterns = {p: n for p, n in patterns.items() if shared.intersection(p)}
+    need = {s: quota[s] for s in shared}
     givers: dict = {}
     for p in patterns:
         for s in p:
             givers.setdefault(s, []).append(p)
-    scale = max([1.0, *quota.values()])
+    scale = max([1.0, *need.values()])
     for layer in range(1, most + 1):
         spare = {p: layer * n - sum(flow[p].values()) for p, n in patterns.items()}
         while True:
@@ -100,8 +109,8 @@ def route(patterns: dict[tuple, float], quota: dict, most: int) -> dict[tuple, d
     return flow
 
 
-def mix(docs: DataFrame, weights, sources: Column | None = None, text: str = "text", most: int = 3, share: float = 1.0, seed: int = 17, order: str = "doc_id") -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` to every row.
+def mix(docs: DataFrame, weights, sources: Column | None = None, text: str = "text", most: int = 3, share: float = 1.0, seed: int = 17, order: str = "doc_id", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` to every row (or to columns ``carry``).
 
     ``sources`` is a row's source or array of sources (default: column
     ``source``).  ``weights`` maps the list of sources to their weights.
@@ -114,10 +123,11 @@ def mix(docs: DataFrame, weights, sources: Column | None = None, text: str = "te
     members = F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))).otherwise(F.array(F.lit(None).cast("string")))
     sized = docs.withColumns({"__pattern": F.to_json(members), "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")})
     sized = sized.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(order), F.col(text)))
-    plan_of = kept(sized.select("__pattern", "__hash", "size"))
-    sums = plan_of.groupBy("__pattern").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(PATTERNS + 1).collect()
-    if len(sums) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} membership patterns")
+    carry = None if carry is None else [c for c in carry if c in docs.columns]
+    plan_of = kept(sized.select(*(carry or ()), "__pattern", "__hash", "size"))
+    if carry is not None:
+        sized = plan_of
+    sums = plan_of.groupBy("__pattern").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     patterns = {tuple(json.loads(r["__pattern"])): float(r.n) for r in sums}
     sizes: dict = {}
     for p, n in patterns.items():
@@ -131,35 +141,45 @@ def mix(docs: DataFrame, weights, sources: Column | None = None, text: str = "te
         gives = sum(flow[p].values())
         whole = min(most, int(gives // r.n)) if r.n else 0
         plan[r["__pattern"]] = (int(sum(sizes[s] for s in p)), float(sum(quota[s] for s in p)), whole, float(gives - whole * r.n) if whole < most else 0.0)
-    cuts = _cuts(plan_of, {p: x[3] for p, x in plan.items()}, sum(r.rows for r in sums))
+    cuts = _cuts(plan_of.select("__pattern", "__hash", "size"), {p: x[3] for p, x in plan.items()}, sum(r.rows for r in sums))
     rows = [(p, *plan[p][:3], *cuts.get(p, (None, None))) for p in plan]
-    given = F.broadcast(docs.sparkSession.createDataFrame(rows, "__pattern string, source_size long, target double, __whole int, __upto long, __also long"))  # at most PATTERNS rows
+    given = _sent(docs.sparkSession.createDataFrame(rows, "__pattern string, source_size long, target double, __whole int, __upto long, __also long"), len(rows))
     out = sized.join(given, "__pattern")
     once_more = F.coalesce(F.col("__hash") <= F.col("__upto"), F.lit(False)) | F.coalesce(F.col("__hash") == F.col("__also"), F.lit(False))
     out = out.withColumn("copies", F.col("__whole") + once_more.cast("int"))
     return out.withColumn("taken", F.col("size") * F.col("copies")).drop("__pattern", "__hash", "__whole", "__upto", "__also")
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SENT else df
+
+
 def _cuts(rows: DataFrame, rest: dict[str, float], n: int) -> dict[str, tuple]:
     """Per pattern: the hash up to which documents are taken once more, and that of one more document that fills the gap best.
 
-    Running sums of bins of hashes find the bin in which ``rest`` words are
-    reached; those of its rows, the document.  Equal hashes go together.
+    Sums of 256 ranges of hashes a pattern find the one in which ``rest`` words
+    are reached; it is cut again until it has few hashes, whose running sum finds
+    the document.  Equal hashes go together.
     """
     spark = rows.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(p, x) for p, x in rest.items() if x > 0], "__pattern string, rest double"))
-    bins = max(1, n // 2000)
-    keyed = rows.join(wanted, "__pattern").groupBy("__pattern", "rest", "__hash").agg(F.sum("size").alias("size"))
-    keyed = kept(keyed.withColumn("bin", F.floor((F.col("__hash") / F.lit(2.0**64) + 0.5) * bins)))
-    by_bin = keyed.groupBy("__pattern", "bin").agg(F.sum("size").alias("n"))
-    before = by_bin.select("__pattern", "bin", (F.sum("n").over(Window.partitionBy("__pattern").orderBy("bin")) - F.col("n")).alias("before"), "n")
-    last = before.join(wanted, "__pattern").where("before <= rest").groupBy("__pattern").agg(F.max_by(F.struct("bin", "before"), "bin").alias("at"))
-    inside = keyed.join(last.select("__pattern", F.col("at.bin").alias("bin"), F.col("at.before").alias("before")), ["__pattern", "bin"])
-    upto = Window.partitionBy("__pattern").orderBy("__hash").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("end", F.col("before") + F.sum("size").over(upto))
+    part = Window.partitionBy("__pattern")
+    keyed = rows.join(_sent(spark.createDataFrame([(p, x) for p, x in rest.items() if x > 0], "__pattern string, rest double"), len(rest)), "__pattern")
+    keyed = kept(keyed.groupBy("__pattern", "rest", "__hash").agg(F.sum("size").alias("size")))
+    place = F.col("__hash").bitwiseXOR(F.lit(-(2**63)))  # hashes ascend as unsigned numbers
+    inside, bits = keyed.withColumn("before", F.lit(0).cast("long")), 0
+    most = n
+    while most > RANGE and bits < 64:
+        bits += 8
+        sums = inside.groupBy("__pattern", "rest", "before", F.shiftrightunsigned(place, 64 - bits).alias("at")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("hashes"))
+        sums = sums.withColumn("from", F.col("before") + F.sum("n").over(part.orderBy("at")) - F.col("n"))
+        last = kept(sums.where("from <= rest").groupBy("__pattern").agg(F.max_by(F.struct(F.col("at"), F.col("from").alias("before"), "hashes"), "at").alias("r")))
+        most = last.agg(F.max("r.hashes")).head()[0] or 0
+        chosen = _sent(last.select("__pattern", F.col("r.at").alias("__at"), F.col("r.before").alias("before")), len(rest))
+        inside = keyed.withColumn("__at", F.shiftrightunsigned(place, 64 - bits)).join(chosen, ["__pattern", "__at"]).drop("__at")
+    inside = inside.withColumn("end", F.col("before") + F.sum("size").over(part.orderBy("__hash").rowsBetween(Window.unboundedPreceding, 0)))
     found = inside.groupBy("__pattern", "rest", "before").agg(F.max(F.when(F.col("end") <= F.col("rest"), F.struct("__hash", "end"))).alias("cut"), F.min("__hash").alias("low"))
     found = kept(found.select("__pattern", F.coalesce("cut.__hash", F.col("low") - 1).alias("upto"), (F.col("rest") - F.coalesce("cut.end", "before")).alias("gap")))
-    left = keyed.join(F.broadcast(found), "__pattern").where("__hash > upto and size > 0")  # at most a row a pattern
+    left = keyed.join(_sent(found, len(rest)), "__pattern").where("__hash > upto and size > 0")
     best = left.groupBy("__pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "__hash")).alias("b"))
     more = {r["__pattern"]: r.b for r in best.collect()}
     out = {}
@@ -177,4 +197,4 @@ def rotating(sources: list) -> dict:
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents under rotating weights."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs, rotating).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")
+    return mix(docs, rotating, carry=("doc_id",)).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")

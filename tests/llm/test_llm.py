@@ -258,6 +258,50 @@ def test_flow_is_cheapest():
     assert all(sum(f.values()) <= 10 + 1e-9 for f in flow.values())  # no repetition where none is needed
 
 
+def test_mix_of_many_sources(spark):
+    df = spark.range(120_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), (F.col("id") % 50_000).cast("string").alias("source"))
+    got = mixing.mix(df, mixing.rotating, carry=("doc_id", "source"))
+    off = got.groupBy("source").agg((F.sum("taken") - F.first("target")).alias("off"), F.max("size").alias("most"))
+    assert off.count() == 50_000 and off.where("abs(off) > most").count() == 0
+
+
+def test_mix_cuts_ranges_again(spark, docs, monkeypatch):
+    plain = {(r.doc_id, r.text): r.taken for r in mixing.mix(docs, mixing.rotating).collect()}
+    monkeypatch.setattr(mixing, "RANGE", 1)
+    assert plain == {(r.doc_id, r.text): r.taken for r in mixing.mix(docs, mixing.rotating).collect()}
+
+
+def test_mix_equals_brute_force(spark, tmp_path, docs, rows):
+    """Documents of the plan: whole repetitions, then those first in the seeded order, then the best one more."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r["size"], r.source_size, round(r.target, 6), r.taken) for r in mixing.op7_mixing(spark, str(tmp_path)).collect())
+    seeded = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r[3], []).append((seeded[r[0], r[1]], len(words(r[1])), r[0]))
+    names = mixing.in_order(by)
+    size = {s: sum(n for _, n, _ in by[s]) for s in by}
+    quota = mixing.targets(size, mixing.rotating(names), sum(size.values()), 3)
+    want = []
+    for s in names:
+        whole = min(3, int(quota[s] // size[s])) if size[s] else 0
+        rest, once = quota[s] - whole * size[s], set()
+        at = {}
+        for h, n, _ in by[s]:
+            at[h] = at.get(h, 0) + n
+        left = rest
+        if whole < 3 and rest > 0:
+            order = sorted(at)
+            while order and at[order[0]] <= left:
+                left -= at[order[0]]
+                once.add(order.pop(0))
+            best = min(((abs(at[h] - left), h) for h in order if at[h]), default=None)
+            if best and best[0] < left:
+                once.add(best[1])
+        want += [(str(i), n, size[s], round(quota[s], 6), n * (whole + (h in once))) for h, n, i in by[s]]
+    assert got == sorted(want)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "w " * 10, ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["a", "b"]) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
