@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts (characters) that share one pair index.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: Pretokens that a worker remembers between batches.
-KNOWN = 150_000
+KNOWN = 100_000
 
 
 def _byte_letters() -> dict[str, int]:

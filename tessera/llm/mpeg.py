@@ -25,6 +25,7 @@ import zlib
 from dataclasses import dataclass, field
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,12 +301,15 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
     schema = StructType([*kept.schema.fields[1:], *added])
 
     def run(batches):
+        kinds = [pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string())]
         for batch in batches:
-            for row in range(batch.num_rows):
-                a = parse(batch.column(0)[row].as_py())
-                values = [float(a.duration), sum(h.samples for h in a.headers), a.headers[0].rate if a.headers else None, len(a.offsets), a.offsets, a.vbr and a.vbr["kind"], a.vbr and a.vbr.get("frames"), a.crc_ok, a.crc_bad, a.junk, list(a.tags.items())]
-                kinds = [pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, 1).columns[1:], *[pa.array([v], k) for v, k in zip(values, kinds, strict=True)]], names=schema.names)
+            size = np.array([len(m) if m is not None else 0 for m in (x.as_buffer() for x in batch.column(0))], np.int64)
+            for i, j in blocks(np.concatenate(([0], np.cumsum(size))), 4 << 20):
+                rows = []
+                for row in range(i, j):
+                    a = parse(batch.column(0)[row].as_py())
+                    rows.append((float(a.duration), sum(h.samples for h in a.headers), a.headers[0].rate if a.headers else None, len(a.offsets), a.offsets, a.vbr and a.vbr["kind"], a.vbr and a.vbr.get("frames"), a.crc_ok, a.crc_bad, a.junk, list(a.tags.items())))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[1:], *[pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
