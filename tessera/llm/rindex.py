@@ -60,6 +60,10 @@ class RunLengthIndex:
         stop = np.append(self.run_start[1:], n)
         self.first_sample, self.last_sample = self.sa[self.run_start], self.sa[stop - 1]
         self.run_stop = stop
+        marks = np.zeros(-(-(n + 1) // 64) * 64, np.uint8)
+        marks[self.run_start] = 1
+        self.marks = np.packbits(marks, bitorder="little").view(np.uint64)
+        self.marked = np.cumsum(np.bitwise_count(self.marks), dtype=np.int64) - np.bitwise_count(self.marks)
         by = np.lexsort((self.run_start, self.run_symbol))
         sizes = (stop - self.run_start)[by]
         before = np.cumsum(sizes) - sizes
@@ -136,7 +140,8 @@ class RunLengthIndex:
 
     def step(self, row: np.ndarray, at: np.ndarray, length: np.ndarray, symbol: np.ndarray):
         """Extends matches one symbol to the left: rows, text positions and lengths; symbols below 1 match nothing."""
-        run = np.searchsorted(self.run_start, row, "right") - 1
+        word = row >> 6
+        run = self.marked[word] + np.bitwise_count(self.marks[word] & ((np.uint64(2) << (row & 63).astype(np.uint64)) - np.uint64(1))) - 1  # runs that start up to a row
         ok = self.run_symbol[run] == symbol
         jump = np.flatnonzero(~ok & (symbol > 0))
         if len(jump):
@@ -159,18 +164,23 @@ class RunLengthIndex:
             np.where(hit, length + 1, 0),
         )
 
-    def matching_statistics(self, texts: np.ndarray, off: np.ndarray):
-        """For every byte of the texts, the length of the longest match that starts there and the row of one such suffix."""
+    def matching_statistics(self, texts: np.ndarray, off: np.ndarray, need: int = 0):
+        """For every byte of the texts, the length of the longest match that starts there and the row of one such suffix.
+
+        A text is left (zeros for the rest) where no match of ``need`` bytes can start any more.
+        """
         lengths, rows = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        size = np.diff(off)
-        order = np.argsort(-size, kind="stable")
-        ends, size = off[1:][order], size[order]
-        row, at, length = np.zeros(len(order), np.int64), np.full(len(order), self.sa[0]), np.zeros(len(order), np.int64)
-        for t in range(int(size.max(initial=0))):
-            live = int(np.searchsorted(-size, -t, "left"))
-            where = ends[:live] - 1 - t
-            row[:live], at[:live], length[:live] = self.step(row[:live], at[:live], length[:live], self.code[texts[where]])
-            lengths[where], rows[where] = length[:live], row[:live]
+        left = np.diff(off)
+        some = left > 0
+        where, left = off[1:][some] - 1, left[some] - 1
+        row, at, length = np.zeros(len(where), np.int64), np.full(len(where), self.sa[0]), np.zeros(len(where), np.int64)
+        while len(where):
+            row, at, length = self.step(row, at, length, self.code[texts[where]])
+            lengths[where], rows[where] = length, row
+            on = (left > 0) & (length + left >= need)
+            if not on.all():
+                where, left, row, at, length = where[on], left[on], row[on], at[on], length[on]
+            where, left = where - 1, left - 1
         return lengths, rows
 
     def blocks(self, size: int) -> np.ndarray:
@@ -312,7 +322,7 @@ def _matched(size: int):
             at = _spans(size_of[half], part[:-1][half])
             cut = np.concatenate(([0], np.cumsum(size_of[half])))
             if earlier is not None:
-                matched, _ = earlier.matching_statistics(text[at], cut)
+                matched, _ = earlier.matching_statistics(text[at], cut, size)
                 found[at[matched >= size]] = np.iinfo(np.int64).min
             index = RunLengthIndex(text[at], cut)
             block = index.blocks(size)
