@@ -9,12 +9,14 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D throughout.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,6 +35,14 @@ _REST = np.random.default_rng(20260126).integers(1, PRIME, 256, dtype=np.uint64)
 _rests = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system, where the C library can: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

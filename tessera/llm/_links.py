@@ -29,7 +29,7 @@ def kept(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The table as Parquet files in the shared folder; for wide tables."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -30,10 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._blocks import release
+
 #: Texts (characters) that share one pair index.
 BATCH = 4 << 20
 #: Pretokens that a worker remembers between batches.
-KNOWN = 100_000
+KNOWN = 60_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -328,6 +330,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes, text: str = "text", carry: tupl
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, off[-1])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(off).astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(same)], names=schema.names)
         c.forget(0)
+        release()
 
     return source.mapInArrow(run, schema)
 

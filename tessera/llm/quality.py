@@ -8,7 +8,7 @@ and bitwise aggregation over the ledger.
 Edge cases: a null or empty text has no words, fails ``few_words`` and has all
 measurements 0.  Rows are independent, so repeated rows and ties give repeated
 results, an empty table gives an empty ledger, and extra columns are ignored.
-Memory follows a block of 1 MB of text or the longest text.
+Memory follows a block of 0.5 MB of text or the longest text.
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._blocks import check_hash, covered, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
+from ._blocks import check_hash, covered, pack_sorted, prefix, release, span_hash, unpack_sorted, utf8, windows, words
 from ._chunks import chunked, column, sides
 from ._links import kept
 
@@ -86,6 +86,7 @@ _ANSWERS = "chunk int, bucket int, hashes binary, checks binary"
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    release()  # the arrays of the group are done with
     kinds = {"int": pa.int32(), "binary": pa.binary()}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.table({n: pa.array([r[k] for r in rows], kinds[t]) for k, (n, t) in enumerate(fields)})

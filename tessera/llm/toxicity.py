@@ -24,7 +24,7 @@ training rows.  Labels, language, source and ids are never inputs of a score.
 Edge cases: null and empty texts get the score of a text without evidence.  Of
 several labels of one document the highest counts; null labels do not count.
 Without training labels of both kinds every score is the same, below one half.
-Repeated rows get equal scores; extra columns are ignored.  Memory follows 1 MB of
+Repeated rows get equal scores; extra columns are ignored.  Memory follows 0.5 MB of
 text or the longest text, and the lexicons (24 bytes an entry).
 """
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
+from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, release, span_hash, unpack_sorted, utf8, windows, words
 from ._chunks import buckets, sides
 from ._links import kept, stored
 
@@ -50,7 +50,7 @@ PIECE, WHOLE = 5, 14
 #: Bins of evidence, and its greatest value, that the logistic curve is fitted on.
 BINS, MOST = 400, 40.0
 #: Restored words that a worker remembers.
-KNOWN = 200_000
+KNOWN = 50_000
 
 #: What signs may stand for, and what each event of the channel costs in nats.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -361,6 +361,9 @@ def fit_lexicons(labelled: DataFrame, model: CharacterModel, base: float, text:
                     held.clear()
         if held:
             yield rows()
+        own.known.clear()
+        held.clear()
+        release()
 
     def choose(bucket: pa.Table) -> pa.Table:
         h = np.concatenate([unpack_sorted(x, np.uint64) for x in bucket.column("hashes").to_pylist()])
@@ -428,6 +431,8 @@ def evidence(docs: DataFrame, model: CharacterModel, lexicons: list[tuple[np.nda
                 doc, h = features(data[off[i] : off[j]], off[i : j + 1] - off[i], own, known)
                 x, by_first, by_second = (_sums(doc, h, part, j - i) for part in parts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(x), pa.array(np.where(side[i:j] == 0, by_second, by_first))], names=schema.names)
+        own.known.clear()
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, span_hash, unpack_sorted, utf8, windows, words
+from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, release, span_hash, unpack_sorted, utf8, windows, words
 from ._links import components, kept, stored
 from .simhash import _ALL, _SPREAD, first_of_each, fit_tree, least_row, route
 
@@ -105,6 +105,7 @@ def sketches(docs: DataFrame, n_words: int, text: str, key: str, size: int) -> D
                 short = (h >> np.uint64(32)).astype(np.uint32)
                 sets = [pack_sorted(short[a:b]) for a, b in zip(ends - sizes, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(1).slice(i, j - i), pa.array(sizes.astype(np.int32)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
+        release()
 
     return chosen.mapInArrow(run, schema)
 
