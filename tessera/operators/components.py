@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import kept
 from .matrix import matmul
 from .stats import summary
 
@@ -43,14 +44,14 @@ def pivot_modules(tables: DataFrame, modules: list | None = None) -> DataFrame:
 
 
 def lineage(ids: DataFrame, taxonomy: DataFrame, ranks: list[str]) -> DataFrame:
-    """Names at the given ranks of each ``taxon_id``, by climbing ``taxonomy`` (``taxon_id``, ``parent``, ``name``, ``rank``); unknown ids have none."""
+    """Names at the given ranks of each ``taxon_id``, by climbing ``taxonomy`` (``taxon_id``, ``parent``, ``name``, ``rank``); unknown ids have none, and a circle is gone round once."""
     tree = taxonomy.select(F.col("taxon_id").alias("node"), "parent", "name", "rank")
     at = ids.select("taxon_id").distinct().withColumn("node", F.col("taxon_id"))
     found = None
     while True:
-        here = at.join(tree, "node").select("taxon_id", "node", "parent", "name", "rank")
+        here = kept(at.join(tree, "node").select("taxon_id", "node", "parent", "name", "rank"))
         found = here if found is None else found.unionByName(here)
-        at = here.where("parent is not null and parent <> node").select("taxon_id", F.col("parent").alias("node"))
+        at = here.where("parent is not null and parent <> node").select("taxon_id", F.col("parent").alias("node")).join(found.select("taxon_id", "node"), ["taxon_id", "node"], "left_anti")
         if at.isEmpty():
             break
     named = found.groupBy("taxon_id").pivot("rank", ranks).agg(F.first("name"))

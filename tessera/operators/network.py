@@ -142,8 +142,8 @@ def differential(reference: DataFrame, treatment: DataFrame) -> DataFrame:
     return treatment.withColumnRenamed("weight", "t").join(reference.withColumnRenamed("weight", "r"), ["node_a", "node_b"]).select("node_a", "node_b", (F.col("t") - F.col("r")).alias("weight"))
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Label propagation: each node takes the label with most weight among neighbours (the least on ties) until none changes."""
+def communities(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Label propagation: each node takes the label with most weight among neighbours (the least on ties) until none changes; an error if that takes more than ``rounds``."""
     both = redundant(edges).cache()
     labels = both.select(F.col("node_a").alias("node")).distinct().withColumn("label", F.col("node").cast("string"))
     for _ in range(rounds):
@@ -152,9 +152,10 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = new
         if not changed:
-            break
+            both.unpersist()
+            return labels
     both.unpersist()
-    return labels
+    raise ValueError(f"labels still change after {rounds} rounds")
 
 
 def axis_connections(edges: DataFrame, axes: DataFrame) -> DataFrame:

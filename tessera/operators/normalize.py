@@ -66,6 +66,21 @@ def tpm(x: DataFrame, length: DataFrame) -> DataFrame:
     return rpk(x, length).withColumn("v", F.try_divide(F.col("v") * 1e6, F.sum("v").over(by_obs())))
 
 
+def replace_zeros(x: DataFrame) -> DataFrame:
+    """Cells with 1 / m^2 added if any cell is zero, for m attributes (zeros must be present: see ``densify``); negative cells are an error."""
+    n = x.agg(F.count_distinct("attr").alias("m"), F.count_if(F.col("v") == 0).alias("zeros"), F.count_if(F.col("v") < 0).alias("low"))
+    rows = x.crossJoin(F.broadcast(n))
+    shift = F.when(F.col("low") > 0, F.raise_error(F.lit("cells must not be negative")).cast("double")).when(F.col("zeros") > 0, 1 / (F.col("m") * F.col("m"))).otherwise(0.0)
+    return rows.select("obs", "attr", (F.col("v") + shift).alias("v"))
+
+
+def transform(x: DataFrame, method: str = "clr", axis: int = 1) -> DataFrame:
+    """``tss`` or ``clr`` of a dense matrix along an axis, zeros replaced before logarithms."""
+    x = transpose(x) if axis == 0 else x
+    out = clr(replace_zeros(x)) if method == "clr" else tss(x)
+    return transpose(out) if axis == 0 else out
+
+
 def clr(x: DataFrame) -> DataFrame:
     """Centred log-ratios of the positive cells."""
     return x.where("v > 0").withColumn("v", F.ln("v")).withColumn("v", F.col("v") - F.avg("v").over(by_obs()))

@@ -124,11 +124,19 @@ class Tree:
         return self.importance[None]
 
 
+# fixed values of the hyper-parameter spaces
+STRENGTHS = np.linspace(1e-10, 1.0, 20)
+PENALTIES = ("l2", "l1")
+LEAVES = (1, 2, 3, 5, 8)
+CRITERIA = ("gini", "entropy")
+FEATURES = ("sqrt", "log2", None, 0.382)
+
+
 def grid(kind: str) -> list[dict]:
-    """Hyper-parameters: penalties by strengths, or criteria by leaf sizes by features."""
+    """Hyper-parameters, those preferred among equally accurate ones first: l2 and weak penalties; small leaves, gini, then the square root."""
     if kind == "logistic":
-        return [{"c": float(c), "penalty": p} for c, p in itertools.product(np.linspace(0.05, 1.0, 20).round(2), ("l1", "l2"))]
-    return [{"criterion": c, "min_samples_leaf": n, "max_features": f} for c, n, f in itertools.product(("gini", "entropy"), (1, 2, 3, 5, 8), (None, "sqrt", "log2", 0.382))]
+        return [{"c": float(c), "penalty": p} for p, c in itertools.product(PENALTIES, STRENGTHS[::-1])]
+    return [{"criterion": c, "min_samples_leaf": n, "max_features": f} for n, c, f in itertools.product(LEAVES, CRITERIA, FEATURES)]
 
 
 def make(kind: str, options: dict):
@@ -306,16 +314,17 @@ def most_likely(probabilities: DataFrame) -> DataFrame:
     return probabilities.groupBy("obs").agg(F.max_by("target", F.struct("p", "target")).alias("target"))
 
 
-def descend(edges: DataFrame, root, depth: int = 50) -> DataFrame:
-    """Follows the likeliest child from the root to a node without children."""
+def descend(edges: DataFrame, root) -> DataFrame:
+    """Follows the likeliest child from the root to a node without children; a circle is an error."""
     step = edges.groupBy("obs", "parent").agg(F.max_by("child", F.struct("p", "child")).alias("child"))
     at = edges.select("obs").distinct().withColumn("node", F.lit(root))
-    for _ in range(depth):
+    n = step.select("parent").distinct().count()
+    for _ in range(n + 1):
         moved = at.join(step.withColumnRenamed("parent", "node"), ["obs", "node"], "left")
         if moved.where("child is not null").isEmpty():
-            break
+            return at
         at = kept(moved.select("obs", F.coalesce("child", "node").alias("node")))
-    return at
+    raise ValueError("the likeliest children form a circle")
 
 
 def target_scores(accuracy: DataFrame, paths: DataFrame) -> DataFrame:

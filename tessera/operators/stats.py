@@ -55,9 +55,14 @@ def _two_stage(p: np.ndarray, alpha: float, bky: bool) -> np.ndarray:
 
 
 def p_adjust(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: str = "q_value", by: str | None = None, alpha: float = 0.05) -> DataFrame:
-    """Adjusted p-values over all rows or inside each ``by``; NULLs neither count nor change."""
+    """Adjusted p-values over all rows or inside each ``by``; NULLs neither count nor change.
+
+    Over all rows only ``hommel`` needs them in one task; the others rank them by
+    ranges of p (``p_adjust_many``).
+    """
     method = {"fdr": "fdr_bh", "bh": "fdr_bh", "by": "fdr_by"}.get(method, method)
-    part = Window.partitionBy(by if by else F.lit(0), F.col(p).isNull())
+    if by is None and method != "hommel":
+        return p_adjust_many(df, p, method, into, alpha)
     if method in ("hommel", "fdr_tsbh", "fdr_tsbky"):
         kind = df.schema.fields
         change = _hommel if method == "hommel" else lambda v: _two_stage(v, alpha, method == "fdr_tsbky")
@@ -71,55 +76,68 @@ def p_adjust(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: st
         from pyspark.sql.types import DoubleType, StructField, StructType
 
         return (df.groupBy(by) if by else df.groupBy()).applyInPandas(group, StructType([*kind, StructField(into, DoubleType())]))
-    m = F.count(F.col(p)).over(part)
-    rank = F.row_number().over(part.orderBy(p))
+    part = Window.partitionBy(by, F.col(p).isNull())
     down = part.orderBy(F.desc(p), F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
     up = part.orderBy(p, "__r").rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({"__m": m, "__r": rank})
-    q, left = F.col(p), F.col("__m") - F.col("__r") + 1
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest("__m", F.lit(1).cast("long"))), F.lit(0.0), lambda s, k: s + 1 / k)
-    value: Column = {
-        "bonferroni": q * F.col("__m"),
-        "sidak": 1 - F.pow(1 - q, F.col("__m")),
+    rows = df.withColumns({"__m": F.count(F.col(p)).over(part), "__r": F.row_number().over(part.orderBy(p))})
+    if method == "fdr_by":  # one sum of a harmonic series a size, not a row
+        sizes = rows.select("__m").distinct().withColumn("__c", F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest("__m", F.lit(1).cast("long"))), F.lit(0.0), lambda s, k: s + 1 / k))
+        rows = rows.join(sizes, "__m")
+    rows = rows.withColumn("__v", _steps(p, F.col("__c") if method == "fdr_by" else F.lit(1.0))[method])
+    out = {"holm": F.max("__v").over(up), "holm-sidak": F.max("__v").over(up), "simes-hochberg": F.min("__v").over(down), "fdr_bh": F.min("__v").over(down), "fdr_by": F.min("__v").over(down)}.get(method, F.col("__v"))
+    return rows.withColumn(into, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), out))).select(*df.columns, into)
+
+
+def _steps(p: str, harmonic: Column) -> dict[str, Column]:
+    """Values of ranked p-values (columns ``__r`` of ``__m``) by method, before running extremes."""
+    q, m, left = F.col(p), F.col("__m"), F.col("__m") - F.col("__r") + 1
+    return {
+        "bonferroni": q * m,
+        "sidak": 1 - F.pow(1 - q, m),
         "holm": q * left,
         "holm-sidak": 1 - F.pow(1 - q, left),
         "simes-hochberg": q * left,
-        "fdr_bh": q * F.col("__m") / F.col("__r"),
-        "fdr_by": q * F.col("__m") / F.col("__r") * harmonic,
-    }[method]
-    rows = rows.withColumn("__v", value)
-    out = {"holm": F.max("__v").over(up), "holm-sidak": F.max("__v").over(up), "simes-hochberg": F.min("__v").over(down), "fdr_bh": F.min("__v").over(down), "fdr_by": F.min("__v").over(down)}.get(method, F.col("__v"))
-    return rows.withColumn(into, F.when(q.isNotNull(), F.least(F.lit(1.0), out))).drop("__m", "__r", "__v")
+        "fdr_bh": q * m / F.col("__r"),
+        "fdr_by": q * m / F.col("__r") * harmonic,
+    }
 
 
-def p_adjust_many(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: str = "q_value") -> DataFrame:
-    """``p_adjust`` over all rows (Bonferroni, Holm, Hochberg, BH) without a window over all of them.
+def p_adjust_many(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", into: str = "q_value", alpha: float = 0.05) -> DataFrame:
+    """``p_adjust`` over all rows (all methods but ``hommel``) without a window over all of them.
 
-    Rows are range-partitioned by p and kept; ranks and running extremes are
-    windows inside partitions, carried over by a table with a row a partition.
+    Rows are range-partitioned by p (equal ones by a hash of the row) and kept;
+    ranks and running extremes are windows inside partitions, carried over by a
+    row a partition.  Columns must not be maps.
     """
-    method = {"fdr": "fdr_bh", "bh": "fdr_bh"}.get(method, method)
-    known = df.where(F.col(p).isNotNull())
-    placed = kept(known.repartitionByRange(F.col(p)).withColumn("__part", F.spark_partition_id()))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    over = Window.orderBy("__part")
-    sizes = sizes.select("__part", (F.sum("__n").over(over) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
-    inside = Window.partitionBy("__part").orderBy(p)
-    rows = placed.join(F.broadcast(sizes), "__part").withColumn("__r", F.row_number().over(inside) + F.col("__before"))  # a row a partition
-    q, left = F.col(p), F.col("__m") - F.col("__r") + 1
-    value = {"bonferroni": q * F.col("__m"), "holm": q * left, "simes-hochberg": q * left, "fdr_bh": q * F.col("__m") / F.col("__r")}[method]
-    rows = rows.withColumn("__v", value)
-    if method == "holm":
-        ends = rows.groupBy("__part").agg(F.max("__v").alias("__e"))
-        ends = ends.select("__part", F.max("__e").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__e"))
-        best = F.greatest(F.max("__v").over(Window.partitionBy("__part").orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)), F.col("__e"))
-    elif method == "bonferroni":
-        ends, best = None, F.col("__v")
+    method = {"fdr": "fdr_bh", "bh": "fdr_bh", "by": "fdr_by"}.get(method, method)
+    if method in ("fdr_tsbh", "fdr_tsbky"):
+        bky = method == "fdr_tsbky"
+        first = kept(p_adjust_many(df, p, "fdr_bh", "__bh"))
+        n, rejected = first.agg(F.count("__bh"), F.count_if(F.col("__bh") <= (alpha / (1 + alpha) if bky else alpha))).head()
+        factor = ((n - rejected) / n if 0 < rejected < n else 1.0) * (1 + alpha if bky else 1)
+        return first.withColumn(into, F.least(F.lit(1.0), F.col("__bh") * F.lit(float(factor)))).drop("__bh")
+    order = [F.col(p), F.xxhash64(*df.columns)]
+    placed = kept(df.where(F.col(p).isNotNull()).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = sorted((r["__part"], r.n) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    m = sum(n for _, n in sizes)
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    spark = df.sparkSession
+    rows = placed.join(F.broadcast(spark.createDataFrame([(k, b) for (k, _), b in zip(sizes, before, strict=False)], "__part int, __before long")), "__part")
+    rows = rows.withColumns({"__m": F.lit(m).cast("long"), "__r": F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")})
+    harmonic = float(np.sum(1 / np.arange(1, m + 1))) if m <= 10**7 else float(np.log(m) + np.euler_gamma + 1 / (2 * m))
+    rows = rows.withColumn("__v", _steps(p, F.lit(harmonic))[method])
+    if method in ("bonferroni", "sidak"):
+        best = F.col("__v")
     else:
-        ends = rows.groupBy("__part").agg(F.min("__v").alias("__e"))
-        ends = ends.select("__part", F.min("__e").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__e"))
-        best = F.least(F.min("__v").over(Window.partitionBy("__part").orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)), F.col("__e"))
-    rows = rows if ends is None else rows.join(F.broadcast(ends), "__part")
+        up = method in ("holm", "holm-sidak")
+        ends = dict(tuple(r) for r in rows.groupBy("__part").agg((F.max if up else F.min)("__v")).collect())
+        carried, edge = [], None
+        for k, _ in sizes if up else reversed(sizes):
+            carried.append((k, edge))
+            edge = ends[k] if edge is None else (max if up else min)(edge, ends[k])
+        inside = Window.partitionBy("__part").orderBy("__r" if up else F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.join(F.broadcast(spark.createDataFrame(carried, "__part int, __e double")), "__part")
+        best = F.greatest(F.max("__v").over(inside), "__e") if up else F.least(F.min("__v").over(inside), "__e")
     out = rows.withColumn(into, F.least(F.lit(1.0), best)).select(*df.columns, into)
     return out.unionByName(df.where(F.col(p).isNull()).withColumn(into, F.lit(None).cast("double")))
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 LIMIT = 5000
 
 
@@ -114,16 +116,19 @@ def parse_newick(text: str) -> pd.DataFrame:
 
 
 def ancestors(tree: DataFrame) -> DataFrame:
-    """Every node with itself and all ancestors: ``node``, ``ancestor``, ``steps``, ``distance``."""
-    spark = tree.sparkSession
-    tree.createOrReplaceTempView("__tree")
-    return spark.sql("""
-        with recursive up(node, ancestor, steps, distance) as (
-          select node, node, 0, cast(0 as double) from __tree
-          union all
-          select u.node, t.parent, u.steps + 1, u.distance + coalesce(t.length, 0)
-          from up u join __tree t on u.ancestor = t.node where t.parent is not null)
-        select * from up""")
+    """Every node with itself and all ancestors: ``node``, ``ancestor``, ``steps``, ``distance``; by pointers that double, so depth costs its logarithm."""
+    zero = F.lit(0.0)
+    found = kept(tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"), zero.alias("distance")))
+    jump = kept(tree.where("parent is not null").select("node", F.col("parent").alias("to"), F.coalesce(F.col("length").cast("double"), zero).alias("far")))
+    n, reach = found.count(), 1
+    while not jump.isEmpty():
+        if reach > n:
+            raise ValueError("a node is its own ancestor")
+        on = jump.select(F.col("node").alias("ancestor"), "to", "far")
+        found = kept(found.unionByName(found.join(on, "ancestor").select("node", F.col("to").alias("ancestor"), (F.col("steps") + reach).alias("steps"), (F.col("distance") + F.col("far")).alias("distance"))))
+        jump = kept(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("far").alias("__far")), "to").select("node", F.col("__to").alias("to"), (F.col("far") + F.col("__far")).alias("far")))
+        reach *= 2
+    return found
 
 
 def leaf_distances(tree: DataFrame, topology_only: bool = True) -> DataFrame:

@@ -38,12 +38,12 @@ def read_textfile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, description: bool = False, case: str = "upper") -> DataFrame:
-    """``seq_id`` and ``seq``; without descriptions an id is its first word."""
-    records = spark.read.text(path, lineSep=">").where("length(trim(value)) > 0")
-    head = F.trim(F.substring_index("value", "\n", 1))
+    """``seq_id`` and ``seq``; without descriptions an id is its first word.  A record begins with ``>`` at the start of a line."""
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where("length(trim(value)) > 0")
+    head = F.regexp_replace(F.trim(F.substring_index("value", "\n", 1)), r"\s+$", "")
     body = F.regexp_replace(F.expr("substr(value, length(substring_index(value, '\n', 1)) + 2)"), r"\s", "")
     seq = {"upper": F.upper, "lower": F.lower}.get(case, lambda c: c)(body)
-    return records.select((head if description else F.substring_index(head, " ", 1)).alias("seq_id"), seq.alias("seq"))
+    return records.select((head if description else F.regexp_extract(head, r"^\S*", 0)).alias("seq_id"), seq.alias("seq"))
 
 
 def write_fasta(df: DataFrame, path: str) -> None:
@@ -76,13 +76,13 @@ def read_gff(spark: SparkSession, path: str, kind: str = "gff3", seq_type: str |
 
 
 def read_distmat(spark: SparkSession, path: str) -> DataFrame:
-    """A square distance matrix of aligned sequences, as cells."""
+    """A square distance matrix of aligned sequences a file, as cells."""
     lines = read_textfile(spark, path).where("length(value) > 0 and value not like '#%' and not value rlike '^[0-9]+$'")
     parts = F.split(F.regexp_replace("value", r"^\d+:\s+", ""), r"\s+")
-    rows = lines.select(F.row_number().over(Window.orderBy("line")).alias("i"), parts.alias("p"))
-    names = rows.select((F.col("i") - 1).alias("j"), F.col("p")[0].alias("attr"))
-    cells = rows.select(F.col("p")[0].alias("obs"), F.posexplode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("j", "v"))
-    return cells.join(names, "j").select("obs", "attr", F.col("v").cast("double").alias("v"))
+    rows = lines.select("file", F.row_number().over(Window.partitionBy("file").orderBy("line")).alias("i"), parts.alias("p"))
+    names = rows.select("file", (F.col("i") - 1).alias("j"), F.col("p")[0].alias("attr"))
+    cells = rows.select("file", F.col("p")[0].alias("obs"), F.posexplode(F.slice("p", F.lit(2), F.size("p") - 1)).alias("j", "v"))
+    return cells.join(names, ["file", "j"]).select("obs", "attr", F.col("v").cast("double").alias("v"))
 
 
 def read_hierarchy_json(spark: SparkSession, path: str) -> DataFrame:
