@@ -91,8 +91,9 @@ def xlr(x: DataFrame, reference: DataFrame | None = None, centroid: str = "mean"
     logs = x.where("v > 0").withColumn("l", F.ln("v"))
     logs = logs.withColumn("r", F.lit(True)) if reference is None else logs.join(reference.select("attr", F.lit(True).alias("r")), "attr", "left")
     inside = F.when(F.col("r"), F.col("l"))
-    middle = {"mean": F.avg(inside), "median": F.median(inside), "hmean": F.ln(F.count(inside) / F.sum(F.when(F.col("r"), 1 / F.col("v"))))}[centroid]
-    return logs.withColumn("c", middle.over(by_obs())).select("obs", "attr", (F.col("l") - F.col("c")).alias("v"))
+    w = by_obs()
+    middle = {"mean": F.avg(inside).over(w), "median": F.median(inside).over(w), "hmean": F.ln(F.count(inside).over(w) / F.sum(F.when(F.col("r"), 1 / F.col("v"))).over(w))}[centroid]
+    return logs.withColumn("c", middle).select("obs", "attr", (F.col("l") - F.col("c")).alias("v"))
 
 
 def iqlr(x: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:

@@ -115,7 +115,7 @@ def p_adjust_many(df: DataFrame, p: str = "p_value", method: str = "fdr_bh", int
         first = kept(p_adjust_many(df, p, "fdr_bh", "__bh"))
         n, rejected = first.agg(F.count("__bh"), F.count_if(F.col("__bh") <= (alpha / (1 + alpha) if bky else alpha))).head()
         factor = ((n - rejected) / n if 0 < rejected < n else 1.0) * (1 + alpha if bky else 1)
-        return first.withColumn(into, F.least(F.lit(1.0), F.col("__bh") * F.lit(float(factor)))).drop("__bh")
+        return first.withColumn(into, F.when(F.col("__bh").isNotNull(), F.least(F.lit(1.0), F.col("__bh") * F.lit(float(factor))))).drop("__bh")
     order = [F.col(p), F.xxhash64(*df.columns)]
     placed = kept(df.where(F.col(p).isNotNull()).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = sorted((r["__part"], r.n) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition

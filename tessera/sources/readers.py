@@ -34,7 +34,7 @@ def read_wide(spark: SparkSession, path: str, key: str | None = None) -> DataFra
 def read_textfile(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines with their numbers in each file."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line", "value")).withColumn("value", F.trim("value"))
+    return whole.select("file", F.posexplode("lines").alias("line", "value")).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", ""))
 
 
 def read_fasta(spark: SparkSession, path: str, description: bool = False, case: str = "upper") -> DataFrame:

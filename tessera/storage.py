@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -16,3 +17,11 @@ def kept(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder that all executors share."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        kept(spark.range(0))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/tables-{uuid.uuid4().hex}"

@@ -294,3 +294,51 @@ def test_empty_tables(spark):
     x = spark.createDataFrame([], "obs string, attr string, v double")
     for f in (normalize.tss, normalize.clr, diversity.alpha_diversity, diversity.depth_richness, lambda d: pairs.pairwise(d, "euclidean")):
         assert f(x).count() == 0
+
+
+def test_p_values_of_many_rows_equal_plain_formulas(spark):
+    rng = np.random.RandomState(3)
+    p = np.round(rng.rand(300) ** 2, 2)  # many ties
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)] + [(999, None)], "i int, p_value double").repartition(5)
+    m, order = len(p), np.argsort(p, kind="stable")
+    s, k = p[order], np.arange(1, m + 1)
+    down, up = (lambda v: np.minimum.accumulate(v[::-1])[::-1]), np.maximum.accumulate
+    want = {"fdr_bh": down(s * m / k), "fdr_by": down(s * m / k * (1 / k).sum()), "holm": up(s * (m - k + 1)), "holm-sidak": up(1 - (1 - s) ** (m - k + 1)), "simes-hochberg": down(s * (m - k + 1)), "sidak": 1 - (1 - s) ** m, "bonferroni": s * m}
+    for method, value in want.items():
+        got = {r.i: r.q_value for r in stats.p_adjust(df, method=method).collect()}
+        assert got[999] is None and np.allclose([got[i] for i in order], np.minimum(value, 1)), method
+        grouped = {r.i: r.q_value for r in stats.p_adjust(df.withColumn("g", F.lit(1)), method=method, by="g").collect()}
+        assert np.allclose([grouped[i] for i in order], np.minimum(value, 1)) and grouped[999] is None
+    for method, bky in (("fdr_tsbh", False), ("fdr_tsbky", True)):
+        got = {r.i: r.q_value for r in stats.p_adjust(df, method=method).collect()}
+        assert got[999] is None and np.allclose([got[i] for i in range(m)], stats._two_stage(p, 0.05, bky))
+
+
+def test_deep_trees_and_circles(spark):
+    kind = "node string, parent string, length double, is_leaf boolean"
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, 1.0, i == 149) for i in range(150)], kind)
+    got = tree.ancestors(chain).where("node = 'n149'").collect()
+    assert len(got) == 150 and all(r.distance == r.steps == 149 - int(r.ancestor[1:]) for r in got)
+    with pytest.raises(ValueError):
+        tree.ancestors(spark.createDataFrame([("a", "b", 1.0, False), ("b", "a", 1.0, False)], kind))
+    taxa = spark.createDataFrame([(1, 2, "one", "genus"), (2, 1, "two", "family"), (3, 1, "three", "species")], "taxon_id int, parent int, name string, rank string")
+    from tessera.operators import components
+
+    r = components.lineage(spark.createDataFrame([(3,), (7,)], "taxon_id int"), taxa, ["species", "genus", "family"]).orderBy("taxon_id").collect()
+    assert tuple(r[0]) == (3, "three", "one", "two") and tuple(r[1]) == (7, None, None, None)
+    circle = spark.createDataFrame([("o", "a", "b", 1.0), ("o", "b", "a", 1.0)], "obs string, parent string, child string, p double")
+    with pytest.raises(ValueError):
+        select.descend(circle, "a")
+
+
+def test_preferred_parameters_come_first():
+    logistic, trees = select.grid("logistic"), select.grid("tree")
+    assert logistic[0] == {"c": 1.0, "penalty": "l2"} and len(logistic) == 40 and min(g["c"] for g in logistic) == 1e-10
+    assert trees[0] == {"criterion": "gini", "min_samples_leaf": 1, "max_features": "sqrt"} and len(trees) == 40
+
+
+def test_zero_replacement(x):
+    full = matrix.densify(x)
+    assert cells(normalize.replace_zeros(full))["o3", "a"] == pytest.approx(1 / 9)
+    with pytest.raises(Exception, match="must not be negative"):
+        normalize.transform(full.withColumn("v", -F.col("v"))).collect()

@@ -71,3 +71,17 @@ def test_stream_matches_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, windows.depth_richness(df).collect()))
     assert sorted(map(tuple, spark.table("depths").collect())) == want and len(want) == 2
+
+
+def test_fasta_marks_inside_headers(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">s1 beta->gamma protein\nAC\nGT\n>s2\n\n>s3 x>y\r\nTT\r\n")
+    got = {r.seq_id: r.seq for r in R.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {"s1": "ACGT", "s2": "", "s3": "TT"}
+    assert {r.seq_id for r in R.read_fasta(spark, str(tmp_path), description=True).collect()} == {"s1 beta->gamma protein", "s2", "s3 x>y"}
+
+
+def test_distance_matrices_of_a_folder(spark, tmp_path):
+    for k, name in enumerate("ab"):
+        (tmp_path / f"{name}.mat").write_text(f"2\n{name}1 0.0 0.{k + 1}\n{name}2 0.{k + 1} 0.0\n")
+    got = {(r.obs, r.attr): r.v for r in R.read_distmat(spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and got["a1", "a2"] == 0.1 and got["b2", "b1"] == 0.2
