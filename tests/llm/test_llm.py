@@ -115,12 +115,35 @@ def test_lm_is_normalised_and_beats_its_base(spark, docs, empty):
     assert bilinear.score(empty).count() == 0
 
 
+def test_lm_of_two_places():
+    rng = np.random.default_rng(3)
+    far, near = rng.integers(0, 20, (2, 60000))
+    target = np.where(rng.random(60000) < 0.8, (far + 1) % 20, rng.integers(0, 20, 60000))  # the class two before tells
+    counts = np.zeros((20, 20))
+    np.add.at(counts, (near, target), 1)
+    one = bilinear.LogBilinear.train(counts, width=8)
+    one.group = np.arange(20)
+    two = one.refined(np.stack((far, near, target), axis=1).astype(np.int32), counts.sum(axis=0), batch=512, rate=0.05)
+    a, b = one.score(far, near, target), two.score(far, near, target)
+    assert b.mean() > a.mean() + 0.3
+    every = two.score(np.repeat(4, 20), np.repeat(7, 20), np.arange(20))
+    assert (10**every).sum() == pytest.approx(1, abs=1e-5) and np.allclose(every, two.log10(np.full(20, 4))[7], atol=1e-5)
+    seq = bilinear.sequence(np.array([3, 4, 5, 6]), np.array([0, 0, 2, 2]), 3, 9)
+    assert [x.tolist() for x in seq[:4]] == [[9, 9, 3, 9, 9, 9, 5], [9, 3, 4, 9, 9, 5, 6], [3, 4, 9, 9, 5, 6, 9], [0, 0, 0, 1, 2, 2, 2]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_lm_beats_its_base_on_held_out_texts(spark):
+    got = bilinear.op2_lm_score(spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.count(F.lit(1))).head()
+    assert got[2] > 50 and got[0] > 0.95 * got[1]
+
+
 def test_lm_probabilities_add_up():
     top = np.array([1 << 12, 2 << 12], np.uint64)
     tokens_, types = np.zeros(bilinear.SUFFIXES), np.zeros(bilinear.SUFFIXES)
     tokens_[0], types[0], tokens_[5], types[5] = 20, 4, 7, 2  # class 0 holds both frequent words and two others
     v = bilinear.Vocabulary(top, np.array([9.0, 6.0]), tokens_, types, 27, 6)
-    inside = [10 ** v.within(np.array([bilinear.TOP]), np.array([n]))[0] for n in (3, 2, 0)]
+    inside = [10 ** v.within(np.array([2]), np.array([n]))[0] for n in (3, 2, 0)]
     assert sum(inside) == pytest.approx(1)
 
 
