@@ -78,8 +78,8 @@ def _truncated(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def soft_threshold(similarity: DataFrame, powers=(*range(1, 11), *range(12, 30, 2)), bins: int = 10) -> DataFrame:
     """Scale-free fit and mean connectivity for powers of a similarity (all at once)."""
-    raised = redundant(similarity).withColumn("beta", F.explode(F.array(*[F.lit(p) for p in powers])))
-    k = raised.groupBy("beta", F.col("node_a").alias("node")).agg(F.sum(F.pow("weight", F.col("beta"))).alias("k"))
+    sums = redundant(similarity).groupBy(F.col("node_a").alias("node")).agg(*[F.sum(F.pow("weight", F.lit(p))).alias(f"k{n}") for n, p in enumerate(powers)])  # one pass over the edges
+    k = sums.select("node", F.explode(F.array(*[F.struct(F.lit(p).alias("beta"), F.col(f"k{n}").alias("k")) for n, p in enumerate(powers)])).alias("s")).select("s.beta", "node", "s.k")
     mean = k.groupBy("beta").agg(F.avg("k").alias("mean_k"), F.max("k").alias("max_k"))
     return scale_free(k, bins, by=["beta"]).join(mean, "beta")
 
