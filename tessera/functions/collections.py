@@ -45,3 +45,51 @@ def both_known(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows where neither of two columns is missing or NaN."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     return df.where(ok(a) & ok(b))
+
+
+def pad_left(c: Column, size: int, fill: str = "0") -> Column:
+    """Text of at least ``size`` characters; longer text stays whole."""
+    text = c.cast("string")
+    return F.when(F.length(text) >= size, text).otherwise(F.lpad(text, size, fill))
+
+
+def boolean(c: Column) -> Column:
+    """True for yes, y, true, t, on and 1, false for their opposites, NULL for all else, whatever the case."""
+    text = F.lower(F.trim(c.cast("string")))
+    return F.when(text.isin("yes", "y", "true", "t", "on", "1"), True).when(text.isin("no", "n", "false", "f", "off", "0"), False)
+
+
+def to_precision(c: Column, digits: int = 5) -> Column:
+    """Text with that many decimals."""
+    return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def consecutive_replace(c: Column, changes: list[tuple[str, str]]) -> Column:
+    """Replaces each text by its other, one pair after another."""
+    return reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), changes, c)
+
+
+def join_as_strings(sep: str, *parts: Column) -> Column:
+    """Parts as text around a separator; missing ones drop out."""
+    return F.concat_ws(sep, *[p.cast("string") for p in parts])
+
+
+def range_like(a: Column) -> Column:
+    """0 .. n-1 for an array of n."""
+    return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).when(F.size(a) == 0, F.array().cast("array<int>"))
+
+
+def collapse(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Values to the sorted keys that have them."""
+    return df.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias(key))
+
+
+def nested(df: DataFrame, path: list[str], value: str) -> DataFrame:
+    """Rows of columns as keys of one path a row: ``path`` (an array) and ``value``."""
+    return df.select(F.array(*[F.col(c).cast("string") for c in path]).alias("path"), F.col(value).alias("value"))
+
+
+def asymmetry(edges: DataFrame, a: str = "node_a", b: str = "node_b", weight: str = "weight") -> DataFrame:
+    """The greatest difference between both directions of an edge list that has both, and the directions without the other."""
+    turned = edges.select(F.col(b).alias(a), F.col(a).alias(b), F.col(weight).alias("__back"))
+    return edges.join(turned, [a, b], "left").agg(F.max(F.abs(F.col(weight) - F.col("__back"))).alias("difference"), F.count_if(F.col("__back").isNull()).alias("lone"))

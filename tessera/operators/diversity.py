@@ -26,9 +26,15 @@ def prevalence(x: DataFrame, interval: str = "closed", scale: bool = False) -> D
     return joined.select((F.col("tol") / F.col("n") if scale else F.col("tol")).alias("tolerance"), "n_attributes")
 
 
-def alpha_diversity(x: DataFrame, base: float = 2.0) -> DataFrame:
-    """Entropy, richness, singletons and Gini index (by the Lorenz curve's trapezoids over non-zero cells) of each observation."""
+def alpha_diversity(x: DataFrame, base: float = 2.0, metric=None) -> DataFrame:
+    """Entropy, richness, singletons and Gini index (by the Lorenz curve's trapezoids over non-zero cells) of each observation.
+
+    With ``metric``, a function of the columns of values and shares that gives an
+    aggregate, only its ``value``.
+    """
     total = F.sum("v").over(by_obs())
+    if metric is not None:
+        return x.where("v > 0").withColumn("p", F.col("v") / total).groupBy("obs").agg(metric(F.col("v"), F.col("p")).alias("value"))
     rows = x.where("v > 0").withColumns({"p": F.col("v") / total, "i": F.row_number().over(by_obs("v", "attr"))})
     n, weighted = F.count(F.lit(1)), F.sum(F.col("i") * F.col("p"))
     return rows.groupBy("obs").agg(
@@ -64,8 +70,15 @@ def kullback_leibler(p: DataFrame, q: DataFrame, base: float = 2.0) -> DataFrame
     return both.agg(F.sum(term).alias("kl"))
 
 
-def infer_taxonomy(hits: DataFrame) -> DataFrame:
-    """Votes of hits (``grp``, ``taxon``, ``identity``): winners (an array, ties included), score, hits and weights of each group."""
+def infer_taxonomy(hits: DataFrame, domains: DataFrame | None = None, include: list | None = None) -> DataFrame:
+    """Votes of hits (``grp``, ``taxon``, ``identity``): winners (an array, ties included), score, hits and weights of each group.
+
+    With ``domains`` (``seq``, ``domain``) only hits whose ``seq`` has one of the
+    included domains (any, if none are named) vote.
+    """
+    if domains is not None:
+        known = domains if include is None else domains.where(F.col("domain").isin(list(include)))
+        hits = hits.join(known.select("seq"), "seq", "left_semi")
     high = hits.agg(F.max("identity").alias("top"))
     votes = hits.groupBy("grp", "taxon").agg(F.sum("identity").alias("w"), F.count(F.lit(1)).alias("hits")).crossJoin(F.broadcast(high))
     votes = votes.withColumn("w", F.when(F.col("top") > 1, F.col("w") / 100).otherwise(F.col("w"))).drop("top")

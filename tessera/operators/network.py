@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import kept
 from .matrix import redundant
-from .pairs import pairwise
+from .pairs import bicor_units, distance_of, pairwise, ranked
 from .stats import summary
 
 
@@ -108,20 +108,57 @@ def cooccurrence(clusters: DataFrame) -> DataFrame:
     return every.join(together, ["node_a", "node_b"], "left").crossJoin(F.broadcast(n)).select("node_a", "node_b", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("weight"))
 
 
-def ensemble(x: DataFrame, metric: str = "pearson", n_iter: int = 100, share: float = 0.618, seed: int = 0) -> DataFrame:
-    """Statistics of every edge's association over seeded subsamples of the observations."""
+#: Statistics of an ensemble's draws.
+STATISTICS = ("n", "sum", "mean", "sem", "var", "skew", "kurtosis", "normal_p", "median")
+
+
+def ensemble(x: DataFrame, metric="pearson", n_iter: int = 100, share: float = 0.618, seed: int = 0, replacement: bool = False, transformation=None, statistics=STATISTICS, extra: dict | None = None) -> DataFrame:
+    """Statistics of every edge's association over seeded subsamples of the observations.
+
+    ``metric`` is a correlation (pearson, spearman, bicor), any distance of
+    ``pairs``, or a function of two columns that gives an aggregate.  Draws are
+    without replacement unless asked for; more draws than there are different
+    subsamples are an error.  ``transformation`` maps the cells first, ``extra``
+    names aggregates (functions of the column of draws) beside the statistics.
+    """
+    cells = transformation(x) if transformation else x
+    axis = cells.select("obs").distinct()
+    n = axis.count()
     iters = F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1)))
-    drawn = x.select("obs").distinct().withColumn("iter", iters).withColumn("u", F.xxhash64("obs", "iter", F.lit(seed)))
-    rank = F.percent_rank().over(Window.partitionBy("iter").orderBy("u", "obs"))
-    chosen = drawn.withColumn("r", rank).where(F.col("r") < share).select("obs", "iter")
-    per = x.join(chosen, "obs").select(F.struct("iter", "obs").alias("obs"), "attr", "v")
-    a = per.select("obs", F.col("attr").alias("node_a"), F.col("v").alias("x"))
-    b = per.select("obs", F.col("attr").alias("node_b"), F.col("v").alias("y"))
+    if replacement:
+        size = max(1, int(n * share))
+        numbered = axis.withColumn("at", F.row_number().over(Window.orderBy("obs")) - 1)  # a row an observation of one axis
+        picks = x.sparkSession.range(n_iter * size).select((F.col("id") / size).cast("int").alias("iter"), F.col("id").alias("copy")).withColumn("at", F.pmod(F.xxhash64("iter", "copy", F.lit(seed)), F.lit(n)).cast("int"))
+        chosen = picks.join(numbered, "at").select("obs", "iter", "copy")
+    else:
+        size = sum(k < share * (n - 1) for k in range(n)) if n > 1 else n  # ranks below the share
+        if math.comb(n, size) < n_iter:
+            raise ValueError(f"only {math.comb(n, size)} different subsamples")
+        drawn = axis.withColumn("iter", iters).withColumn("u", F.xxhash64("obs", "iter", F.lit(seed)))
+        rank = F.percent_rank().over(Window.partitionBy("iter").orderBy("u", "obs"))
+        chosen = drawn.withColumn("r", rank).where(F.col("r") < share).select("obs", "iter", F.lit(0).cast("long").alias("copy"))
+    per = cells.join(chosen, "obs").select("iter", F.struct("iter", "obs", "copy").alias("obs"), F.struct("iter", "attr").alias("attr"), "v")
+    if metric == "spearman":
+        per = ranked(per)
+    elif metric == "bicor":
+        per = bicor_units(per)
+    a = per.select("obs", F.col("attr.attr").alias("node_a"), F.col("v").alias("x"))
+    b = per.select("obs", F.col("attr.attr").alias("node_b"), F.col("v").alias("y"))
     rows = a.join(b, "obs").where("node_a < node_b").groupBy(F.col("obs.iter").alias("iter"), "node_a", "node_b")
-    value = F.corr("x", "y") if metric == "pearson" else F.sqrt(F.sum(F.pow(F.col("x") - F.col("y"), 2)))
+    if callable(metric):
+        value = metric(F.col("x"), F.col("y"))
+    elif metric in ("pearson", "spearman"):
+        value = F.corr("x", "y")
+    else:
+        value = F.sum(F.col("x") * F.col("y")) if metric == "bicor" else distance_of(metric)
     draws = rows.agg(value.alias("v"))
-    median = draws.groupBy("node_a", "node_b").agg(F.median("v").alias("median"))
-    return summary(draws, ["node_a", "node_b"]).join(median, ["node_a", "node_b"])
+    more = {"median": F.median("v"), **{k: f(F.col("v")) for k, f in (extra or {}).items()}}
+    wanted = [*statistics, *(extra or {})]
+    out = summary(draws, ["node_a", "node_b"])
+    beside = {k: c for k, c in more.items() if k in wanted}
+    if beside:
+        out = out.join(draws.groupBy("node_a", "node_b").agg(*[c.alias(k) for k, c in beside.items()]), ["node_a", "node_b"])
+    return out.select("node_a", "node_b", *wanted)
 
 
 def sample_perturbation(x: DataFrame, background: DataFrame, metric: str = "pearson") -> DataFrame:
@@ -185,38 +222,132 @@ def edge_struct(a, b, weight, directed=None):
     return F.struct(F.when(swap, b).otherwise(a).alias("node_a"), F.when(swap, a).otherwise(b).alias("node_b"), F.abs(weight).alias("weight"), F.signum(weight).cast("int").alias("sign"), way.alias("directed"))
 
 
-def pandas_partition(edges: pd.DataFrame, seed: int = 0) -> pd.Series:
-    """One seeded pass of greedy modularity moves on a small graph, as ``community_detection`` repeats it."""
-    rng = np.random.RandomState(seed)
-    nodes = sorted(set(edges.node_a) | set(edges.node_b))
-    at = {n: i for i, n in enumerate(nodes)}
-    a = np.zeros((len(nodes), len(nodes)))
-    for r in edges.itertuples():
-        a[at[r.node_a], at[r.node_b]] = a[at[r.node_b], at[r.node_a]] = r.weight
-    k, m2, label = a.sum(axis=1), a.sum(), np.arange(len(nodes))
-    for _ in range(50):
-        moved = False
-        for i in rng.permutation(len(nodes)):
-            gain = np.array([a[i, (label == c) & (np.arange(len(nodes)) != i)].sum() - k[i] * (k[label == c].sum() - k[i] * (label[i] == c)) / m2 for c in np.unique(label)])
-            best = np.unique(label)[gain.argmax()]
-            if best != label[i]:
-                label[i], moved = best, True
-        if not moved:
-            break
-    return pd.Series(np.unique(label, return_inverse=True)[1], nodes)
-
-
-def community_detection(edges: DataFrame, n_iter: int = 10, seed: int = 0, limit: int = 5000) -> DataFrame:
-    """Partitions of a small graph for seeds ``seed`` .. ``seed + n_iter - 1``: ``iter``, ``node``, ``cluster``."""
-    small = edges.limit(limit * limit).toPandas()
-    if len(set(small.node_a) | set(small.node_b)) > limit:
-        raise ValueError("too many nodes; use communities()")
-    kind = dict(edges.dtypes)["node_a"]
+def partition(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, seed: int = 0, resolution: float = 1.0) -> np.ndarray:
+    """Communities of nodes 0 .. n-1 by modularity: seeded greedy moves until none helps, then the same on the graph of communities, until that has none to move."""
+    keep = a != b
+    near: list[dict] = [{} for _ in range(n)]
+    loop = np.zeros(n)
+    for i, j, v in zip(a[keep].tolist(), b[keep].tolist(), w[keep].tolist(), strict=True):
+        near[i][j] = near[i].get(j, 0.0) + v
+        near[j][i] = near[j].get(i, 0.0) + v
+    np.add.at(loop, a[~keep], 2 * w[~keep])
+    rng, label = np.random.RandomState(seed), np.arange(n)
+    while True:
+        size = len(near)
+        k = np.array([sum(m.values()) for m in near]) + loop
+        m2, own, total = float(k.sum()), list(range(size)), k.tolist()
+        if m2 <= 0:
+            return label
+        moved = True
+        while moved:
+            moved = False
+            for i in rng.permutation(size).tolist():
+                links: dict = {}
+                for j, v in near[i].items():
+                    links[own[j]] = links.get(own[j], 0.0) + v
+                old = own[i]
+                total[old] -= k[i]
+                best, top = old, links.get(old, 0.0) - resolution * k[i] * total[old] / m2
+                for c in sorted(links):
+                    gain = links[c] - resolution * k[i] * total[c] / m2
+                    if gain > top + 1e-12 * m2:
+                        best, top = c, gain
+                total[best] += k[i]
+                own[i], moved = best, moved or best != old
+        names = {c: x for x, c in enumerate(dict.fromkeys(own))}
+        if len(names) == size:
+            return label
+        label = np.array([names[own[c]] for c in label])
+        merged: list[dict] = [{} for _ in names]
+        inside = np.zeros(len(names))
+        for i in range(size):
+            p = names[own[i]]
+            inside[p] += loop[i]
+            for j, v in near[i].items():
+                q = names[own[j]]
+                if p == q:
+                    inside[p] += v
+                else:
+                    merged[p][q] = merged[p].get(q, 0.0) + v
+        near, loop = merged, inside
+
+
+def community_detection(edges: DataFrame, n_iter: int = 10, seed: int = 0, limit: int = 5_000_000, resolution: float = 1.0) -> DataFrame:
+    """Partitions of a graph of at most ``limit`` edges for seeds ``seed`` .. ``seed + n_iter - 1``: ``iter``, ``node``, ``cluster``; see ``louvain`` for larger ones."""
+    small = edges.select("node_a", "node_b", "weight").limit(limit + 1).toPandas()
+    if len(small) > limit:
+        raise ValueError("too many edges; use louvain()")
+    nodes = sorted(set(small.node_a) | set(small.node_b))
+    at, kind = {v: i for i, v in enumerate(nodes)}, dict(edges.dtypes)["node_a"]
+    shared = edges.sparkSession.sparkContext.broadcast((small.node_a.map(at).to_numpy(int), small.node_b.map(at).to_numpy(int), small.weight.to_numpy(float), nodes))
 
     def run(frames):
+        a, b, w, nodes = shared.value
         for f in frames:
             for i in f.iter:
-                s = pandas_partition(small, seed + int(i))
-                yield pd.DataFrame({"iter": int(i), "node": s.index, "cluster": s.to_numpy()})
-
-    return edges.sparkSession.range(n_iter).withColumnRenamed("id", "iter").mapInPandas(run, f"iter long, node {kind}, cluster long")
+                yield pd.DataFrame({"iter": int(i), "node": nodes, "cluster": partition(a, b, w, len(nodes), seed + int(i), resolution)})
+
+    return edges.sparkSession.range(n_iter).withColumnRenamed("id", "iter").repartition(n_iter).mapInPandas(run, f"iter long, node {kind}, cluster long")
+
+
+def modularity(edges: DataFrame, clusters: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """``modularity`` of a partition (``node``, ``cluster``) of an undirected graph without repeated edges."""
+    a, b = clusters.select(F.col("node").alias("node_a"), F.col("cluster").alias("ca")), clusters.select(F.col("node").alias("node_b"), F.col("cluster").alias("cb"))
+    rows = edges.join(a, "node_a").join(b, "node_b")
+    inside = rows.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.sum("weight").alias("i"))
+    ends = rows.select(F.explode(F.array("ca", "cb")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("d"))
+    m = F.sum("d") / 2
+    return ends.join(inside, "c", "left").agg((F.coalesce(F.sum("i"), F.lit(0.0)) / m - resolution * F.sum(F.col("d") * F.col("d")) / (4 * m * m)).alias("modularity"))
+
+
+def louvain(edges: DataFrame, seed: int = 0, resolution: float = 1.0, driver_edges: int = 200_000, patience: int = 4) -> DataFrame:
+    """``node``, ``cluster`` by modularity on a graph of any size.
+
+    In each round the half of the nodes that a hash names may move to the
+    neighbouring community of greatest gain; rounds end when ``patience`` in a
+    row do not raise the modularity, and the best partition stays.  Then
+    communities become nodes.  A graph of at most ``driver_edges`` edges (after
+    any level) is finished by ``partition``.
+    """
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["node_a"]
+    ends = F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")
+    graph = kept(edges.where("weight > 0").groupBy(*ends).agg(F.sum("weight").alias("w")))
+    label = kept(graph.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")))
+    level = 0
+    while graph.count() > driver_edges:
+        both = kept(graph.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "w").unionByName(graph.where("a <> b").select(F.col("b").alias("node"), F.col("a").alias("other"), "w")))
+        k = kept(graph.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k")))
+        m2 = float(k.agg(F.sum("k")).head()[0])
+        own = best = kept(k.select("node", F.col("node").alias("c")))
+        links_of = graph.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.col("w").alias("weight"))
+        top, stale, turn = modularity(links_of, own.withColumnRenamed("c", "cluster"), resolution).head()[0], 0, 0
+        while stale < patience:
+            total = own.join(k, "node").groupBy("c").agg(F.sum("k").alias("t"))
+            links = both.join(own.select(F.col("node").alias("other"), F.col("c").alias("to")), "other").groupBy("node", "to").agg(F.sum("w").alias("l"))
+            stay = own.select("node", F.col("c").alias("to"), F.lit(0.0).alias("l"))
+            tried = links.unionByName(stay).groupBy("node", "to").agg(F.sum("l").alias("l")).join(own, "node").join(k, "node").join(total.withColumnRenamed("c", "to"), "to")
+            gain = F.col("l") - resolution * F.col("k") * (F.col("t") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / m2
+            pick = tried.groupBy("node").agg(F.first("c").alias("c"), F.max_by("to", F.struct(gain.alias("g"), (F.col("to") == F.col("c")).alias("s"), "to")).alias("to"))
+            free = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(level), F.lit(turn)), F.lit(2)) == 0
+            own = kept(pick.select("node", F.when(free, F.col("to")).otherwise(F.col("c")).alias("c")))
+            now, turn = modularity(links_of, own.withColumnRenamed("c", "cluster"), resolution).head()[0], turn + 1
+            if now > top + 1e-9:
+                best, top, stale = own, now, 0
+            else:
+                stale += 1
+        before = k.count()
+        label = kept(label.join(best.select(F.col("node").alias("cluster"), "c"), "cluster").select("node", F.col("c").alias("cluster")))
+        ca, cb = best.select(F.col("node").alias("a"), F.col("c").alias("ca")), best.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+        graph = kept(graph.join(ca, "a").join(cb, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        level += 1
+        if best.select("c").distinct().count() == before:
+            return label
+    small = graph.toPandas()  # at most driver_edges rows
+    nodes = sorted(set(small.a) | set(small.b))
+    at = {v: i for i, v in enumerate(nodes)}
+    found = partition(small.a.map(at).to_numpy(int), small.b.map(at).to_numpy(int), small.w.to_numpy(float), len(nodes), seed, resolution)
+    first: dict = {}
+    for v, c in zip(nodes, found.tolist(), strict=True):
+        first.setdefault(c, v)
+    names = spark.createDataFrame([(v, first[c]) for v, c in zip(nodes, found.tolist(), strict=True)], f"cluster {kind}, c {kind}")
+    return label.join(F.broadcast(names), "cluster").select("node", F.col("c").alias("cluster"))

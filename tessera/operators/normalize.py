@@ -117,6 +117,67 @@ def ilr_by_basis(x: DataFrame, basis: DataFrame) -> DataFrame:
     return clr(x).join(basis, "attr").groupBy("obs", F.col("coord").alias("attr")).agg(F.sum(F.col("v") * F.col("coef")).alias("v"))
 
 
+def part_weights(x: DataFrame, method: str = "uniform") -> DataFrame:
+    """``attr``, ``w`` for balances: ``uniform``, ``gm.counts``, or the norms ``anorm`` and ``enorm`` of an attribute's shares over observations, alone or times ``gm.counts``."""
+    if method == "uniform":
+        return x.select("attr").distinct().withColumn("w", F.lit(1.0))
+    norm, _, mean = method.partition(".x.")
+    norm, mean = ("", norm) if norm == "gm.counts" else (norm, mean)
+    if norm not in ("", "anorm", "enorm") or mean not in ("", "gm.counts"):
+        raise ValueError(f"unknown weights {method!r}")
+    log = F.ln("v")
+    rows = x.withColumn("p", F.col("v") / F.sum("v").over(Window.partitionBy("attr"))).groupBy("attr").agg(F.exp(F.avg(log)).alias("g"), F.sqrt(F.var_pop(log) * F.count("v")).alias("a"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("e"))
+    w = {"": F.lit(1.0), "anorm": F.col("a"), "enorm": F.col("e")}[norm] * (F.col("g") if mean else F.lit(1.0))
+    return rows.select("attr", w.alias("w"))
+
+
+def tree_basis(tree: pd.DataFrame, weights: dict, branches: str = "uniform") -> pd.DataFrame:
+    """Balances of a bifurcating tree's inner nodes: ``coord``, ``attr``, ``coef``; ``branches`` scales by the children's lengths (``blw``, ``blw.sqrt``) or their mean distance to leaves (``mean.descendants``)."""
+    kids: dict = {}
+    for r in tree.itertuples(index=False):
+        if r.parent is not None and r.parent == r.parent:
+            kids.setdefault(r.parent, []).append((r.node, float(r.length) if r.length is not None and r.length == r.length else 0.0))
+    below: dict = {}
+    todo = [(r.node, False) for r in tree.itertuples(index=False) if r.parent is None or r.parent != r.parent]
+    while todo:
+        node, seen = todo.pop()
+        if node not in kids:
+            below[node] = {node: 0.0}
+        elif not seen:
+            todo += [(node, True), *((c, False) for c, _ in kids[node])]
+        else:
+            below[node] = {leaf: d + length for c, length in kids[node] for leaf, d in below[c].items()}
+    rows = []
+    for node, pair in kids.items():
+        if len(pair) != 2:
+            raise ValueError(f"{node!r} has {len(pair)} children; see bifurcating()")
+        lengths = [max(length, 1e-6) for _, length in pair]
+        far = [sum(below[c].values()) / len(below[c]) + length for (c, _), length in zip(pair, lengths, strict=True)]
+        scale = {"uniform": 1.0, "blw": sum(lengths), "blw.sqrt": sum(lengths) ** 0.5, "mean.descendants": sum(far)}[branches]
+        sums = [sum(weights[leaf] for leaf in below[c]) for c, _ in pair]
+        for sign, (c, _), own in ((1, pair[0], sums[0]), (-1, pair[1], sums[1])):
+            rows += [(node, leaf, sign * scale * (sums[0] * sums[1] / (sums[0] + sums[1])) ** 0.5 * weights[leaf] / own) for leaf in below[c]]
+    return pd.DataFrame(rows, columns=["coord", "attr", "coef"])
+
+
+def philr(x: DataFrame, tree: pd.DataFrame, parts: str = "uniform", branches: str = "uniform") -> DataFrame:
+    """Isometric log-ratios along a tree (``node``, ``parent``, ``length``, ``is_leaf``): other leaves are pruned, polytomies resolved; attributes that are no leaves, absent cells and zeros are errors."""
+    from .tree import bifurcating, prune
+
+    weights = {r.attr: r.w for r in part_weights(x, parts).collect()}  # a row a leaf
+    strange = set(weights) - set(tree.node[tree.is_leaf])
+    if strange:
+        raise ValueError(f"not in the tree: {sorted(strange)[:5]}")
+    basis = tree_basis(bifurcating(prune(tree, set(weights))), weights, branches)
+    w = x.sparkSession.createDataFrame([(a, float(v)) for a, v in weights.items()], f"attr {dict(x.dtypes)['attr']}, w double")
+    coefs = x.sparkSession.createDataFrame(list(basis.itertuples(index=False, name=None)), f"coord string, attr {dict(x.dtypes)['attr']}, coef double")
+    log = F.when(F.col("v") > 0, F.ln(F.col("v") / F.col("w"))).otherwise(F.raise_error(F.lit("philr needs positive values")).cast("double"))
+    sizes = coefs.groupBy("coord").agg(F.count(F.lit(1)).alias("leaves"))
+    out = x.join(w, "attr").withColumn("v", log).join(coefs, "attr").groupBy("obs", F.col("coord")).agg(F.sum(F.col("v") * F.col("coef")).alias("v"), F.count("v").alias("n")).join(sizes, "coord")
+    whole = F.when(F.col("n") == F.col("leaves"), F.col("v")).otherwise(F.raise_error(F.lit("philr needs all cells; see densify")).cast("double"))
+    return out.select("obs", F.col("coord").alias("attr"), whole.alias("v"))
+
+
 def boxcox(x: DataFrame) -> DataFrame:
     """Box-Cox transform of each observation with the likeliest exponent (positive data)."""
 

@@ -103,6 +103,46 @@ def mds(edges: DataFrame, n_components: int = 2, steps: int = 300, seed: int = 0
     return labels, x
 
 
+def neighbour_embedding(edges: DataFrame, n_components: int = 2, perplexity: float = 30.0, steps: int = 500, rate: float = 200.0, seed: int = 0) -> tuple[list, np.ndarray]:
+    """t-distributed neighbour embedding of a small distance matrix: Gaussian neighbourhoods of a perplexity, gradient descent with momentum from seeded principal coordinates."""
+    labels, d = square(edges)
+    n = len(labels)
+    if n < 3:
+        return labels, np.zeros((n, n_components))
+    goal, p = np.log(min(perplexity, (n - 1) / 3)), np.zeros((n, n))
+    for i in range(n):
+        row = np.delete(d[i], i) ** 2
+        row = row - row.min()
+        lo, hi = 0.0, np.inf
+        beta = 1.0 / max(row.mean(), 1e-300)
+        for _ in range(100):
+            w = np.exp(-row * beta)
+            w /= w.sum()
+            entropy = -(w * np.log(np.maximum(w, 1e-300))).sum()
+            if abs(entropy - goal) < 1e-7:
+                break
+            if entropy > goal:
+                lo, beta = beta, beta * 2 if hi == np.inf else (beta + hi) / 2
+            else:
+                hi, beta = beta, (beta + lo) / 2
+        p[i, np.arange(n) != i] = w
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    start = pcoa(edges)[1][:, :n_components]
+    start = np.hstack([start, np.zeros((n, n_components - start.shape[1]))])
+    y = start / (start[:, 0].std() or 1.0) * 1e-4 + np.random.RandomState(seed).normal(scale=1e-6, size=(n, n_components))
+    move, gain = np.zeros_like(y), np.ones_like(y)
+    for step in range(steps):
+        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
+        np.fill_diagonal(q, 0)
+        g = (p * (12 if step < steps // 4 else 1) - q / q.sum()) * q
+        slope = 4 * (g.sum(axis=1)[:, None] * y - g @ y)
+        gain = np.maximum(0.01, np.where(slope * move > 0, gain * 0.8, gain + 0.2))
+        move = (0.5 if step < steps // 4 else 0.8) * move - min(rate, n) * gain * slope
+        y = y + move
+        y -= y.mean(axis=0)
+    return labels, y
+
+
 def eigenprofiles(x: DataFrame, y: DataFrame) -> DataFrame:
     """Per class: the first component of its attributes as rows, with its share of variance."""
     kind = dict(x.dtypes)["attr"]

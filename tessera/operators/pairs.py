@@ -15,7 +15,7 @@ from ..functions.special import kolmogorov_sf, norm_sf2, t_sf2
 from .matrix import transpose
 from .normalize import clr
 
-def _distance(name: str) -> Column:
+def distance_of(name: str) -> Column:
     x, y = F.col("x"), F.col("y")
     gap = F.abs(x - y)
     return {
@@ -58,10 +58,10 @@ def cell_pairs(x: DataFrame) -> DataFrame:
 
 
 def distance(x: DataFrame, metric: str = "euclidean") -> DataFrame:
-    return cell_pairs(x).groupBy("node_a", "node_b").agg(_distance(metric).alias("weight"))
+    return cell_pairs(x).groupBy("node_a", "node_b").agg(distance_of(metric).alias("weight"))
 
 
-def _ranked(x: DataFrame) -> DataFrame:
+def ranked(x: DataFrame) -> DataFrame:
     """Average ranks inside each attribute."""
     w = Window.partitionBy("attr").orderBy("v")
     ties = Window.partitionBy("attr", "v")
@@ -83,7 +83,7 @@ def correlation(x: DataFrame, method: str = "pearson") -> DataFrame:
         return cell_pairs(bicor_units(x)).groupBy("node_a", "node_b").agg(F.sum(F.col("x") * F.col("y")).alias("weight"))
     if method == "kendall":
         return _by_pair(x, _kendall)
-    rows = cell_pairs(_ranked(x) if method == "spearman" else x)
+    rows = cell_pairs(ranked(x) if method == "spearman" else x)
     return rows.groupBy("node_a", "node_b").agg(F.corr("x", "y").alias("weight"))
 
 

@@ -139,8 +139,49 @@ def grid(kind: str) -> list[dict]:
     return [{"criterion": c, "min_samples_leaf": n, "max_features": f} for n, c, f in itertools.product(LEAVES, CRITERIA, FEATURES)]
 
 
-def make(kind: str, options: dict):
-    return Logistic(**options) if kind == "logistic" else Tree(**options)
+class Mixed:
+    """Models on columns of their own, each (kind, options, columns), under a logistic regression of their out-of-fold probabilities."""
+
+    def __init__(self, parts: list[tuple[str, dict, list[int]]], folds: int = 5, seed: int = 0, **final):
+        self.parts, self.folds, self.seed, self.final = parts, folds, seed, final
+
+    def _stack(self, models: list, x: np.ndarray) -> np.ndarray:
+        out = []
+        for (_, _, columns), model in zip(self.parts, models, strict=True):
+            p = np.zeros((len(x), len(self.classes)))
+            p[:, np.searchsorted(self.classes, model.classes)] = model.proba(x[:, columns])
+            out.append(p)
+        return np.hstack(out)
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> "Mixed":
+        self.classes = np.unique(y)
+        fit = lambda rows: [make(kind, options).fit(x[rows][:, columns], y[rows]) for kind, options, columns in self.parts]
+        fold, rng = np.empty(len(y), int), np.random.RandomState(self.seed)
+        for c in self.classes:
+            rows = rng.permutation(np.flatnonzero(y == c))
+            fold[rows] = np.arange(len(rows)) % self.folds
+        held = np.empty((len(y), len(self.parts) * len(self.classes)))
+        for f in np.unique(fold):
+            held[fold == f] = self._stack(fit(fold != f if (fold != f).any() else fold == f), x[fold == f])
+        self.models, self.top = fit(np.ones(len(y), bool)), Logistic(**self.final).fit(held, y)
+        return self
+
+    def proba(self, x: np.ndarray) -> np.ndarray:
+        return self.top.proba(self._stack(self.models, x))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.classes[self.proba(x).argmax(axis=1)]
+
+    def weights(self) -> np.ndarray:
+        """Class by part and class."""
+        return self.top.weights()
+
+
+def make(kind, options: dict):
+    """A model by its kind's name, or by calling ``kind`` itself: any object with fit, predict, proba, weights and classes."""
+    if callable(kind):
+        return kind(**options)
+    return {"logistic": Logistic, "tree": Tree, "mixed": Mixed}[kind](**options)
 
 
 def to_wide(x: DataFrame, y: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
@@ -187,14 +228,47 @@ def kernel(x: DataFrame, y: DataFrame, kind: str = "logistic", n_iter: int = 100
     return tasks.mapInPandas(run, "iter long, param long, half int, class string, attr string, weight double, accuracy double")
 
 
-def weights(k: DataFrame, threshold: float | None = None) -> DataFrame:
+#: Thresholds of accuracy without a given one.
+THRESHOLDS = tuple(float(t) for t in np.linspace(0, 0.9, 100))
+
+
+def weights_by_threshold(k: DataFrame, thresholds=THRESHOLDS, func_weights=None) -> DataFrame:
+    """``threshold``, ``attr``, ``weight``: absolute weights summed over fits more accurate than each threshold, as shares.
+
+    Fits are summed once for each number of thresholds they pass, then unfolded.
+    ``func_weights`` maps a column of sums before shares are taken.
+    """
+    steps = sorted({float(t) for t in thresholds})
+    passed = F.size(F.filter(F.array(*[F.lit(t) for t in steps]), lambda t: F.col("accuracy") > t))
+    sums = k.groupBy(passed.alias("n"), "attr").agg(F.sum(F.abs("weight")).alias("w")).where("n > 0")
+    per = sums.select("attr", "w", F.explode(F.slice(F.array(*[F.lit(t) for t in steps]), F.lit(1), F.col("n"))).alias("threshold")).groupBy("threshold", "attr").agg(F.sum("w").alias("w"))
+    w = func_weights(F.col("w")) if func_weights else F.col("w")
+    return per.withColumn("w", w).select("threshold", "attr", F.try_divide("w", F.sum("w").over(Window.partitionBy("threshold"))).alias("weight"))
+
+
+def weights(k: DataFrame, threshold: float | None = None, func_weights=None) -> DataFrame:
     """Normalised absolute weights of fits above a threshold; without one, summed over a hundred from 0 to 0.9."""
-    steps = [threshold] if threshold is not None else [round(0.9 * i / 99, 10) for i in range(100)]
-    rows = k.withColumn("t", F.explode(F.array(*[F.lit(float(s)) for s in steps]))).where(F.col("accuracy") > F.col("t"))
-    per = rows.groupBy("t", "attr").agg(F.sum(F.abs("weight")).alias("w"))
-    per = per.withColumn("w", F.try_divide("w", F.sum("w").over(Window.partitionBy("t"))))
-    total = per.groupBy("attr").agg(F.sum("w").alias("w"))
-    return total.select("attr", F.try_divide("w", F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+    total = weights_by_threshold(k, THRESHOLDS if threshold is None else (threshold,), func_weights).groupBy("attr").agg(F.sum("weight").alias("w"))
+    whole = total.agg(F.sum("w").alias("all"))
+    return total.crossJoin(F.broadcast(whole)).select("attr", F.try_divide("w", "all").alias("weight"))
+
+
+def weights_by_class(k: DataFrame, threshold: float | None = None) -> DataFrame:
+    """``class``, ``attr``, ``weight``: shares of each class's absolute weights (of logistic fits)."""
+    rows = k if threshold is None else k.where(F.col("accuracy") > threshold)
+    per = rows.groupBy("class", "attr").agg(F.sum(F.abs("weight")).alias("w"))
+    return per.select("class", "attr", F.try_divide("w", F.sum("w").over(Window.partitionBy("class"))).alias("weight"))
+
+
+def extract_weights(k: DataFrame, mode: int = 0, threshold: float | None = None, func_weights=None) -> DataFrame:
+    """Weights by mode: 0 at a threshold, 1 at each of a hundred, 2 over all of those, 3 by class; 0 without a threshold is 2."""
+    if mode == 0 or mode == 2:
+        return weights(k, threshold if mode == 0 else None, func_weights)
+    if mode == 1:
+        return weights_by_threshold(k, THRESHOLDS if threshold is None else (*THRESHOLDS, threshold), func_weights)
+    if mode == 3:
+        return weights_by_class(k, threshold)
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def best_params(k: DataFrame) -> DataFrame:
@@ -202,8 +276,18 @@ def best_params(k: DataFrame) -> DataFrame:
     return k.select("iter", "param", "half", "accuracy").distinct().groupBy("param").agg(F.avg("accuracy").alias("accuracy")).orderBy(F.desc("accuracy"), "param")
 
 
-def cross_validate(x: DataFrame, y: DataFrame, ordered: list, kind: str = "logistic", options: dict | None = None, folds: int = 10, seed: int = 0) -> DataFrame:
-    """Accuracy and its standard error for the first 1 .. m-1 features of an order."""
+def sizes(m: int, method: str = "bruteforce", bounds=(0, 0.5, 1.0), steps=(1, 10)) -> list[int]:
+    """Numbers of leading features that a sweep tries: all below m, or steps that widen by stretches of the order."""
+    if method == "bruteforce":
+        return list(range(1, max(2, m)))
+    if method != "adaptive":
+        raise ValueError(f"unknown method {method!r}")
+    ends = [int(b * m) for b in bounds]
+    return sorted({n for lo, hi, step in zip(ends, ends[1:], steps, strict=False) for n in range(lo, hi, step)} - {0})
+
+
+def cross_validate(x: DataFrame, y: DataFrame, ordered: list, kind: str = "logistic", options: dict | None = None, folds: int = 10, seed: int = 0, method: str = "bruteforce", bounds=(0, 0.5, 1.0), steps=(1, 10)) -> DataFrame:
+    """Accuracy and its standard error for the leading features of an order, as many as ``sizes`` says."""
     spark = x.sparkSession
     m, classes, attrs = to_wide(x, y)
     place = {str(a): i for i, a in enumerate(attrs)}
@@ -223,7 +307,8 @@ def cross_validate(x: DataFrame, y: DataFrame, ordered: list, kind: str = "logis
                 acc = [float((make(kind, options or {}).fit(part[fold != k], classes[fold != k]).predict(part[fold == k]) == classes[fold == k]).mean()) for k in range(folds) if (fold == k).any()]
                 yield pd.DataFrame({"n": [int(n)], "accuracy": [np.mean(acc)], "sem": [np.std(acc, ddof=1) / np.sqrt(len(acc))], "features": [[str(ordered[i]) for i in range(int(n))]]})
 
-    return spark.range(1, max(2, len(ordered))).withColumnRenamed("id", "n").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "n long, accuracy double, sem double, features array<string>")
+    tried = spark.createDataFrame([(n,) for n in sizes(len(ordered), method, bounds, steps)], "n long")
+    return tried.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "n long, accuracy double, sem double, features array<string>")
 
 
 def until_stale(scores: DataFrame, patience: int = 100) -> DataFrame:
@@ -284,8 +369,8 @@ def best_synopsis(synopsis: DataFrame, prefer: str = "logistic") -> DataFrame:
     return synopsis.orderBy(F.desc("accuracy"), "sem", "n", F.col("kind") != prefer).limit(1)
 
 
-def fit_submodels(x: DataFrame, targets: DataFrame, attributes: DataFrame, kind: str = "logistic", options: dict | None = None) -> DataFrame:
-    """Edge probabilities of a hierarchy: every submodel is fitted on its own observations (``obs``, ``submodel``, ``child``) and attributes, and applied to all."""
+def fit_submodels(x: DataFrame, targets: DataFrame, attributes: DataFrame, kind="logistic", options: dict | None = None, apply_to: DataFrame | None = None) -> DataFrame:
+    """Edge probabilities of a hierarchy: every submodel is fitted on its own observations (``obs``, ``submodel``, ``child``) and attributes, and applied to all (or to other cells)."""
     models = {}
     for r in targets.select("submodel").distinct().collect():
         cells = x.join(attributes.where(F.col("submodel") == r.submodel).select("attr"), "attr", "left_semi")
@@ -300,20 +385,80 @@ def fit_submodels(x: DataFrame, targets: DataFrame, attributes: DataFrame, kind:
             rows += [(g.obs.iloc[0], name, str(c), float(v)) for c, v in zip(model.classes, p, strict=True)]
         return pd.DataFrame(rows, columns=["obs", "parent", "child", "p"])
 
-    return x.groupBy("obs").applyInPandas(run, f"obs {key}, parent string, child string, p double")
+    return (x if apply_to is None else apply_to).groupBy("obs").applyInPandas(run, f"obs {key}, parent string, child string, p double")
 
 
-def path_probabilities(edges: DataFrame, paths: DataFrame, how: str = "tss") -> DataFrame:
-    """Products of edge probabilities (``obs``, ``parent``, ``child``, ``p``) along each target's path (``target``, ``parent``, ``child``), normalised by observation."""
+def path_probabilities(edges: DataFrame, paths: DataFrame, how="tss") -> DataFrame:
+    """Products of edge probabilities (``obs``, ``parent``, ``child``, ``p``) along each target's path (``target``, ``parent``, ``child``), normalised by observation: ``tss``, ``softmax`` or a function of a column and a window."""
     rows = edges.join(paths, ["parent", "child"]).groupBy("obs", "target").agg(F.product("p").alias("p"))
-    v = F.col("p") if how == "tss" else F.exp("p")
-    return rows.withColumn("p", v / F.sum(v).over(Window.partitionBy("obs")))
+    w = Window.partitionBy("obs")
+    if callable(how):
+        return rows.withColumn("p", how(F.col("p"), w))
+    v = {"tss": F.col("p"), "softmax": F.exp("p")}[how]
+    return rows.withColumn("p", F.try_divide(v, F.sum(v).over(w)))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Each submodel's own likeliest child of each observation: ``obs``, ``submodel``, ``child``; the least of equals."""
+    return edges.groupBy("obs", F.col("parent").alias("submodel")).agg(F.min(F.struct((-F.col("p")).alias("o"), "child")).alias("s")).select("obs", "submodel", "s.child")
+
+
+def predict(edges: DataFrame, paths: DataFrame, mode: str = "directional", how="tss") -> DataFrame:
+    """Classes from edge probabilities: ``component`` (each submodel's), ``directional`` (followed from the root that all paths share) or ``diffuse`` (the likeliest whole path)."""
+    if mode == "component":
+        return components(edges)
+    if mode == "diffuse":
+        return most_likely(path_probabilities(edges, paths, how))
+    if mode != "directional":
+        raise ValueError(f"unknown mode {mode!r}")
+    roots = [r[0] for r in paths.select("parent").distinct().join(paths.select(F.col("child").alias("parent")), "parent", "left_anti").limit(2).collect()]
+    if len(roots) != 1:
+        raise ValueError("paths must share one root")
+    return descend(edges, roots[0]).withColumnRenamed("node", "target")
+
+
+def cumulative_weights(paths: DataFrame, weight: DataFrame) -> DataFrame:
+    """Products of edge weights (``parent``, ``child``, ``weight``) from the start of each target's path (with ``step``) to each edge."""
+    along = Window.partitionBy("target").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return paths.join(weight, ["parent", "child"]).select("target", "step", "parent", "child", F.product("weight").over(along).alias("weight"))
+
+
+def whole_accuracy(x: DataFrame, targets: DataFrame, attributes: DataFrame, paths: DataFrame, truth: DataFrame, folds: int = 5, kind="logistic", options: dict | None = None, mode: str = "directional") -> DataFrame:
+    """Accuracy of the whole hierarchy on each fold (observations by a hash), models fitted on the others: ``fold``, ``accuracy``."""
+    if mode == "component":
+        raise ValueError("component predictions have no single class")
+    spark, out = x.sparkSession, []
+    part = F.pmod(F.xxhash64("obs"), F.lit(folds))
+    for f in range(folds):
+        test = x.where(part == f)
+        if test.isEmpty():
+            continue
+        edges = kept(fit_submodels(x.where(part != f), targets.where(part != f), attributes, kind, options, test))
+        hit = predict(edges, paths, mode).join(truth, "obs").agg(F.avg(F.when(F.col("target") == F.col("class"), 1.0).otherwise(0.0))).head()[0]
+        out.append((f, hit))
+    return spark.createDataFrame(out, "fold int, accuracy double")
 
 
 def most_likely(probabilities: DataFrame) -> DataFrame:
     return probabilities.groupBy("obs").agg(F.max_by("target", F.struct("p", "target")).alias("target"))
 
 
+def validate_submodels(x: DataFrame, targets: DataFrame, attributes: DataFrame, folds: int = 5, kind="logistic", options: dict | None = None, seed: int = 0) -> DataFrame:
+    """Mean accuracy and standard error over stratified folds of every submodel alone: ``submodel``, ``accuracy``, ``sem``."""
+    out = []
+    for r in targets.select("submodel").distinct().orderBy("submodel").collect():  # a row a submodel
+        cells = x.join(attributes.where(F.col("submodel") == r.submodel).select("attr"), "attr", "left_semi")
+        y = targets.where(F.col("submodel") == r.submodel).select("obs", F.col("child").alias("class"))
+        m, classes, _ = to_wide(cells, y)
+        fold, rng = np.empty(len(classes), int), np.random.RandomState(seed)
+        for c in np.unique(classes):
+            rows = rng.permutation(np.flatnonzero(classes == c))
+            fold[rows] = np.arange(len(rows)) % folds
+        acc = [float((make(kind, options or {}).fit(m[fold != f], classes[fold != f]).predict(m[fold == f]) == classes[fold == f]).mean()) for f in np.unique(fold)]
+        out.append((r.submodel, float(np.mean(acc)), float(np.std(acc, ddof=1) / np.sqrt(len(acc))) if len(acc) > 1 else None))
+    return x.sparkSession.createDataFrame(out, f"submodel {dict(targets.dtypes)['submodel']}, accuracy double, sem double")
+
+
 def descend(edges: DataFrame, root) -> DataFrame:
     """Follows the likeliest child from the root to a node without children; a circle is an error."""
     step = edges.groupBy("obs", "parent").agg(F.max_by("child", F.struct("p", "child")).alias("child"))

@@ -5,6 +5,8 @@ Linkage is a loop over one small matrix and runs on the driver, up to ``LIMIT``
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -164,6 +166,96 @@ def cut(z: np.ndarray, height: float, min_size: int = 3) -> np.ndarray:
     return group.map(number).to_numpy()
 
 
+#: Greatest scatter of a cluster's core for each depth of splitting (fixed values of the published method).
+SCATTER = (0.64, 0.73, 0.82, 0.91, 0.95)
+
+
+def _core(size: int, min_size: int) -> int:
+    base = min_size / 2 + 1
+    return int(base + math.sqrt(size - base)) if base < size else size
+
+
+def hybrid_cut(z: np.ndarray, distances: np.ndarray, min_size: int = 20, deep_split: int = 2, height: float | None = None, assign: bool = True) -> np.ndarray:
+    """Clusters by the published hybrid method of dynamic tree cutting, numbered from the largest; outliers are -1.
+
+    Merges are followed upwards.  Where two branches meet, each is a cluster if
+    it has ``min_size`` leaves, a tight core (its earliest leaves, by mean
+    distance) and a gap between the core's scatter and the merge; if one is not,
+    they become one branch.  With ``assign``, leaves left over join the cluster
+    of least mean distance, if that is within the cluster's own radius or the cut.
+    """
+    n = len(z) + 1
+    heights = z[:, 2]
+    if not len(heights):
+        return np.full(n, 0 if min_size <= 1 else -1)
+    low = float(np.sort(heights)[max(0, round(len(heights) * 0.05) - 1)])
+    height = 0.99 * (float(heights.max()) - low) + low if height is None else height
+    scatter = low + SCATTER[deep_split] * (height - low)
+    gap = (1 - SCATTER[deep_split]) * 0.75 * (height - low)
+    branch: dict[int, tuple[list[int], list[list[int]]]] = {}  # node: its own leaves in order, and the clusters fixed inside it
+
+    def good(leaves: list[int], at: float) -> bool:
+        if len(leaves) < min_size:
+            return False
+        core = leaves[: _core(len(leaves), min_size)]
+        spread = distances[np.ix_(core, core)].sum() / (len(core) * max(1, len(core) - 1))
+        return spread <= scatter and at - spread >= gap
+
+    for k, (a, b, h, _) in enumerate(z):
+        if h > height:
+            continue
+        one, two = ((([int(c)], []) if c < n else branch.pop(int(c))) for c in (a, b))
+        if one[1] and two[1]:
+            joined = ([*one[0], *two[0]], [*one[1], *two[1]])
+        elif one[1] or two[1]:
+            fixed, plain = (one, two) if one[1] else (two, one)
+            joined = (fixed[0], [*fixed[1], plain[0]]) if good(plain[0], h) else ([*fixed[0], *plain[0]], fixed[1])
+        elif good(one[0], h) and good(two[0], h):
+            joined = ([], [one[0], two[0]])
+        else:
+            large, small = (one, two) if len(one[0]) >= len(two[0]) else (two, one)
+            joined = ([*large[0], *small[0]], [])
+        branch[n + k] = joined
+    found: list[list[int]] = []
+    for own, fixed in branch.values():
+        found += fixed or ([own] if good(own, height) else [])
+    label = np.full(n, -1)
+    for i, leaves in enumerate(sorted(found, key=lambda c: (-len(c), min(c)))):
+        label[leaves] = i
+    if assign and found:
+        count = label.max() + 1
+        mean = np.stack([distances[:, label == c].mean(axis=1) for c in range(count)], axis=1)
+        radius = np.array([mean[label == c, c].max() for c in range(count)])
+        for i in np.flatnonzero(label == -1):
+            c = int(mean[i].argmin())
+            if mean[i, c] <= max(radius[c], height):
+                label[i] = c
+        sizes = np.bincount(label[label >= 0], minlength=count)
+        number = np.empty(count, int)
+        number[np.argsort(-sizes, kind="stable")] = np.arange(count)
+        label = np.where(label >= 0, number[label], -1)
+    return label
+
+
+def clusters(edges: DataFrame, method: str = "ward", cut_method: str = "hybrid", min_size: int = 3, deep_split: int = 2, height: float | None = None) -> DataFrame:
+    """``node``, ``cluster`` of a small distance network by a cut of its linkage; a ``static`` cut needs a height."""
+    labels, m = square(edges)
+    z = linkage(m, method)
+    if cut_method == "static" and height is None:
+        raise ValueError("a static cut needs a height")
+    found = cut(z, height, min_size) if cut_method == "static" else hybrid_cut(z, m, min_size, deep_split, height)
+    return edges.sparkSession.createDataFrame([(v, int(c)) for v, c in zip(labels, found, strict=True)], f"node {dict(edges.dtypes)['node_a']}, cluster int")
+
+
+def with_track(leaves: DataFrame, track: DataFrame, name: str, fill=None) -> DataFrame:
+    """The table of leaves (``node``) with a column of values or classes (``node``, ``v``); leaves without one get ``fill``, others than leaves are an error."""
+    strange = track.join(leaves, "node", "left_anti").limit(1).collect()
+    if strange:
+        raise ValueError(f"not a leaf: {strange[0].node!r}")
+    out = leaves.join(track.select("node", F.col("v").alias(name)), "node", "left")
+    return out if fill is None else out.fillna(fill, [name])
+
+
 def eigengenes(x: DataFrame, clusters: DataFrame) -> DataFrame:
     """First principal component of each cluster of attributes over the observations, with its share of variance."""
     rows = x.join(clusters.select(F.col("node").alias("attr"), "cluster"), "attr")

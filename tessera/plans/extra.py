@@ -10,6 +10,7 @@ from ..functions import sequences as S
 from ..operators import components as K
 from ..operators import diversity as D
 from ..operators import matrix as M
+from ..operators import network as G
 from ..operators import normalize as N
 from ..operators import pairs as P
 from ..operators import select as C
@@ -18,7 +19,7 @@ from ..operators import temporal as TN
 from ..operators import tree as TR
 from ..sources import readers as R
 from ..storage import new_folder
-from .catalog import BRAND, CONTACTS, DENSE, DID, NATION, PV, QUERY, SETS, WELCH, _contacts, _pvalues, _sets, bought, by_nation, classes, did, query, r6, rounded, table
+from .catalog import BRAND, CONTACTS, DENSE, DID, NATION, PV, QUERY, SETS, TYPE, WELCH, _contacts, _pvalues, _sets, bought, by_nation, classes, did, query, r6, rounded, table
 
 # matrices
 query("pf02_any", "select p_partkey from part where p_size > 45 or p_type like 'S%'")(lambda s, d: M.where_all(table(s, d, "part"), {"p_size": lambda c: c > 45, "p_type": lambda c: c.startswith("S")}, "any").select("p_partkey"))
@@ -216,3 +217,96 @@ query("so01_union_all", "select 'a' as origin, n_nationkey as k from nation unio
 query("w10_bins", "with b as (select min(p_size) as lo, max(p_size) as hi from part) select greatest(1, least(10, cast(ceil((p_size - lo) / ((hi - lo) / 10.0)) as int))) as bin, count(*) as n from part, b group by 1")(
     lambda s, d: table(s, d, "part").withColumns({"lo": F.min("p_size").over(Window.partitionBy()), "hi": F.max("p_size").over(Window.partitionBy())}).groupBy(F.greatest(F.lit(1), F.least(F.lit(10), F.ceil((F.col("p_size") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10.0)).cast("int"))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 )
+
+
+# weights, predictions, communities, cuts, balances, helpers
+def _kernel(s, d):
+    """Order lines as weights of fits, whose accuracy is a share of 97."""
+    return table(s, d, "lineitem").select(F.col("l_linestatus").alias("class"), F.col("l_returnflag").alias("attr"), (F.col("l_quantity") - 25).alias("weight"), (F.col("l_orderkey") % 97 / 97.0).alias("accuracy"))
+
+
+KERNEL = "f as (select l_linestatus as class, l_returnflag as attr, l_quantity - 25 as weight, (l_orderkey % 97) / 97.0 as accuracy from lineitem)"
+STEPS = "t as (select i as step, 0.9 * i / 99.0 as threshold from (select unnest(range(100)) as i)), w as (select step, attr, sum(abs(weight)) as w from f join t on accuracy > threshold group by 1, 2), s as (select step, attr, w / sum(w) over (partition by step) as w from w)"
+query("c10_weights_at", f"with {KERNEL}, w as (select attr, sum(abs(weight)) as w from f where accuracy > 0.4 group by 1) select attr, {r6('w / sum(w) over ()')} as weight from w")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 0, 0.4), "weight"))
+query("c10_weights_by_threshold", f"with {KERNEL}, {STEPS} select step, attr, {r6('w')} as weight from s")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 1).select(F.round(F.col("threshold") * 99 / 0.9).cast("int").alias("step"), "attr", "weight"), "weight"))
+query("c10_weights_over_thresholds", f"with {KERNEL}, {STEPS} select attr, {r6('sum(w) / sum(sum(w)) over ()')} as weight from s group by attr")(lambda s, d: rounded(C.extract_weights(_kernel(s, d)), "weight"))
+query("c10_weights_by_class", f"with {KERNEL}, w as (select class, attr, sum(abs(weight)) as w from f group by 1, 2) select class, attr, {r6('w / sum(w) over (partition by class)')} as weight from w")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 3), "weight"))
+
+
+def _answers(s, d):
+    """Probabilities of two levels for each customer, and the paths."""
+    c = F.col("c_custkey")
+    p, q, r = (c % 10 + 1) / 12.0, (c % 7 + 1) / 9.0, (c % 5 + 1) / 7.0
+    rows = ((parent, child, v) for parent, child, v in (("root", "x", p), ("root", "y", 1 - p), ("x", "a", q), ("x", "b", 1 - q), ("y", "c", r), ("y", "d", 1 - r)))
+    edges = table(s, d, "customer").select(c.alias("obs"), F.explode(F.array(*[F.struct(F.lit(m).alias("parent"), F.lit(n).alias("child"), v.alias("p")) for m, n, v in rows])).alias("e")).select("obs", "e.*")
+    return edges, s.createDataFrame([(t, m, n) for t, g in (("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")) for m, n in (("root", g), (g, t))], "target string, parent string, child string")
+
+
+ANSWERS = "v as (select c_custkey as obs, (c_custkey % 10 + 1) / 12.0 as p, (c_custkey % 7 + 1) / 9.0 as q, (c_custkey % 5 + 1) / 7.0 as r from customer)"
+PATHS = f"{ANSWERS}, l as (select obs, 'a' as target, p * q as w from v union all select obs, 'b', p * (1 - q) from v union all select obs, 'c', (1 - p) * r from v union all select obs, 'd', (1 - p) * (1 - r) from v)"
+query("c03_component", f"with {ANSWERS} select obs, 'root' as submodel, case when p >= 0.5 then 'x' else 'y' end as child from v union all select obs, 'x', case when q >= 0.5 then 'a' else 'b' end from v union all select obs, 'y', case when r >= 0.5 then 'c' else 'd' end from v")(lambda s, d: C.predict(*_answers(s, d), "component"))
+query("c03_directional", f"with {ANSWERS} select obs, case when p > 0.5 then case when q > 0.5 then 'a' else 'b' end else case when r > 0.5 then 'c' else 'd' end end as target from v where p <> 0.5")(lambda s, d: C.predict(*_answers(s, d)).where("obs % 10 <> 5"))
+query("c04_softmax", f"with {PATHS} select obs, target, {r6('exp(w) / sum(exp(w)) over (partition by obs)')} as p from l")(lambda s, d: rounded(C.path_probabilities(*_answers(s, d), "softmax"), "p"))
+query("c06_cumulative_weights", "select 'a' as target, 1 as step, 'root' as parent, 'x' as child, 0.5 as weight union all select 'a', 2, 'x', 'a', 0.125 union all select 'b', 1, 'root', 'x', 0.5 union all select 'b', 2, 'x', 'b', 0.375")(
+    lambda s, d: C.cumulative_weights(s.createDataFrame([("a", 1, "root", "x"), ("a", 2, "x", "a"), ("b", 1, "root", "x"), ("b", 2, "x", "b")], "target string, step int, parent string, child string"), s.createDataFrame([("root", "x", 0.5), ("x", "a", 0.25), ("x", "b", 0.75)], "parent string, child string, weight double"))
+)
+
+
+def _regions(s, d):
+    n = table(s, d, "nation")
+    a, b = (n.select(F.col("n_name").alias(f"node_{i}"), F.col("n_regionkey").alias(f"r{i}")) for i in "ab")
+    return a.join(b, F.col("ra") == F.col("rb")).where("node_a < node_b").select("node_a", "node_b", F.lit(1.0).alias("weight"))
+
+
+@query("g05_louvain", "select n_name as node, min(n_name) over (partition by n_regionkey) as cluster from nation")
+def _g05_louvain(s, d):
+    out = G.louvain(_regions(s, d), driver_edges=0)
+    return out.select("node", F.min("node").over(Window.partitionBy("cluster")).alias("cluster"))
+
+
+query("g05_modularity", f"with e as (select a.n_name as node_a, b.n_name as node_b, 1.0 as weight, a.n_nationkey % 3 = b.n_nationkey % 3 as same, a.n_nationkey % 3 as ca, b.n_nationkey % 3 as cb from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_name < b.n_name), k as (select c, sum(weight) as d from (select ca as c, weight from e union all select cb, weight from e) group by 1) select {r6('(select sum(case when same then weight else 0 end) / sum(weight) from e) - sum(d * d) / (sum(d) * sum(d))')} as modularity from k")(
+    lambda s, d: rounded(G.modularity(_regions(s, d), table(s, d, "nation").select(F.col("n_name").alias("node"), (F.col("n_nationkey") % 3).alias("cluster"))), "modularity")
+)
+
+
+@query("t07_hybrid_cut", "select n_nationkey as node, cast(dense_rank() over (order by n desc, first) - 1 as int) as cluster from (select n_nationkey, count(*) over (partition by n_regionkey) as n, min(n_nationkey) over (partition by n_regionkey) as first from nation)")
+def _t07(s, d):
+    n = table(s, d, "nation")
+    a, b = (n.select(F.col("n_nationkey").alias(f"node_{i}"), F.col("n_regionkey").alias(f"r{i}")) for i in "ab")
+    pairs = a.crossJoin(F.broadcast(b)).where("node_a < node_b")  # 25 nations
+    return TR.clusters(pairs.select("node_a", "node_b", F.when(F.col("ra") == F.col("rb"), 1.0 + (F.col("node_a") + F.col("node_b")) % 3 / 100).otherwise(9.0 + F.abs(F.col("ra") - F.col("rb"))).alias("weight")), "average")
+
+
+@query("n15_philr", f"with {NATION}, l as (select obs, avg(ln(v)) filter (attr in ('Brand#11', 'Brand#12')) as p, avg(ln(v)) filter (attr = 'Brand#13') as q, max(ln(v)) filter (attr = 'Brand#11') - max(ln(v)) filter (attr = 'Brand#12') as h from z where attr in ('Brand#11', 'Brand#12', 'Brand#13') group by obs having count(*) = 3) select obs, 'outer' as attr, {r6('abs(sqrt(2.0 / 3) * (p - q))')} as v from l union all select obs, 'inner', {r6('abs(sqrt(0.5) * h)')} from l")
+def _n15(s, d):
+    three = by_nation(s, d).where("attr in ('Brand#11', 'Brand#12', 'Brand#13')")
+    whole = three.groupBy("obs").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("obs")
+    tree = TR.parse_newick("((Brand#11:1,Brand#12:1)inner:1,Brand#13:2)outer;")
+    return rounded(N.philr(three.join(whole, "obs", "left_semi"), tree).withColumn("v", F.abs("v")), "v")
+
+
+query("io04_numbers", "select cast(row_number() over (order by n_nationkey) - 1 as int) as line, n_name as value from nation")(lambda s, d: _read_back(s, table(s, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(F.col("n_name").alias("value")), R.read_textfile_raw).select("line", "value"))
+query("f07_helpers", "select n_nationkey, lpad(cast(n_nationkey as varchar), 3, '0') as pad, n_nationkey % 2 = 1 as flag, printf('%.2f', n_nationkey / 4.0) as p, replace(replace(n_name, 'A', 'B'), 'BB', 'C') as c, n_name || '-' || n_regionkey as j from nation")(
+    lambda s, d: table(s, d, "nation").select("n_nationkey", U.pad_left(F.col("n_nationkey"), 3).alias("pad"), U.boolean(F.when(F.col("n_nationkey") % 2 == 1, "Yes").otherwise("off")).alias("flag"), U.to_precision(F.col("n_nationkey") / 4.0, 2).alias("p"), U.consecutive_replace(F.col("n_name"), [("A", "B"), ("BB", "C")]).alias("c"), U.join_as_strings("-", F.col("n_name"), F.lit(None), F.col("n_regionkey")).alias("j"))
+)
+query("pf19_collapse", "select n_regionkey, string_agg(n_name, '|' order by n_name) as names from nation group by 1")(lambda s, d: U.collapse(table(s, d, "nation"), "n_name", "n_regionkey").select("n_regionkey", F.array_join("n_name", "|").alias("names")))
+query("u02_metric", f"with {BRAND}, p as (select obs, v / sum(v) over (partition by obs) as p from x where v > 0) select obs, {r6('1 - sum(p * p)')} as value from p group by obs")(lambda s, d: rounded(D.alpha_diversity(bought(s, d), metric=lambda v, p: 1 - F.sum(p * p)), "value"))
+query("a10_domains", f"with h as (select l_orderkey as grp, p_type as taxon, l_quantity as w from lineitem join part on l_partkey = p_partkey where p_brand in ('Brand#11', 'Brand#23')), v as (select grp, taxon, sum(w) / 100 as w, count(*) as hits from h group by 1, 2), r as (select *, rank() over (partition by grp order by w desc) as r from v) select grp, string_agg(taxon, '|' order by taxon) filter (r = 1) as taxa, cast(sum(hits) as bigint) as hits from r group by grp")(
+    lambda s, d: D.infer_taxonomy(table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("grp"), F.col("p_type").alias("taxon"), F.col("l_quantity").alias("identity"), F.col("p_partkey").alias("seq")), table(s, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("domain")), ["Brand#11", "Brand#23"]).select("grp", F.array_join("taxa", "|").alias("taxa"), "hits")
+)
+
+
+@query("r01_glm_line", f"with {TYPE}, j as (select attr, v, c_acctbal as u from x join customer on obs = c_custkey) select attr, 'c_acctbal' as term, round(regr_slope(v, u), 8) + 0.0 as coef, count(*) as nobs, {r6('regr_r2(v, u)')} as r2 from j group by attr")
+def _r01_line(s, d):
+    from ..operators.regress import glm
+
+    out = glm(bought(s, d, "p_type"), table(s, d, "customer").select(F.col("c_custkey").alias("obs"), "c_acctbal"), ["c_acctbal"])
+    return rounded(rounded(out.where("term = 'c_acctbal'").select("attr", "term", "coef", F.col("nobs").cast("long").alias("nobs"), "r2"), "coef", n=8), "r2")
+
+
+@query("s07_glm_test")
+def _s07(s, d):
+    from ..operators import differential as DA
+
+    x = bought(s, d, "p_type")
+    return DA.glm_test(x, classes(s, d).join(x.select("obs").distinct(), "obs", "left_semi"), "BUILDING")

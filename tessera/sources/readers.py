@@ -33,8 +33,16 @@ def read_wide(spark: SparkSession, path: str, key: str | None = None) -> DataFra
 
 def read_textfile(spark: SparkSession, path: str) -> DataFrame:
     """Stripped lines with their numbers in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim("value"), "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line", "value")).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", ""))
+    return read_textfile_raw(spark, path).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", ""))
+
+
+def read_textfile_raw(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` (from 0) and ``value``; a file is read in splits of any number, whose lines are counted first."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    sizes = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))  # a row a split
+    before = sizes.select("file", "start", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("id")) - 1
+    return lines.withColumn("at", inside).join(before, ["file", "start"]).select("file", (F.col("before") + F.col("at")).cast("int").alias("line"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str, description: bool = False, case: str = "upper") -> DataFrame:
@@ -116,11 +124,6 @@ def read_module_record(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda r: r["value"]).alias("values"))
 
 
-def read_textfile_raw(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line", "value"))
-
-
 def ortholog_set(definition):
     """The members named in a module's definition."""
     return F.array_sort(F.array_distinct(F.filter(F.split(F.translate(definition, "(+ -)", ",,,,,"), ","), lambda p: F.length(p) > 0)))
