@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import kept
 from .matrix import redundant
-from .pairs import bicor_units, distance_of, pairwise, ranked
+from .pairs import bicor_units, cell_pairs, distance_of, ranked
 from .stats import summary
 
 
@@ -162,16 +162,26 @@ def ensemble(x: DataFrame, metric="pearson", n_iter: int = 100, share: float = 0
 
 
 def sample_perturbation(x: DataFrame, background: DataFrame, metric: str = "pearson") -> DataFrame:
-    """For every observation outside the background: the association with it added, minus that of the background alone."""
-    inside = x.join(background.select("obs"), "obs", "left_semi")
-    outside = x.join(background.select("obs"), "obs", "left_anti")
-    base = pairwise(inside, metric).withColumnRenamed("weight", "w0")
-    samples = outside.select(F.col("obs").alias("sample")).distinct()
-    with_one = inside.crossJoin(samples).select("sample", "obs", "attr", "v").unionByName(outside.select(F.col("obs").alias("sample"), "obs", "attr", "v"))
-    a = with_one.select("sample", "obs", F.col("attr").alias("node_a"), F.col("v").alias("x"))
-    b = with_one.select("sample", "obs", F.col("attr").alias("node_b"), F.col("v").alias("y"))
-    joint = a.join(b, ["sample", "obs"]).where("node_a < node_b").groupBy("sample", "node_a", "node_b").agg(F.corr("x", "y").alias("w1"))
-    return joint.join(base, ["node_a", "node_b"]).select("sample", "node_a", "node_b", (F.col("w1") - F.col("w0")).alias("weight"))
+    """For every observation outside the background: the correlation (pearson) or distance (euclidean, sqeuclidean, cityblock, chebyshev) with it added, minus that of the background alone.
+
+    The background is summed once a pair; each observation's cells then update
+    the sums of its pairs.
+    """
+    inside = cell_pairs(x.join(background.select("obs"), "obs", "left_semi")).groupBy("node_a", "node_b")
+    outside = cell_pairs(x.join(background.select("obs"), "obs", "left_anti")).withColumnRenamed("obs", "sample")
+    c = F.col
+    if metric == "pearson":
+        n = F.count(F.lit(1))
+        base = inside.agg(n.cast("double").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.var_pop("x") * n).alias("xx"), (F.var_pop("y") * n).alias("yy"), (F.covar_pop("x", "y") * n).alias("xy"))
+        rows, share = outside.join(base, ["node_a", "node_b"]), c("n") / (c("n") + 1)
+        dx, dy = c("x") - c("mx"), c("y") - c("my")
+        ratio = lambda xy, xx, yy: F.try_divide(xy, F.sqrt(xx * yy))
+        new, old = ratio(c("xy") + dx * dy * share, c("xx") + dx * dx * share, c("yy") + dy * dy * share), ratio(c("xy"), c("xx"), c("yy"))
+    else:
+        gap, d = F.abs(c("x") - c("y")), c("w0")
+        new = {"euclidean": F.sqrt(d * d + gap * gap), "sqeuclidean": d + gap * gap, "cityblock": d + gap, "chebyshev": F.greatest(d, gap)}[metric]
+        rows, old = outside.join(inside.agg(distance_of(metric).alias("w0")), ["node_a", "node_b"]), d
+    return rows.select("sample", "node_a", "node_b", (new - old).alias("weight"))
 
 
 def differential(reference: DataFrame, treatment: DataFrame) -> DataFrame:

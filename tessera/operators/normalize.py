@@ -35,7 +35,7 @@ def quantile(x: DataFrame) -> DataFrame:
     """Values by their rank's mean over observations; ties take the lowest rank's."""
     ranked = x.withColumns({"__first": F.row_number().over(by_obs("v", "attr")), "__low": F.rank().over(by_obs("v"))})
     means = ranked.groupBy(F.col("__first").alias("__low")).agg(F.avg("v").alias("__mean"))
-    return ranked.join(F.broadcast(means), "__low").select("obs", "attr", F.col("__mean").alias("v"))  # a row a rank of one axis
+    return ranked.join(means, "__low").select("obs", "attr", F.col("__mean").alias("v"))
 
 
 def css(x: DataFrame, q: float = 0.5, scale: float = 1000.0, fill: float = 0.0) -> DataFrame:

@@ -26,18 +26,42 @@ def welch(x: DataFrame, group: str, a, b) -> DataFrame:
 
 
 def _hommel(p: np.ndarray) -> np.ndarray:
-    n, order = len(p), np.argsort(p)
-    s = p[order]
-    q = pa = np.full(n, np.min(n * s / np.arange(1, n + 1)))
-    for m in range(n - 1, 1, -1):
-        i = np.arange(n - m + 1, n)
-        q1 = np.min(m * s[i] / np.arange(2, m + 1))
-        q = q.copy()
-        q[: n - m + 1] = np.minimum(m * s[: n - m + 1], q1)
-        q[i] = q[n - m]
-        pa = np.maximum(pa, q)
+    """Hommel's adjusted p-values in n log n.
+
+    A set of the i largest p-values is rejected from the level s_i on, the least
+    i * p / j of its j-th member, which is a tangent to the lower hull of the
+    sorted values; a p-value is rejected at a level no less than it times the
+    number of the largest set that is not.
+    """
+    n, order = len(p), np.argsort(p, kind="stable")
+    y = p[order].tolist()
+    hull: list[int] = []  # right to left
+    level = np.empty(n + 2)
+    level[0] = np.inf
+    for i in range(1, n + 1):
+        x = n - i  # the new point is at x + 1, the tangent starts at (x, 0)
+        while len(hull) > 1 and (y[hull[-2]] - y[x]) * (hull[-1] - x) <= (y[hull[-1]] - y[x]) * (hull[-2] - x):
+            hull.pop()
+        hull.append(x)
+        lo, hi = 0, len(hull) - 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if y[hull[mid]] * (hull[mid + 1] - x + 1) <= y[hull[mid + 1]] * (hull[mid] - x + 1):
+                hi = mid
+            else:
+                lo = mid + 1
+        level[i] = i * y[hull[lo]] / (hull[lo] - x + 1)
+    level[n + 1] = 0.0
+    top = np.maximum.accumulate(level[::-1])[::-1]  # of sets at least as large
+    v = np.asarray(y)
+    lo, hi = np.zeros(n, np.int64), np.full(n, n, np.int64)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        enough = mid * v >= top[mid + 1]
+        lo, hi = np.where(enough, lo, np.minimum(mid + 1, hi)), np.where(enough, mid, hi)
+    best = np.minimum(np.maximum(lo * v, top[np.minimum(lo + 1, n + 1)]), top[lo])
     out = np.empty(n)
-    out[order] = np.maximum(pa, s)
+    out[order] = np.maximum(best, v)
     return np.minimum(out, 1)
 
 

@@ -228,7 +228,7 @@ def _kernel(s, d):
 KERNEL = "f as (select l_linestatus as class, l_returnflag as attr, l_quantity - 25 as weight, (l_orderkey % 97) / 97.0 as accuracy from lineitem)"
 STEPS = "t as (select i as step, 0.9 * i / 99.0 as threshold from (select unnest(range(100)) as i)), w as (select step, attr, sum(abs(weight)) as w from f join t on accuracy > threshold group by 1, 2), s as (select step, attr, w / sum(w) over (partition by step) as w from w)"
 query("c10_weights_at", f"with {KERNEL}, w as (select attr, sum(abs(weight)) as w from f where accuracy > 0.4 group by 1) select attr, {r6('w / sum(w) over ()')} as weight from w")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 0, 0.4), "weight"))
-query("c10_weights_by_threshold", f"with {KERNEL}, {STEPS} select step, attr, {r6('w')} as weight from s")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 1).select(F.round(F.col("threshold") * 99 / 0.9).cast("int").alias("step"), "attr", "weight"), "weight"))
+query("c10_weights_by_threshold", f"with {KERNEL}, {STEPS} select step, attr, {r6('w')} as weight from s")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 1).select(F.round(F.col("threshold") * 99 / 0.9).cast("long").alias("step"), "attr", "weight"), "weight"))
 query("c10_weights_over_thresholds", f"with {KERNEL}, {STEPS} select attr, {r6('sum(w) / sum(sum(w)) over ()')} as weight from s group by attr")(lambda s, d: rounded(C.extract_weights(_kernel(s, d)), "weight"))
 query("c10_weights_by_class", f"with {KERNEL}, w as (select class, attr, sum(abs(weight)) as w from f group by 1, 2) select class, attr, {r6('w / sum(w) over (partition by class)')} as weight from w")(lambda s, d: rounded(C.extract_weights(_kernel(s, d), 3), "weight"))
 
@@ -236,16 +236,16 @@ query("c10_weights_by_class", f"with {KERNEL}, w as (select class, attr, sum(abs
 def _answers(s, d):
     """Probabilities of two levels for each customer, and the paths."""
     c = F.col("c_custkey")
-    p, q, r = (c % 10 + 1) / 12.0, (c % 7 + 1) / 9.0, (c % 5 + 1) / 7.0
+    p, q, r = (c % 10 + 1) / 13.0, (c % 7 + 1) / 9.0, (c % 5 + 1) / 7.0
     rows = ((parent, child, v) for parent, child, v in (("root", "x", p), ("root", "y", 1 - p), ("x", "a", q), ("x", "b", 1 - q), ("y", "c", r), ("y", "d", 1 - r)))
     edges = table(s, d, "customer").select(c.alias("obs"), F.explode(F.array(*[F.struct(F.lit(m).alias("parent"), F.lit(n).alias("child"), v.alias("p")) for m, n, v in rows])).alias("e")).select("obs", "e.*")
     return edges, s.createDataFrame([(t, m, n) for t, g in (("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")) for m, n in (("root", g), (g, t))], "target string, parent string, child string")
 
 
-ANSWERS = "v as (select c_custkey as obs, (c_custkey % 10 + 1) / 12.0 as p, (c_custkey % 7 + 1) / 9.0 as q, (c_custkey % 5 + 1) / 7.0 as r from customer)"
+ANSWERS = "v as (select c_custkey as obs, (c_custkey % 10 + 1) / 13.0 as p, (c_custkey % 7 + 1) / 9.0 as q, (c_custkey % 5 + 1) / 7.0 as r from customer)"
 PATHS = f"{ANSWERS}, l as (select obs, 'a' as target, p * q as w from v union all select obs, 'b', p * (1 - q) from v union all select obs, 'c', (1 - p) * r from v union all select obs, 'd', (1 - p) * (1 - r) from v)"
 query("c03_component", f"with {ANSWERS} select obs, 'root' as submodel, case when p >= 0.5 then 'x' else 'y' end as child from v union all select obs, 'x', case when q >= 0.5 then 'a' else 'b' end from v union all select obs, 'y', case when r >= 0.5 then 'c' else 'd' end from v")(lambda s, d: C.predict(*_answers(s, d), "component"))
-query("c03_directional", f"with {ANSWERS} select obs, case when p > 0.5 then case when q > 0.5 then 'a' else 'b' end else case when r > 0.5 then 'c' else 'd' end end as target from v where p <> 0.5")(lambda s, d: C.predict(*_answers(s, d)).where("obs % 10 <> 5"))
+query("c03_directional", f"with {ANSWERS} select obs, case when p > 0.5 then case when q > 0.5 then 'a' else 'b' end else case when r > 0.5 then 'c' else 'd' end end as target from v")(lambda s, d: C.predict(*_answers(s, d)))
 query("c04_softmax", f"with {PATHS} select obs, target, {r6('exp(w) / sum(exp(w)) over (partition by obs)')} as p from l")(lambda s, d: rounded(C.path_probabilities(*_answers(s, d), "softmax"), "p"))
 query("c06_cumulative_weights", "select 'a' as target, 1 as step, 'root' as parent, 'x' as child, 0.5 as weight union all select 'a', 2, 'x', 'a', 0.125 union all select 'b', 1, 'root', 'x', 0.5 union all select 'b', 2, 'x', 'b', 0.375")(
     lambda s, d: C.cumulative_weights(s.createDataFrame([("a", 1, "root", "x"), ("a", 2, "x", "a"), ("b", 1, "root", "x"), ("b", 2, "x", "b")], "target string, step int, parent string, child string"), s.createDataFrame([("root", "x", 0.5), ("x", "a", 0.25), ("x", "b", 0.75)], "parent string, child string, weight double"))
@@ -277,12 +277,12 @@ def _t07(s, d):
     return TR.clusters(pairs.select("node_a", "node_b", F.when(F.col("ra") == F.col("rb"), 1.0 + (F.col("node_a") + F.col("node_b")) % 3 / 100).otherwise(9.0 + F.abs(F.col("ra") - F.col("rb"))).alias("weight")), "average")
 
 
-@query("n15_philr", f"with {NATION}, l as (select obs, avg(ln(v)) filter (attr in ('Brand#11', 'Brand#12')) as p, avg(ln(v)) filter (attr = 'Brand#13') as q, max(ln(v)) filter (attr = 'Brand#11') - max(ln(v)) filter (attr = 'Brand#12') as h from z where attr in ('Brand#11', 'Brand#12', 'Brand#13') group by obs having count(*) = 3) select obs, 'outer' as attr, {r6('abs(sqrt(2.0 / 3) * (p - q))')} as v from l union all select obs, 'inner', {r6('abs(sqrt(0.5) * h)')} from l")
+@query("n15_philr", f"with {NATION}, k as (select obs, least(cast(substr(attr, 7, 1) as int), 5) as k, ln(sum(v)) as l from z group by 1, 2), m as (select obs, max(l) filter (k = 1) as a, max(l) filter (k = 2) as b, max(l) filter (k = 3) as c, max(l) filter (k = 4) as d, max(l) filter (k = 5) as e from k group by obs) select obs, 'n1' as attr, {r6('abs(sqrt(6.0 / 5) * ((a + b) / 2 - (c + d + e) / 3))')} as v from m union all select obs, 'n2', {r6('abs(sqrt(0.5) * (a - b))')} from m union all select obs, 'n3', {r6('abs(sqrt(2.0 / 3) * (c - (d + e) / 2))')} from m union all select obs, 'n4', {r6('abs(sqrt(0.5) * (d - e))')} from m")
 def _n15(s, d):
-    three = by_nation(s, d).where("attr in ('Brand#11', 'Brand#12', 'Brand#13')")
-    whole = three.groupBy("obs").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("obs")
-    tree = TR.parse_newick("((Brand#11:1,Brand#12:1)inner:1,Brand#13:2)outer;")
-    return rounded(N.philr(three.join(whole, "obs", "left_semi"), tree).withColumn("v", F.abs("v")), "v")
+    ten = F.concat(F.lit("B"), F.least(F.substr("attr", F.lit(7), F.lit(1)).cast("int"), F.lit(5)).cast("string"))
+    tens = by_nation(s, d).groupBy("obs", ten.alias("attr")).agg(F.sum("v").alias("v"))
+    tree = TR.parse_newick("((B1:1,B2:1)n2:1,(B3:1,(B4:1,B5:1)n4:1)n3:1)n1;")
+    return rounded(N.philr(tens, tree).withColumn("v", F.abs("v")), "v")
 
 
 query("io04_numbers", "select cast(row_number() over (order by n_nationkey) - 1 as int) as line, n_name as value from nation")(lambda s, d: _read_back(s, table(s, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(F.col("n_name").alias("value")), R.read_textfile_raw).select("line", "value"))

@@ -251,3 +251,37 @@ def test_small_helpers(spark):
     hits = spark.createDataFrame([("g", "T", 90.0, "s1"), ("g", "U", 95.0, "s2")], "grp string, taxon string, identity double, seq string")
     domains = spark.createDataFrame([("s1", "d"), ("s2", "e")], "seq string, domain string")
     assert diversity.infer_taxonomy(hits, domains, ["d"]).head().taxa == ["T"] and diversity.infer_taxonomy(hits, domains).head().taxa == ["U"]
+
+
+def test_hommel_by_definition():
+    from tessera.operators.stats import _hommel
+
+    def slow(p):
+        n, out = len(p), np.zeros(len(p))
+        for m in range(1, n + 1):
+            for members in itertools.combinations(range(n), m):
+                v = np.sort(p[list(members)])
+                simes = (m * v / np.arange(1, m + 1)).min()
+                out[list(members)] = np.maximum(out[list(members)], simes)
+        return np.minimum(out, 1)
+
+    rng = np.random.RandomState(0)
+    for k in range(60):
+        n = 1 + k % 9
+        p = rng.uniform(size=n) ** rng.randint(1, 5)
+        p = np.round(p, 1 + k % 3) if k % 2 else p
+        assert np.allclose(_hommel(p), slow(p), atol=1e-12), p
+    assert len(_hommel(np.zeros(0))) == 0 and len(_hommel(rng.uniform(size=100_000))) == 100_000
+
+
+@pytest.mark.parametrize("metric", ["pearson", "euclidean", "cityblock", "chebyshev"])
+def test_perturbation(spark, metric):
+    rng = np.random.RandomState(0)
+    m = rng.normal(size=(8, 3))
+    x = spark.createDataFrame([(o, "abc"[a], float(m[o, a])) for o in range(8) for a in range(3)], "obs int, attr string, v double")
+    got = {(r.sample, r.node_a, r.node_b): r.weight for r in network.sample_perturbation(x, x.where("obs < 6").select("obs").distinct(), metric).collect()}
+    f = {"pearson": lambda p, q: np.corrcoef(p, q)[0, 1], "euclidean": lambda p, q: np.linalg.norm(p - q), "cityblock": lambda p, q: np.abs(p - q).sum(), "chebyshev": lambda p, q: np.abs(p - q).max()}[metric]
+    assert len(got) == 6
+    for (o, a, b), w in got.items():
+        i, j, rows = "abc".index(a), "abc".index(b), [*range(6), o]
+        assert w == pytest.approx(f(m[rows, i], m[rows, j]) - f(m[:6, i], m[:6, j]))
