@@ -277,12 +277,12 @@ def _t07(s, d):
     return TR.clusters(pairs.select("node_a", "node_b", F.when(F.col("ra") == F.col("rb"), 1.0 + (F.col("node_a") + F.col("node_b")) % 3 / 100).otherwise(9.0 + F.abs(F.col("ra") - F.col("rb"))).alias("weight")), "average")
 
 
-@query("n15_philr", f"with {NATION}, k as (select obs, least(cast(substr(attr, 7, 1) as int), 5) as k, ln(sum(v)) as l from z group by 1, 2), m as (select obs, max(l) filter (k = 1) as a, max(l) filter (k = 2) as b, max(l) filter (k = 3) as c, max(l) filter (k = 4) as d, max(l) filter (k = 5) as e from k group by obs) select obs, 'n1' as attr, {r6('abs(sqrt(6.0 / 5) * ((a + b) / 2 - (c + d + e) / 3))')} as v from m union all select obs, 'n2', {r6('abs(sqrt(0.5) * (a - b))')} from m union all select obs, 'n3', {r6('abs(sqrt(2.0 / 3) * (c - (d + e) / 2))')} from m union all select obs, 'n4', {r6('abs(sqrt(0.5) * (d - e))')} from m")
+@query("n15_philr", f"with {NATION}, k as (select obs, least(cast(substr(attr, 7, 1) as int), 5) as k, sum(v) as l from z group by 1, 2), m as (select obs, ln(coalesce(max(l) filter (k = 1), 0) + 1) as a, ln(coalesce(max(l) filter (k = 2), 0) + 1) as b, ln(coalesce(max(l) filter (k = 3), 0) + 1) as c, ln(coalesce(max(l) filter (k = 4), 0) + 1) as d, ln(coalesce(max(l) filter (k = 5), 0) + 1) as e from k group by obs) select obs, 'n1' as attr, {r6('abs(sqrt(6.0 / 5) * ((a + b) / 2 - (c + d + e) / 3))')} as v from m union all select obs, 'n2', {r6('abs(sqrt(0.5) * (a - b))')} from m union all select obs, 'n3', {r6('abs(sqrt(2.0 / 3) * (c - (d + e) / 2))')} from m union all select obs, 'n4', {r6('abs(sqrt(0.5) * (d - e))')} from m")
 def _n15(s, d):
     ten = F.concat(F.lit("B"), F.least(F.substr("attr", F.lit(7), F.lit(1)).cast("int"), F.lit(5)).cast("string"))
     tens = by_nation(s, d).groupBy("obs", ten.alias("attr")).agg(F.sum("v").alias("v"))
     tree = TR.parse_newick("((B1:1,B2:1)n2:1,(B3:1,(B4:1,B5:1)n4:1)n3:1)n1;")
-    return rounded(N.philr(tens, tree).withColumn("v", F.abs("v")), "v")
+    return rounded(N.philr(M.densify(tens).withColumn("v", F.col("v") + 1), tree).withColumn("v", F.abs("v")), "v")
 
 
 query("io04_numbers", "select cast(row_number() over (order by n_nationkey) - 1 as int) as line, n_name as value from nation")(lambda s, d: _read_back(s, table(s, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(F.col("n_name").alias("value")), R.read_textfile_raw).select("line", "value"))
