@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import kept
-from .matrix import redundant
+from .matrix import densify, redundant
 from .pairs import bicor_units, cell_pairs, distance_of, ranked
 from .stats import summary
+from .subsamples import correlations
 
 
 def connectivity(edges: DataFrame, loops: float | None = None) -> DataFrame:
@@ -112,7 +113,31 @@ def cooccurrence(clusters: DataFrame) -> DataFrame:
 STATISTICS = ("n", "sum", "mean", "sem", "var", "skew", "kurtosis", "normal_p", "median")
 
 
-def ensemble(x: DataFrame, metric="pearson", n_iter: int = 100, share: float = 0.618, seed: int = 0, replacement: bool = False, transformation=None, statistics=STATISTICS, extra: dict | None = None) -> DataFrame:
+def subsample_size(n: int, share: float) -> int:
+    """How many of n observations have a rank below the share."""
+    return sum(k < share * (n - 1) for k in range(n)) if n > 1 else n
+
+
+def _draws(chosen: DataFrame, metric) -> DataFrame:
+    """``iter``, ``node_a``, ``node_b``, ``v`` of a metric from the cells of all subsamples (with ``iter`` and ``copy``)."""
+    per = chosen.select("iter", F.struct("iter", "obs", "copy").alias("obs"), F.struct("iter", "attr").alias("attr"), "v")
+    if metric == "spearman":
+        per = ranked(per)
+    elif metric == "bicor":
+        per = bicor_units(per)
+    a = per.select("obs", F.col("attr.attr").alias("node_a"), F.col("v").alias("x"))
+    b = per.select("obs", F.col("attr.attr").alias("node_b"), F.col("v").alias("y"))
+    rows = a.join(b, "obs").where("node_a < node_b").groupBy(F.col("obs.iter").alias("iter"), "node_a", "node_b")
+    if callable(metric):
+        value = metric(F.col("x"), F.col("y"))
+    elif metric in ("pearson", "spearman"):
+        value = F.corr("x", "y")
+    else:
+        value = F.sum(F.col("x") * F.col("y")) if metric == "bicor" else distance_of(metric)
+    return rows.agg(value.alias("v"))
+
+
+def ensemble(x: DataFrame, metric="pearson", n_iter: int = 100, share: float = 0.618, seed: int = 0, replacement: bool = False, transformation=None, statistics=STATISTICS, extra: dict | None = None, fill: float | None = None) -> DataFrame:
     """Statistics of every edge's association over seeded subsamples of the observations.
 
     ``metric`` is a correlation (pearson, spearman, bicor), any distance of
@@ -120,7 +145,11 @@ def ensemble(x: DataFrame, metric="pearson", n_iter: int = 100, share: float = 0
     without replacement unless asked for; more draws than there are different
     subsamples are an error.  ``transformation`` maps the cells first, ``extra``
     names aggregates (functions of the column of draws) beside the statistics.
+    ``fill`` stands for absent cells.  Pearson's correlation without replacement
+    goes by matrix products (``subsamples``).
     """
+    products = metric == "pearson" and not replacement
+    x = densify(x, fill) if fill is not None and (transformation or not products) else x
     cells = transformation(x) if transformation else x
     axis = cells.select("obs").distinct()
     n = axis.count()
@@ -131,27 +160,16 @@ def ensemble(x: DataFrame, metric="pearson", n_iter: int = 100, share: float = 0
         picks = x.sparkSession.range(n_iter * size).select((F.col("id") / size).cast("int").alias("iter"), F.col("id").alias("copy")).withColumn("at", F.pmod(F.xxhash64("iter", "copy", F.lit(seed)), F.lit(n)).cast("int"))
         chosen = picks.join(numbered, "at").select("obs", "iter", "copy")
     else:
-        size = sum(k < share * (n - 1) for k in range(n)) if n > 1 else n  # ranks below the share
-        if math.comb(n, size) < n_iter:
+        size = subsample_size(n, share)
+        if not (0 < size < n and n_iter <= n) and math.comb(n, size) < n_iter:  # n at least of those between none and all
             raise ValueError(f"only {math.comb(n, size)} different subsamples")
         drawn = axis.withColumn("iter", iters).withColumn("u", F.xxhash64("obs", "iter", F.lit(seed)))
         rank = F.percent_rank().over(Window.partitionBy("iter").orderBy("u", "obs"))
         chosen = drawn.withColumn("r", rank).where(F.col("r") < share).select("obs", "iter", F.lit(0).cast("long").alias("copy"))
-    per = cells.join(chosen, "obs").select("iter", F.struct("iter", "obs", "copy").alias("obs"), F.struct("iter", "attr").alias("attr"), "v")
-    if metric == "spearman":
-        per = ranked(per)
-    elif metric == "bicor":
-        per = bicor_units(per)
-    a = per.select("obs", F.col("attr.attr").alias("node_a"), F.col("v").alias("x"))
-    b = per.select("obs", F.col("attr.attr").alias("node_b"), F.col("v").alias("y"))
-    rows = a.join(b, "obs").where("node_a < node_b").groupBy(F.col("obs.iter").alias("iter"), "node_a", "node_b")
-    if callable(metric):
-        value = metric(F.col("x"), F.col("y"))
-    elif metric in ("pearson", "spearman"):
-        value = F.corr("x", "y")
+    if products:
+        draws = correlations(cells, n_iter, size, n, seed, fill)
     else:
-        value = F.sum(F.col("x") * F.col("y")) if metric == "bicor" else distance_of(metric)
-    draws = rows.agg(value.alias("v"))
+        draws = _draws(cells.join(chosen, "obs"), metric)
     more = {"median": F.median("v"), **{k: f(F.col("v")) for k, f in (extra or {}).items()}}
     wanted = [*statistics, *(extra or {})]
     out = summary(draws, ["node_a", "node_b"])

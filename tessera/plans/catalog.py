@@ -278,7 +278,7 @@ def _partitions(s, d):
 
 query("g04_cooccurrence", f"with p as (select i as iter, n_name as node, (n_nationkey * (i + 3)) % (i + 2) as cluster from nation cross join (select unnest(range(6)) as i)) select a.node as node_a, b.node as node_b, {r6('avg(case when a.cluster = b.cluster then 1.0 else 0 end)')} as weight from p a join p b on a.iter = b.iter and a.node < b.node group by 1, 2")(lambda s, d: rounded(G.cooccurrence(_partitions(s, d)), "weight"))
 query("g05_community_detection")(lambda s, d: G.community_detection(_similarity(s, d).withColumn("weight", F.pow("weight", F.lit(6))), 5))
-query("g06_ensemble_network")(lambda s, d: G.ensemble(M.densify(bought(s, d, "p_type")), n_iter=1000))
+query("g06_ensemble_network")(lambda s, d: G.ensemble(bought(s, d, "p_type"), n_iter=1000, fill=0.0))
 query("g08_axis_connections", f"with {SIM}, b as (select node_a, node_b, weight from e union all select node_b, node_a, weight from e) select node_a as node, left(node_b, 7) as axis, {r6('sum(weight)')} as weight from b group by 1, 2")(lambda s, d: rounded(G.axis_connections(_similarity(s, d), bought(s, d).select(F.col("attr").alias("node")).distinct().withColumn("axis", F.expr("left(node, 7)"))), "weight"))
 
 

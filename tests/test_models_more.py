@@ -285,3 +285,30 @@ def test_perturbation(spark, metric):
     for (o, a, b), w in got.items():
         i, j, rows = "abc".index(a), "abc".index(b), [*range(6), o]
         assert w == pytest.approx(f(m[rows, i], m[rows, j]) - f(m[:6, i], m[:6, j]))
+
+
+def test_ensemble_by_products_draws_as_the_long_form(spark):
+    from pyspark.sql import Window
+
+    from tessera.operators import subsamples
+    from tessera.operators.matrix import densify
+
+    x = spark.range(60).selectExpr("cast(id % 20 as int) as obs", "concat('n', cast(id / 20 as int)) as attr", "cast((id * id) % 23 as double) as v").where("v % 5 <> 1")
+    x = x.unionByName(x.where("attr = 'n0'").selectExpr("obs", "'n9' as attr", "7.0 as v"))
+    chunk, rows = subsamples.CHUNK, subsamples.ROWS
+    subsamples.CHUNK, subsamples.ROWS = 24, 3  # several chunks and blocks
+    try:
+        for fill, cells in ((0.0, densify(x)), (None, x)):
+            size = network.subsample_size(20, 0.618)
+            got = {(r.iter, r.node_a, r.node_b): r.v for r in subsamples.correlations(x, 70, size, 20, 3, fill).collect()}
+            w = Window.partitionBy("iter").orderBy("u", "obs")
+            drawn = x.select("obs").distinct().withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(69)))).withColumn("u", F.xxhash64("obs", "iter", F.lit(3)))
+            chosen = drawn.withColumn("r", F.percent_rank().over(w)).where("r < 0.618").select("obs", "iter", F.lit(0).cast("long").alias("copy"))
+            want = {(r.iter, r.node_a, r.node_b): r.v for r in network._draws(cells.join(chosen, "obs"), lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).collect()}
+            assert got.keys() == want.keys() and all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+            assert None in got.values() or fill is not None
+    finally:
+        subsamples.CHUNK, subsamples.ROWS = chunk, rows
+    plan = network.ensemble(x, n_iter=5, fill=0.0)._jdf.queryExecution().analyzed().toString()
+    assert "node_a" in plan and "percent_rank" not in plan  # no table of cells by subsample
+    assert network.ensemble(x, n_iter=5, fill=0.0).count() == 6
