@@ -134,6 +134,22 @@ def test_blocks_equal_long_form(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_overlap_of_vectors_sends_no_tiles(spark):
+    from __spark_entry__ import SMOKE, queries
+    from tessera.operators import blocks
+
+    rng = np.random.RandomState(1)
+    vectors = spark.createDataFrame([(f"n{i}", [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(40, 5)))], "node string, vec array<double>")
+    for power in (3.0, 1.5):
+        want = {(r.node_a, r.node_b): r.weight for r in blocks.topological_overlap(blocks.similarity_tiles(blocks.row_blocks(vectors, 16), power)).collect()}
+        got = {(r.node_a, r.node_b): r.weight for r in blocks.similarity_overlap(vectors, power, 16).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert blocks.similarity_overlap(vectors.limit(1)).count() == 0
+    with pytest.raises(ValueError):
+        blocks.similarity_overlap(vectors.withColumn("vec", F.when(F.col("node") != "n3", F.col("vec"))))
+    assert "Join" not in queries()["g03_tom_blocks"](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("method", ["bonferroni", "holm", "simes-hochberg", "fdr_bh"])
 def test_many_p_values(spark, method):
     from tessera.operators import stats
