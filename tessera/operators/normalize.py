@@ -99,8 +99,8 @@ def xlr(x: DataFrame, reference: DataFrame | None = None, centroid: str = "mean"
 def iqlr(x: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Log-ratios to attributes whose CLR variance is strictly between two quantiles."""
     variance = clr(x).groupBy("attr").agg(F.var_samp("v").alias("s"))
-    bounds = variance.agg(F.percentile("s", low).alias("lo"), F.percentile("s", high).alias("hi"))
-    return xlr(x, variance.crossJoin(F.broadcast(bounds)).where("s > lo and s < hi").select("attr"))
+    axis = variance.agg(F.percentile("s", low).alias("lo"), F.percentile("s", high).alias("hi"), F.collect_list(F.struct("attr", "s")).alias("every"))  # bounds and variances of one pass: sums of another may differ in the last bit
+    return xlr(x, axis.select("lo", "hi", F.explode("every").alias("e")).where("e.s > lo and e.s < hi").select("e.attr"))
 
 
 def ilr(x: DataFrame) -> DataFrame:

@@ -342,3 +342,9 @@ def test_zero_replacement(x):
     assert cells(normalize.replace_zeros(full))["o3", "a"] == pytest.approx(1 / 9)
     with pytest.raises(Exception, match="must not be negative"):
         normalize.transform(full.withColumn("v", -F.col("v"))).collect()
+
+
+def test_iqlr_reference_comes_from_one_pass(spark):
+    x = spark.createDataFrame([(o, f"a{k}", float(1 + (o * (k + 3)) % 11)) for o in range(9) for k in range(9)], "obs int, attr string, v double")
+    plan = normalize.iqlr(x)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("var_samp") == 1  # bounds and what is compared with them are the same sums
