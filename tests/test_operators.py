@@ -348,3 +348,18 @@ def test_iqlr_reference_comes_from_one_pass(spark):
     x = spark.createDataFrame([(o, f"a{k}", float(1 + (o * (k + 3)) % 11)) for o in range(9) for k in range(9)], "obs int, attr string, v double")
     plan = normalize.iqlr(x)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("var_samp") == 1  # bounds and what is compared with them are the same sums
+
+
+def test_kendall_of_many_observations(spark):
+    rng = np.random.RandomState(4)
+    for n, top in ((1, 3), (2, 2), (30, 4), (200, 1000), (150, 9)):
+        a, b = rng.randint(top, size=n).astype(float), rng.randint(top, size=n).astype(float)
+        p, q = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+        d = np.sqrt((p != 0).sum() * (q != 0).sum())
+        got = pairs._kendall(a, b)
+        assert np.isnan(got) if d == 0 else abs(got - (p * q).sum() / d) < 1e-12
+    many = spark.range(400000).selectExpr("cast(id as int) as obs", "id * 7919 % 100003 as p", "id % 13 as q").selectExpr("obs", "stack(3, 'a', p, 'b', q, 'c', -p) as (attr, v)")  # their square would take 1.3 TB
+    got = {(r.node_a, r.node_b): r.weight for r in pairs.pairwise(many, "kendall").collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")} and abs(got["a", "c"] + 1) < 1e-12 and abs(got["a", "b"] + got["b", "c"]) < 1e-12
+    flat = spark.createDataFrame([(i, a, float(i * (a == "a"))) for i in range(4) for a in "ab"], "obs int, attr string, v double")
+    assert pairs.pairwise(flat, "kendall").head().weight is None
