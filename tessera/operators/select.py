@@ -11,6 +11,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,13 +186,40 @@ def make(kind, options: dict):
 
 
 def to_wide(x: DataFrame, y: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-    """A dense matrix of bounded size, its classes and its attributes."""
-    cells = x.join(y, "obs").limit(CELLS + 1).toPandas()
-    if len(cells) > CELLS:
+    """A dense matrix of bounded size, its classes and its attributes.
+
+    Rows are packed on the cluster and come a partition at a time, so the driver holds the matrix alone.
+    """
+    cells = x.join(y, "obs")
+    axis = cells.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).orderBy("attr").collect()  # a row an attribute
+    if sum(r.n for r in axis) > CELLS:
         raise ValueError(f"more than {CELLS} cells")
-    wide = cells.pivot(index="obs", columns="attr", values="v").fillna(0.0).sort_index()
-    classes = cells.drop_duplicates("obs").set_index("obs")["class"].loc[wide.index]
-    return wide.to_numpy(float), classes.to_numpy(), list(wide.columns)
+    attrs = [r.attr for r in axis]
+    names = x.sparkSession.createDataFrame([(i, a) for i, a in enumerate(attrs)], f"at int, attr {dict(x.dtypes)['attr']}")
+    per = cells.join(F.broadcast(names), "attr").groupBy("obs").agg(F.min("class").alias("class"), F.collect_list("at").alias("at"), F.collect_list(F.coalesce(F.col("v").cast("double"), F.lit(0.0))).alias("v"))
+
+    def pack(batches):
+        for batch in batches:
+            at, v = batch.column("at"), batch.column("v")
+            place = np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy())) * len(attrs) + at.flatten().to_numpy()
+            if len(np.unique(place)) < len(place):
+                raise ValueError("an observation has two cells of one attribute")
+            rows = np.zeros(len(batch) * len(attrs))
+            rows[place] = np.nan_to_num(v.flatten().to_numpy(), nan=0.0, posinf=np.inf, neginf=-np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("class").to_pylist()], pa.list_(batch.schema.field("class").type)), pa.array([rows.tobytes()], pa.binary())], names=["classes", "rows"])
+
+    parts = per.orderBy("obs").mapInArrow(pack, f"classes array<{dict(y.dtypes)['class']}>, rows binary")
+    classes, rows = [], []
+    for r in parts.toLocalIterator():
+        classes += r.classes
+        rows.append(np.frombuffer(r.rows).reshape(-1, len(attrs)))
+    wide = np.empty((len(classes), len(attrs)))
+    at = len(wide)
+    while rows:  # each part is freed once it is copied
+        part = rows.pop()
+        wide[at - len(part) : at] = part
+        at -= len(part)
+    return wide, pd.Series(classes).to_numpy(), attrs
 
 
 def halves(classes: np.ndarray, seed: int) -> np.ndarray:

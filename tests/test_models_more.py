@@ -312,3 +312,16 @@ def test_ensemble_by_products_draws_as_the_long_form(spark):
     plan = network.ensemble(x, n_iter=5, fill=0.0)._jdf.queryExecution().analyzed().toString()
     assert "node_a" in plan and "percent_rank" not in plan  # no table of cells by subsample
     assert network.ensemble(x, n_iter=5, fill=0.0).count() == 6
+
+
+def test_wide_matrix_is_packed_on_the_cluster(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    x = spark.createDataFrame([(o, f"a{k}", float(o * 10 + k) if (o, k) != (2, 1) else None) for o in range(5) for k in range(3) if (o, k) != (3, 0)], "obs int, attr string, v double")
+    y = spark.createDataFrame([(o, "even" if o % 2 == 0 else "odd") for o in range(1, 5)], "obs int, class string")
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("long cells on the driver"))
+    wide, classes, attrs = select.to_wide(x, y)
+    assert attrs == ["a0", "a1", "a2"] and classes.tolist() == ["odd", "even", "odd", "even"]
+    assert wide.tolist() == [[10, 11, 12], [20, 0, 22], [0, 31, 32], [40, 41, 42]]
+    with pytest.raises(Exception, match="two cells"):
+        select.to_wide(x.union(x), y)
