@@ -9,9 +9,10 @@ it: the sum of a vector for the class before and one for the class two before (w
 target's bias.  It is trained in NumPy in two passes: on the counts of
 all adjacent classes of all training texts, which the cluster sums (noise-contrastive
 estimation in expectation), and then, for both places, by noise-contrastive
-estimation with sampled noise on triples drawn from all training texts, of which
-``TRIPLES`` are expected up to ``GROWS`` bytes, and as many times more beyond as
-the square root of the bytes.  Batched products of the context vectors that occur with all
+estimation with sampled noise on every triple of all training texts: texts are dealt
+by a hash into shares of about ``MOST`` bytes, each share trains a copy of the model
+by one pass over its triples, and the copies are averaged by numbers of triples.
+Batched products of the context vectors that occur with all
 target vectors then give normalised log-probabilities.  A word within its class has its
 smoothed relative frequency, with a share for unknown words, so the
 probabilities of all tokens add up to one.
@@ -28,21 +29,19 @@ bucket of words, and the square of the classes on the driver.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import LOWER, blocks, mix, pack_sorted, prefix, release, span_hash, unpack_sorted, utf8, words
-from ._chunks import chunked, sides
+from ._chunks import MOST, chunked, sides
 from ._links import kept
 from .toxicity import held_out
 
 TOP, SUFFIXES, WIDTH, NOISE = 1024, 1024, 24, 10
-#: Bytes of text from which the frequent words and the triples grow, and the triples expected up to there.
-GROWS, TRIPLES = 1 << 29, 1_500_000
+#: Bytes of text from which the frequent words grow.
+GROWS = 1 << 29
 #: Groups of classes (by their vectors) that are told apart two places before.
 FAR = 128
 #: Context pairs whose scores are worked on at a time.
@@ -64,6 +63,13 @@ def tokens(data: np.ndarray, off: np.ndarray):
     return span_hash(sums, starts, ends) & ~_LOW | tail & _LOW, doc
 
 
+def _add(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows at places that may repeat."""
+    by = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.append(True, at[by][1:] != at[by][:-1]))
+    out[at[by][first]] += np.add.reduceat(rows[by], first, axis=0)
+
+
 class LogBilinear:
     """Vectors and biases of a trained model, and what turns counts into it."""
 
@@ -115,15 +121,15 @@ class LogBilinear:
         self.group[:-1], self.group[-1] = at, FAR
         return self
 
-    def refined(self, triples: np.ndarray, counts: np.ndarray, noise: int = NOISE, shared: int = 256, batch: int = 8192, rate: float = 0.01) -> "LogBilinear":
-        """Fits rows (class two before, class before, target) by one pass of noise-contrastive estimation with ``shared`` sampled noise classes a batch (Adam, fixed seed)."""
+    def refined(self, triples: np.ndarray, counts: np.ndarray, noise: int = NOISE, shared: int = 256, batch: int = 8192, rate: float = 0.01, ordered: bool = False) -> "LogBilinear":
+        """Fits rows (class two before, class before, target; sorted here unless ``ordered``) by one pass of noise-contrastive estimation with ``shared`` sampled noise classes a batch (Adam, fixed seed)."""
         n = len(self.bias)
         rng = np.random.default_rng(9)
         p = (counts + 1) / (counts.sum() + n)
         shift = np.log(noise * p).astype(np.float32)
         value = [self.second.copy(), self.context.copy(), self.target.copy(), self.bias.copy()]
         first, second = [np.zeros_like(v) for v in value], [np.zeros_like(v) for v in value]
-        rows = triples[np.lexsort(triples.T)][rng.permutation(len(triples))]
+        rows = (triples if ordered else triples[np.lexsort(triples.T)])[rng.permutation(len(triples))]
         steps = -(-len(rows) // batch)
         for t in range(1, steps + 1):
             far, near, target = rows[(t - 1) * batch : t * batch].T
@@ -136,9 +142,9 @@ class LogBilinear:
             down = (-noise / shared / (1 + np.exp(np.clip(-(h @ w[false].T + b[false] - shift[false]), -30, 30)))).astype(np.float32)
             pull = up[:, None] * w[target] + down @ w[false]
             grads = [np.zeros_like(v) for v in value]
-            np.add.at(grads[0], far, pull)
-            np.add.at(grads[1], near, pull)
-            np.add.at(grads[2], target, up[:, None] * h)
+            _add(grads[0], far, pull)
+            _add(grads[1], near, pull)
+            _add(grads[2], target, up[:, None] * h)
             np.add.at(grads[2], false, down.T @ h)
             np.add.at(grads[3], target, up)
             np.add.at(grads[3], false, down.sum(axis=0))
@@ -281,14 +287,13 @@ def count_words(parts: DataFrame, n: int, text: str, train: str, top: int = TOP)
     return parts.groupBy("__chunk").applyInArrow(offer, _OFFER).groupBy("bucket").applyInArrow(add, _SUMS)
 
 
-def count_pairs(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rate: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of adjacent classes of all texts, and a share ``rate`` of their triples; a text starts after, and ends with, the end's class."""
+def count_pairs(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> np.ndarray:
+    """Counts of adjacent classes of all texts; a text starts after, and ends with, the end's class."""
     size = vocabulary.end + 1
-    least = np.uint64(min(2**64 - 1, int(rate * 2.0**64)))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        v, held, drawn = shared.value, [], []
+        v, held = shared.value, []
 
         def merged():
             k = np.concatenate([a for a, _ in held])
@@ -300,12 +305,7 @@ def count_pairs(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rat
             data, off = utf8(batch.column(0))
             for i, j in blocks(off):
                 key, doc = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                far, before, after, row, _ = sequence(v.classes(key), doc, j - i, v.end)
-                size_ = np.bincount(row, minlength=j - i)
-                place = np.arange(len(row)) - (np.cumsum(size_) - size_)[row]
-                draw = mix(mix((place << 32 | size_[row]).astype(np.uint64)) ^ (far << 42 | before << 21 | after).astype(np.uint64))  # of the token's text alone
-                some = np.flatnonzero(draw <= least)
-                drawn.append(np.stack((far[some], before[some], after[some]), axis=1).astype(np.int32))
+                _, before, after, _, _ = sequence(v.classes(key), doc, j - i, v.end)
                 held.append(np.unique(before * size + after, return_counts=True))
             if sum(len(a) for a, _ in held) > 4_000_000:  # at most the square of the classes remain
                 held[:] = [merged()]
@@ -313,13 +313,9 @@ def count_pairs(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rat
             k, n = merged()
             part, at = np.unique(k // (size * GROUP), return_index=True)
             cut = list(zip(at, [*at[1:], len(k)], strict=True))
-            some = np.concatenate(drawn)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - hash_of(some) % GROUP], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["part", "pairs", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([(k[i:j] - p * size * GROUP).astype(np.uint32).tobytes() for p, (i, j) in zip(part, cut, strict=True)], pa.binary()), pa.array([n[i:j].astype(np.int64).tobytes() for i, j in cut], pa.binary())], names=["part", "pairs", "n"])
 
     def add(group: pa.Table) -> pa.Table:
-        if group.column("part")[0].as_py() < 0:
-            return pa.table({"part": group.column("part")[:1], "block": pa.array([b"".join(sorted(group.column("pairs").to_pylist()))], pa.binary())})
         block = np.zeros(size * GROUP)
         for a, n in zip(group.column("pairs").to_pylist(), group.column("n").to_pylist(), strict=True):
             block[np.frombuffer(a, np.uint32)] += np.frombuffer(n, np.int64)
@@ -327,17 +323,66 @@ def count_pairs(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rat
 
     out = np.zeros(-(-size // GROUP) * GROUP * size)
     parts = docs.select(text).mapInArrow(count, "part int, pairs binary, n binary").groupBy("part").applyInArrow(add, "part int, block binary")
-    triples = []
-    for r in parts.toLocalIterator():  # blocks, as many as groups of contexts, and shares of the triples
-        if r.part < 0:
-            triples.append(np.frombuffer(r.block, np.int32).reshape(-1, 3))
-            continue
+    for r in parts.toLocalIterator():  # blocks, as many as groups of contexts
         out[r.part * size * GROUP : (r.part + 1) * size * GROUP] = np.frombuffer(r.block)
-    return out.reshape(-1, size)[:size], np.concatenate(triples) if triples else np.zeros((0, 3), np.int32)
+    return out.reshape(-1, size)[:size]
+
+
+def triples_of(texts: list[bytes], end: int) -> np.ndarray:
+    """Rows (class two before, class before, target) of texts as classes, each with its end."""
+    target = np.frombuffer(b"".join(texts), np.int32)
+    near = np.append(end, target[:-1])[: len(target)]
+    far = np.where(near == end, end, np.append([end, end], target[:-2])[: len(target)])
+    return np.stack((far, near, target), axis=1).astype(np.int32)
 
 
-def hash_of(rows: np.ndarray) -> int:
-    return int.from_bytes(hashlib.sha256(rows.tobytes()).digest()[:4], "little")
+def refine(docs: DataFrame, size: int, vocabulary: Vocabulary, model: LogBilinear, counts: np.ndarray, text: str = "text") -> LogBilinear:
+    """The model after one pass over every triple of all texts (``size`` bytes): the mean, by triples, of copies that each trained on a share of the texts.
+
+    A share is in the order of its texts, so results do not depend on partitions.
+    """
+    shares = max(1, -(-size // MOST))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model, counts))
+    shapes = [v.shape for v in (model.second, model.context, model.target, model.bias)]
+
+    def classes(batches):
+        v = shared.value[0]
+        for batch in batches:
+            data, off = utf8(batch.column(1))
+            for i, j in blocks(off):
+                key, doc = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                _, _, after, row, _ = sequence(v.classes(key), doc, j - i, v.end)
+                raw, cut = after.astype(np.int32).tobytes(), np.append(0, np.cumsum(np.bincount(row, minlength=j - i))) * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([raw[p:q] for p, q in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["share", "classes"])
+
+    def train(share: pa.Table) -> pa.Table:
+        v, m, seen = shared.value
+        rows = triples_of(sorted(share.column("classes").to_pylist()), v.end)
+        m = m.refined(rows, seen, ordered=True)
+        flat = np.concatenate([x.ravel() for x in (m.second, m.context, m.target, m.bias)]).astype(np.float64) * len(rows)
+        release()
+        return pa.table({"share": share.column("share")[:1], "n": pa.array([len(rows)], pa.int64()), "model": pa.array([flat.tobytes()], pa.binary())})
+
+    def add(group: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(group.column("share")))
+        total = np.zeros(sum(int(np.prod(s)) for s in shapes))
+        for k in order:
+            total += np.frombuffer(group.column("model")[k].as_py())
+        return pa.table({"share": pa.array([group.column("share")[0].as_py() // 64], pa.int32()), "n": pa.array([sum(group.column("n").to_pylist())], pa.int64()), "model": pa.array([total.tobytes()], pa.binary())})
+
+    dealt = docs.select(F.pmod(F.xxhash64(F.lit(11), F.col(text)), F.lit(shares)).cast("int").alias("share"), text)
+    sums = dealt.mapInArrow(classes, "share int, classes binary").groupBy("share").applyInArrow(train, "share int, n long, model binary")
+    sums = sums.groupBy(F.floor(F.col("share") / 64)).applyInArrow(add, "share int, n long, model binary")
+    n, total = 0, 0.0
+    for r in sums.orderBy("share").toLocalIterator():  # a 64th of the shares
+        n, total = n + r.n, total + np.frombuffer(r.model)
+    if not n:
+        return model
+    cut = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    second, context, target, bias = (x.reshape(s).astype(np.float32) for x, s in zip(np.split(total / n, cut), shapes, strict=True))
+    out = LogBilinear(context, target, bias, second)
+    out.group = model.group
+    return out
 
 
 def sequence(classes: np.ndarray, doc: np.ndarray, n: int, end: int):
@@ -373,8 +418,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
     if not len(rows):  # no documents
         rows = _sums([(1, -1, 0, None, b"", np.zeros(2 * SUFFIXES + 2, np.int64).tobytes())])
     vocabulary = Vocabulary.of(merge(rows))
-    counts, triples = count_pairs(docs.where("__train"), vocabulary, text, min(1.0, TRIPLES * more**0.5 / max(1, vocabulary.n)))
-    model = LogBilinear.train(counts).grouped(counts.sum(axis=0)).refined(triples, counts.sum(axis=0))
+    counts = count_pairs(docs.where("__train"), vocabulary, text)
+    model = LogBilinear.train(counts).grouped(counts.sum(axis=0))
+    model = refine(docs.where("__train"), size, vocabulary, model, counts.sum(axis=0), text)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
     schema = f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

@@ -132,6 +132,30 @@ def test_lm_of_two_places():
     assert [x.tolist() for x in seq[:4]] == [[9, 9, 3, 9, 9, 9, 5], [9, 3, 4, 9, 9, 5, 6], [3, 4, 9, 9, 5, 6, 9], [0, 0, 0, 1, 2, 2, 2]]
 
 
+class Told(bilinear.LogBilinear):
+    """A model whose bias tells the triples it saw."""
+
+    def refined(self, triples, counts, ordered=False):
+        return bilinear.LogBilinear(self.context, self.target, np.bincount(triples[:, 2], minlength=len(self.bias)) / len(triples), self.second)
+
+
+def test_lm_trains_on_every_triple(spark, docs, monkeypatch):
+    rows = docs.where("doc_id is not null")
+    v = bilinear.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), np.zeros(bilinear.SUFFIXES), np.zeros(bilinear.SUFFIXES), 1, 1)
+    n = sum(len(words((r.text or "").lower())) + 1 for r in rows.collect())
+    counts = bilinear.count_pairs(rows, v)
+    model = Told.train(counts, steps=2).grouped(counts.sum(axis=0))
+    assert counts.sum() == n
+
+    monkeypatch.setattr(bilinear, "MOST", 2000)
+    for parts in (1, 5):
+        out = bilinear.refine(rows.repartition(parts), 20000, v, model, counts.sum(axis=0))  # ten shares
+        assert np.allclose(out.bias * n, counts.sum(axis=0), atol=1e-2)
+    far, near, target = bilinear.triples_of([np.array([3, 4, 9], np.int32).tobytes(), np.array([9], np.int32).tobytes(), np.array([5, 6, 9], np.int32).tobytes()], 9).T
+    want = bilinear.sequence(np.array([3, 4, 5, 6]), np.array([0, 0, 2, 2]), 3, 9)
+    assert [x.tolist() for x in (far, near, target)] == [x.tolist() for x in want[:3]]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_lm_beats_its_base_on_held_out_texts(spark):
     got = bilinear.op2_lm_score(spark, SF.replace("0.001", "0.01")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.count(F.lit(1))).head()
