@@ -12,8 +12,8 @@ estimation in expectation), and then, for both places, by noise-contrastive
 estimation with sampled noise on every triple of all training texts: texts are dealt
 by a hash into shares of about ``MOST`` bytes, each share trains a copy of the model
 by one pass over its triples, and the copies are averaged by numbers of triples.
-Batched products of the context vectors that occur with all
-target vectors then give normalised log-probabilities.  A word within its class has its
+The cluster then sums the exponentials of all targets' scores once for every pair of a
+group and a class before, which normalises the log-probabilities of all texts.  A word within its class has its
 smoothed relative frequency, with a share for unknown words, so the
 probabilities of all tokens add up to one.
 
@@ -44,8 +44,8 @@ TOP, SUFFIXES, WIDTH, NOISE = 1024, 1024, 24, 10
 GROWS = 1 << 29
 #: Groups of classes (by their vectors) that are told apart two places before.
 FAR = 128
-#: Context pairs whose scores are worked on at a time.
-PAIRS = 2048
+#: Contexts whose scores of all targets are worked on at a time, and whose scores of sampled noise are: few, so that they stay in the cache.
+PAIRS, ROWS = 128, 1024
 #: Contexts whose pair counts are sent together.
 GROUP = 64
 #: The share of an unseen word, in counts.
@@ -65,9 +65,36 @@ def tokens(data: np.ndarray, off: np.ndarray):
 
 def _add(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Adds rows at places that may repeat."""
+    at = at.astype(np.min_scalar_type(len(out)))  # places of two bytes are sorted by counting
     by = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.append(True, at[by][1:] != at[by][:-1]))
-    out[at[by][first]] += np.add.reduceat(rows[by], first, axis=0)
+    at = at[by]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out[at[first]] += np.add.reduceat(rows.take(by, axis=0), first, axis=0)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    """Rows with a one behind each, which takes up a bias."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    return out
+
+
+def _noise(h: np.ndarray, target: np.ndarray, bias: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What weighted noise classes add to the gradients in contexts (rows of ``_ones``), and in noise vectors and biases."""
+    flat = -_ones(target).T
+    flat[-1] *= bias
+    pull, down = np.empty((len(h), target.shape[1]), np.float32), np.zeros((len(target), h.shape[1]), np.float32)
+    target = target * weight[:, None]
+    for i in range(0, len(h), ROWS):
+        some = h[i : i + ROWS]
+        s = some @ flat
+        np.clip(s, -30, 30, out=s)
+        np.exp(s, out=s)
+        s += 1
+        np.reciprocal(s, out=s)
+        np.matmul(s, target, out=pull[i : i + ROWS])
+        down += s.T @ some
+    return pull, down * weight[:, None]
 
 
 class LogBilinear:
@@ -129,25 +156,25 @@ class LogBilinear:
         shift = np.log(noise * p).astype(np.float32)
         value = [self.second.copy(), self.context.copy(), self.target.copy(), self.bias.copy()]
         first, second = [np.zeros_like(v) for v in value], [np.zeros_like(v) for v in value]
-        rows = (triples if ordered else triples[np.lexsort(triples.T)])[rng.permutation(len(triples))]
+        rows = (triples if ordered else triples[np.lexsort(triples.T)]).take(rng.permutation(len(triples)), axis=0)
         steps = -(-len(rows) // batch)
         for t in range(1, steps + 1):
             far, near, target = rows[(t - 1) * batch : t * batch].T
             far = self.group[far]
             d, c, w, b = value
-            false = rng.choice(n, shared, p=p)
-            h = d[far] + c[near]
-            real = 1 / (1 + np.exp(np.clip(-((h * w[target]).sum(axis=1) + b[target] - shift[target]), -30, 30)))
-            up = (1 - real).astype(np.float32)  # gradient of the objective in the scores of true targets, and of noise
-            down = (-noise / shared / (1 + np.exp(np.clip(-(h @ w[false].T + b[false] - shift[false]), -30, 30)))).astype(np.float32)
-            pull = up[:, None] * w[target] + down @ w[false]
+            false, times = np.unique(rng.choice(n, shared, p=p), return_counts=True)  # equal noise is scored once
+            h, true = _ones(d.take(far, axis=0) + c.take(near, axis=0)), w.take(target, axis=0)
+            real = 1 / (1 + np.exp(np.clip(shift[target] - b[target] - np.einsum("ij,ij->i", h[:, :-1], true), -30, 30)))
+            up = (1 - real).astype(np.float32)  # gradient of the objective in the scores of true targets
+            pull, down = _noise(h, w[false], b[false] - shift[false], (-noise / shared * times).astype(np.float32))
+            pull += up[:, None] * true
             grads = [np.zeros_like(v) for v in value]
             _add(grads[0], far, pull)
             _add(grads[1], near, pull)
-            _add(grads[2], target, up[:, None] * h)
-            np.add.at(grads[2], false, down.T @ h)
-            np.add.at(grads[3], target, up)
-            np.add.at(grads[3], false, down.sum(axis=0))
+            _add(grads[2], target, up[:, None] * h[:, :-1])
+            grads[2][false] += down[:, :-1]
+            grads[3] += np.bincount(target, up, minlength=n).astype(np.float32)
+            grads[3][false] += down[:, -1]
             for k, g in enumerate(grads):
                 g /= len(far)
                 first[k] += 0.1 * (g - first[k])
@@ -165,26 +192,31 @@ class LogBilinear:
         s -= s.max(axis=1, keepdims=True)
         return (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
 
-    def score(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 probability of each target after its two classes; every pair of contexts is normalised once."""
+    def norms(self, pairs: np.ndarray) -> np.ndarray:
+        """Logarithms of the summed exponentials of all targets' scores after pairs (the group two before times the number of classes, plus the class before)."""
         n = len(self.bias)
-        pairs, place = np.unique(self.group[far] * n + near, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        cut = np.searchsorted(place[order], np.arange(0, len(pairs) + PAIRS, PAIRS))
-        out = np.empty(len(target), np.float64)
-        flat = np.ascontiguousarray(self.target.T)
-        for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            some = pairs[k * PAIRS : (k + 1) * PAIRS]
-            if not len(some):
-                continue
-            s = (self.second[some // n] + self.context[some % n]) @ flat
-            s += self.bias
-            s -= s.max(axis=1, keepdims=True)
-            mine = order[i:j]
-            row = place[mine] - k * PAIRS
-            at = s[row, target[mine]]
+        flat = np.concatenate((self.target.T, self.bias[None]))
+        out = np.empty(len(pairs), np.float64)
+        for i in range(0, len(pairs), PAIRS):
+            some = pairs[i : i + PAIRS]
+            s = _ones(self.second[some // n] + self.context[some % n]) @ flat
+            most = s.max(axis=1, keepdims=True)
+            s -= most
             np.exp(s, out=s)
-            out[mine] = at - np.log(s.sum(axis=1))[row]
+            out[i : i + PAIRS] = np.log(s.sum(axis=1)) + most[:, 0]
+        return out
+
+    def score(self, far: np.ndarray, near: np.ndarray, target: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each target after its two classes; by the ``norms`` of all pairs, otherwise those that occur are normalised once."""
+        far = self.group[far]
+        place = far * len(self.bias) + near
+        if norms is None:
+            pairs, place = np.unique(place, return_inverse=True)
+            norms = self.norms(pairs)
+        out = self.bias[target] - norms[place]
+        for i in range(0, len(out), ROWS):
+            k = slice(i, i + ROWS)
+            out[k] += np.einsum("ij,ij->i", self.second.take(far[k], axis=0) + self.context.take(near[k], axis=0), self.target.take(target[k], axis=0))
         return out / np.log(10)
 
 
@@ -385,6 +417,21 @@ def refine(docs: DataFrame, size: int, vocabulary: Vocabulary, model: LogBilinea
     return out
 
 
+def all_norms(docs: DataFrame, shared) -> np.ndarray:
+    """The norms of every pair of contexts of a broadcast vocabulary and model, dealt by groups; the work follows the square of the classes, not the texts."""
+    session = docs.sparkSession
+
+    def norms(batches):
+        _, m = shared.value
+        n = len(m.bias)
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([m.norms(g * n + np.arange(n)).tobytes()], pa.binary())], names=["id", "norms"])
+
+    found = session.range(0, FAR + 1, 1, min(FAR + 1, session.sparkContext.defaultParallelism)).mapInArrow(norms, "id long, norms binary")
+    return np.concatenate([np.frombuffer(r.norms) for r in sorted(found.collect())])
+
+
 def sequence(classes: np.ndarray, doc: np.ndarray, n: int, end: int):
     """The two classes before, targets and rows of all tokens, ends included, and which tokens are ends."""
     size = np.bincount(doc, minlength=n)
@@ -422,6 +469,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
     model = LogBilinear.train(counts).grouped(counts.sum(axis=0))
     model = refine(docs.where("__train"), size, vocabulary, model, counts.sum(axis=0), text)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+    every_norm = docs.sparkSession.sparkContext.broadcast(all_norms(docs, shared))
     schema = f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def settle(chunk: pa.Table, answer: pa.Table) -> pa.Table:
@@ -453,7 +501,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int =
         flat = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, bases)]
         scored = np.zeros(len(chunk))
         if asked:
-            found_ = m.score(*(np.concatenate(x) for x in zip(*asked, strict=True)))  # of the whole chunk, as contexts repeat
+            found_ = m.score(*(np.concatenate(x) for x in zip(*asked, strict=True)), every_norm.value)
             scored = np.bincount(np.concatenate(rows_of), found_ + np.concatenate(inner), minlength=len(chunk))
         release()
         train = chunk.column("__train").to_numpy(zero_copy_only=False).astype(bool)

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -132,6 +133,72 @@ def test_lm_of_two_places():
     assert [x.tolist() for x in seq[:4]] == [[9, 9, 3, 9, 9, 9, 5], [9, 3, 4, 9, 9, 5, 6], [3, 4, 9, 9, 5, 6, 9], [0, 0, 0, 1, 2, 2, 2]]
 
 
+def plainly_refined(m, triples, counts, noise=10, shared=256, batch=8192, rate=0.01):
+    """What ``refined`` does, in float64 with every sampled noise class by itself."""
+    n, rng = len(m.bias), np.random.default_rng(9)
+    p = (counts + 1) / (counts.sum() + n)
+    shift = np.log(noise * p)
+    value = [x.astype(float) for x in (m.second, m.context, m.target, m.bias)]
+    first, second = [[np.zeros_like(x) for x in value] for _ in range(2)]
+    rows = triples[np.lexsort(triples.T)][rng.permutation(len(triples))]
+    steps = -(-len(rows) // batch)
+    for t in range(1, steps + 1):
+        far, near, target = rows[(t - 1) * batch : t * batch].T
+        d, c, w, b = value
+        false = rng.choice(n, shared, p=p)
+        h = d[m.group[far]] + c[near]
+        up = 1 - 1 / (1 + np.exp(-((h * w[target]).sum(axis=1) + b[target] - shift[target])))
+        down = -noise / shared / (1 + np.exp(-(h @ w[false].T + b[false] - shift[false])))
+        pull = up[:, None] * w[target] + down @ w[false]
+        grads = [np.zeros_like(x) for x in value]
+        for g, at, x in ((0, m.group[far], pull), (1, near, pull), (2, target, up[:, None] * h), (2, false, down.T @ h), (3, target, up), (3, false, down.sum(axis=0))):
+            np.add.at(grads[g], at, x)
+        for k, g in enumerate(grads):
+            first[k] += 0.1 * (g / len(far) - first[k])
+            second[k] += 0.01 * ((g / len(far)) ** 2 - second[k])
+            value[k] = value[k] + rate * (1 - 0.9 * (t - 1) / steps) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-6)
+    return value
+
+
+def test_lm_trains_in_small_blocks():
+    rng = np.random.default_rng(8)
+    triples = np.minimum(rng.geometric(0.05, (20000, 3)) - 1, 299).astype(np.int32)
+    counts = np.zeros((300, 300))
+    np.add.at(counts, (triples[:, 1], triples[:, 2]), 1)
+    m = bilinear.LogBilinear.train(counts, steps=5).grouped(counts.sum(axis=0))
+    tracemalloc.start()
+    got = m.refined(triples, counts.sum(axis=0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8192 * 256 * 4  # less than the scores of a batch with all its noise: they stay in the cache
+    for x, y in zip((got.second, got.context, got.target, got.bias), plainly_refined(m, triples, counts.sum(axis=0)), strict=True):
+        assert x.dtype == np.float32 and np.allclose(x, y, atol=1e-3)
+
+
+class Counted(bilinear.LogBilinear):
+    """A model that tells how many contexts it normalised."""
+
+    def norms(self, pairs):
+        self.normalised = getattr(self, "normalised", 0) + len(pairs)
+        return super().norms(pairs)
+
+
+def test_lm_normalises_pairs_of_contexts_once(spark, docs):
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(2, (300, 300)).astype(float)
+    m = Counted.train(counts, steps=20).grouped(counts.sum(axis=0))
+    m.second = rng.normal(size=m.second.shape).astype(np.float32)
+    norms = bilinear.all_norms(docs, spark.sparkContext.broadcast((None, m)))
+    assert len(norms) == (bilinear.FAR + 1) * 300
+    far, near, target = rng.integers(0, 300, (3, 5000))
+    chunks = [m.score(far[i : i + 100], near[i : i + 100], target[i : i + 100], norms) for i in range(0, 5000, 100)]
+    assert not hasattr(m, "normalised")  # no chunk of texts repeats that work
+    s = np.array([(m.second[m.group[f]].astype(float) + m.context[c]) @ m.target.T + m.bias for f, c in zip(far, near, strict=True)])
+    want = (s[np.arange(5000), target] - np.log(np.exp(s).sum(axis=1))) / np.log(10)
+    assert np.allclose(np.concatenate(chunks), want, atol=1e-5) and np.allclose(m.score(far, near, target), want, atol=1e-5)
+    assert m.normalised == len(set(zip(m.group[far].tolist(), near.tolist(), strict=True)))
+
+
 class Told(bilinear.LogBilinear):
     """A model whose bias tells the triples it saw."""
 
