@@ -150,6 +150,35 @@ def test_overlap_of_vectors_sends_no_tiles(spark):
     assert "Join" not in queries()["g03_tom_blocks"](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlap_of_copies_and_shares_of_its_work(spark):
+    import duckdb
+
+    from __spark_entry__ import SMOKE, queries
+    from tessera.operators import blocks
+
+    found = queries()["g03_tom_blocks"](spark, SMOKE)
+    assert found.rdd.getNumPartitions() > 1 and "round(" not in found._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.RandomState(2)
+    different = rng.normal(size=(30, 4))
+    m = np.vstack([different, different[:20], np.repeat(different[:1], 30, axis=0), -different[:1]])
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "node int, vec array<double>")
+    unit = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    for power in (1, 2.5, 6, 7.0):
+        a = ((1 + np.clip(unit @ unit.T, -1, 1)) / 2) ** power
+        np.fill_diagonal(a, 0)
+        k = a.sum(axis=1)
+        want = (a @ a + a) / (np.minimum.outer(k, k) + 1 - a)
+        for size in (None, 7):
+            got = {(r.node_a, r.node_b): r.weight for r in blocks.similarity_overlap(vectors, power, size).collect()}
+            assert got.keys() == {(i, j) for j in range(len(m)) for i in range(j)} and all(abs(v - want[at]) < 1e-12 for at, v in got.items())
+    whole = blocks.similarity_overlap(vectors, 6.0)
+    got = {(r.node_a, r.node_b): r.weight for r in blocks.similarity_overlap(vectors, 6.0, digits=3).collect()}
+    assert got == {(r.node_a, r.node_b): duckdb.execute("select round(?::double, 3) + 0.0", [r.weight]).fetchone()[0] for r in whole.collect()}
+    values = np.concatenate([np.arange(1, 4000) / 2e6, np.nextafter(np.arange(1, 4000) / 2e6, 0), [0.0, 0.5, 1.0]])
+    assert blocks._rounded(values, 6).tolist() == [r[0] for r in duckdb.execute("select round(v, 6) from (select unnest(?::double[]) as v)", [values.tolist()]).fetchall()]
+    assert [blocks._pair(p) for p in range(6)] == [(0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2)]
+
+
 @pytest.mark.parametrize("method", ["bonferroni", "holm", "simes-hochberg", "fdr_bh"])
 def test_many_p_values(spark, method):
     from tessera.operators import stats
